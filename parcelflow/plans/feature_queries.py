@@ -173,10 +173,10 @@ def source_feature_conflicts(spark, sf_dir):
 
 
 @query("feature_lineage_nodes", "with " + SQL_VALUES + """
-select geography_id, period_start, round(value, 6) as value from growth where geography_id in ('00003', '00011')""")
+select geography_id, period_start, round(value, 6) as value from growth""")
 def feature_lineage_nodes(spark, sf_dir):
     values = tables(spark, sf_dir, only=["revenue_growth_yoy"]).values
-    roots = values.filter("feature_name = 'revenue_growth_yoy' AND geography_id IN ('00003', '00011')").select("lineage_id")
+    roots = values.filter("feature_name = 'revenue_growth_yoy'").select("lineage_id")
     return lineage.feature_nodes(values, roots).select("geography_id", "period_start", F.round("value", 6).alias("value"))
 
 

@@ -1 +1,458 @@
-"""Queries registered for this family."""
+"""Target verification, reconciliation, derivations and audits over order-line records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parcelflow.operators import scorecards, verification as v
+from parcelflow.plans import bindings as b
+from parcelflow.plans.registry import query
+from parcelflow.schemas import target_metric_dim
+
+EVALUATED = "2003-01-01"
+PRIORITY = ["2-HIGH", "1-URGENT", "5-LOW"]
+NATURAL = ", ".join(v.NATURAL)
+SERIES = ", ".join(v.SERIES)
+IDX = "(cast(substr(period, 1, 4) as integer) * 4 + cast(substr(period, 7, 1) as integer) - 1)"
+DIFF = "case when {rate} then abs({a} - {b}) else abs({a} - {b}) / greatest(abs({a}), abs({b}), 1e-9) end"
+
+
+def records(spark, sf_dir):
+    return b.cre_records(spark, sf_dir).withColumn("source_identifier", F.col("evidence"))
+
+
+def complement_records(spark, sf_dir):
+    """Vacancy and occupancy of each line; a third of them are exact complements."""
+    base = records(spark, sf_dir).filter("metric = 'vacancy_rate'")
+    key = F.conv(F.substring(F.md5("evidence"), 1, 2), 16, 10).cast("int")
+    occupancy = base.withColumns({
+        "metric": F.lit("occupancy_rate"), "value": F.when(key % 3 == 0, 1 - F.col("value")).otherwise(F.lit(0.9)),
+        "observation_id": F.concat_ws("-", "evidence", F.lit("occupancy_rate")), "methodology": F.lit("physical_occupancy"),
+    })
+    return base.unionByName(occupancy)
+
+
+SQL_COMPLEMENT = b.SQL_RECORDS + """,
+both_sides as (
+  select *, evidence as source_identifier from records where metric = 'vacancy_rate'
+  union all by name
+  select * replace ('occupancy_rate' as metric, case when cast('0x' || substr(md5(evidence), 1, 2) as integer) % 3 = 0 then 1 - value else 0.9::double end as value,
+                    evidence || '-occupancy_rate' as observation_id, 'physical_occupancy' as methodology), evidence as source_identifier
+  from records where metric = 'vacancy_rate')"""
+
+
+def operating_records(spark, sf_dir):
+    """Revenue, expense, NOI and margin per line, with planted unit and identity errors."""
+    base = records(spark, sf_dir).filter("metric = 'asking_rent'")
+    key = F.conv(F.substring(F.md5("evidence"), 1, 2), 16, 10).cast("int")
+    revenue = F.round(F.col("value") * 10, 2)
+    wide = base.drop("metric", "unit", "observation_id").withColumns({
+        "same_store_revenue": revenue, "same_store_operating_expense": F.round(revenue * 0.4, 2), "same_store_noi": F.round(revenue * 0.6, 2) + F.when(key % 4 == 0, 2.5).otherwise(0.0),
+        "noi_margin": F.when(key % 5 == 0, 0.5).otherwise(0.6), "__key": key,
+    })
+    names = ["same_store_revenue", "same_store_operating_expense", "same_store_noi", "noi_margin"]
+    keys = [c for c in wide.columns if c not in (*names, "value")]
+    long = wide.drop("value").unpivot(keys, names, "metric", "value")
+    unit = F.when((F.col("metric") == "same_store_noi") & (F.col("__key") % 7 == 0), "USD").otherwise("USD_thousands_quarter")
+    return long.withColumns({"unit": unit, "observation_id": F.concat_ws("-", "evidence", "metric")}).drop("__key")
+
+
+SQL_OPERATING = b.SQL_RECORDS + """,
+keyed_rows as (select *, cast('0x' || substr(md5(evidence), 1, 2) as integer) as k, round(value * 10, 2) as rev from records where metric = 'asking_rent'),
+ops as (
+  select u.*, case when metric = 'same_store_noi' and k % 7 = 0 then 'USD' else 'USD_thousands_quarter' end as unit2, evidence || '-' || metric as oid from (
+    select geography_type, geography_id, period, frequency, property_type, property_subtype, source_name, vintage, evidence, k,
+           unnest(['same_store_revenue', 'same_store_operating_expense', 'same_store_noi', 'noi_margin']) as metric,
+           unnest([rev, round(rev * 0.4::double, 2), round(rev * 0.6::double, 2) + case when k % 4 = 0 then 2.5::double else 0 end, case when k % 5 = 0 then 0.5::double else 0.6::double end]) as value
+    from keyed_rows) u),
+sides as (
+  select geography_type, geography_id, period, frequency, property_type, property_subtype, source_name, vintage,
+    count(*) filter (where metric = 'same_store_revenue') as rn, count(*) filter (where metric = 'same_store_operating_expense') as en,
+    count(*) filter (where metric = 'same_store_noi') as nn, count(*) filter (where metric = 'noi_margin') as mn,
+    max(value) filter (where metric = 'same_store_revenue') as rev, max(value) filter (where metric = 'same_store_operating_expense') as exp,
+    max(value) filter (where metric = 'same_store_noi') as noi, max(value) filter (where metric = 'noi_margin') as mar,
+    max(unit2) filter (where metric = 'same_store_noi') as nu, max(evidence) as ev from ops group by all)"""
+
+
+def _codes(name, function, sql):
+    def run(spark, sf_dir):
+        return function(spark, sf_dir).groupBy("code", "severity").agg(
+            F.countDistinct("finding_id").alias("findings"), F.count(F.lit(1)).alias("rows"), F.countDistinct("observation_id").alias("observations")
+        )
+
+    query(name, sql)(run)
+
+
+def _group_sql(source, code, severity, keys, having):
+    return f"""select '{code}' as code, '{severity}' as severity, count(distinct gid) as findings, count(*) as rows, count(distinct observation_id) as observations
+from (select s.observation_id, concat_ws('|', {keys}) as gid, count(*) over w as n, min(s.methodology) over w as m1, max(s.methodology) over w as m2,
+             min(source_name) over w as s1, max(source_name) over w as s2, min(value) over w as v1, max(value) over w as v2, min(vintage) over w as t1, max(vintage) over w as t2,
+             min(frequency) over w as f1, max(frequency) over w as f2, is_rate
+      from {source} s window w as (partition by {keys})) where {having} group by all having count(*) > 0"""
+
+
+_codes("ver_duplicates", lambda s, d: v.duplicates(records(s, d).withColumn("source_identifier", F.col("vintage"))),
+       "with " + b.SQL_RECORDS + _group_sql("records", "duplicate_observation", "error", NATURAL + ", source_name, vintage, methodology", "n > 1"))
+_codes("ver_methodology", lambda s, d: v.methodology_mismatch(records(s, d)).unionByName(v.methodology_change(records(s, d))),
+       "with " + b.SQL_RECORDS + _group_sql("records", "methodology_mismatch", "warning", NATURAL, "m1 <> m2") + " union all "
+       + _group_sql("records", "methodology_change", "warning", "geography_type, geography_id, property_type, property_subtype, metric, source_name", "m1 <> m2"))
+_codes("ver_conflicts", lambda s, d: v.source_conflicts(records(s, d)),
+       "with " + b.SQL_RECORDS + _group_sql("records", "source_conflict", "warning", NATURAL, "s1 <> s2 and round(" + DIFF.format(rate="is_rate", a="v1", b="v2") + ", 12) > 0.05::double"))
+_codes("ver_revisions", lambda s, d: v.revisions(records(s, d)),
+       "with " + b.SQL_RECORDS + _group_sql("records", "revised_observation", "info", NATURAL + ", source_name, methodology", "t1 <> t2 and v1 <> v2"))
+_codes("ver_frequency", lambda s, d: v.frequency_mismatch(_mixed_frequency(records(s, d))),
+       "with " + b.SQL_RECORDS + ", mixed as (select * replace (case when cast(substr(period, 1, 4) as integer) < 1995 then 'annual' else 'quarterly' end as frequency) from records) "
+       + _group_sql("mixed", "frequency_mismatch", "warning", "geography_type, geography_id, property_type, property_subtype, metric, methodology, source_name", "f1 <> f2"))
+_codes("ver_proxy", lambda s, d: v.proxies(records(s, d)), "with " + b.SQL_RECORDS + """
+select 'proxy_not_institutional_target' as code, 'info' as severity, count(distinct observation_id) as findings, count(*) as rows, count(distinct observation_id) as observations
+from records where target_classification <> 'institutional_target'""")
+_codes("ver_retrieval", lambda s, d: v.retrieval_findings(records(s, d), EVALUATED, False), "with " + b.SQL_RECORDS + f""",
+marked as (select 'stale_retrieval' as code, observation_id from records where date '{EVALUATED}' - retrieved_on > 730
+           union all select 'unconfirmed_verification', observation_id from records where verification_status = 'analyst_verified')
+select code, 'warning' as severity, count(distinct observation_id) as findings, count(*) as rows, count(distinct observation_id) as observations from marked group by code""")
+_codes("ver_complements", lambda s, d: v.complement_mismatch(complement_records(s, d)), "with " + SQL_COMPLEMENT + """,
+pairs as (select geography_id, period, property_type, source_name, vintage, count(*) filter (where metric = 'occupancy_rate') as o, count(*) filter (where metric = 'vacancy_rate') as n,
+                 sum(value) as total from both_sides group by all)
+select 'occupancy_vacancy_mismatch' as code, 'error' as severity, count(*) as findings, count(*) * 2 as rows, count(*) * 2 as observations
+from pairs where o = 1 and n = 1 and abs(total - 1) > 0.000001""")
+_codes("ver_identity", lambda s, d: v.operating_mismatches(operating_records(s, d)), "with " + SQL_OPERATING + """,
+hits as (
+  select 'operating_unit_mismatch' as code from sides where rn = 1 and en = 1 and nn = 1 and nu = 'USD'
+  union all select 'operating_identity_mismatch' from sides where rn = 1 and en = 1 and nn = 1 and nu <> 'USD' and abs(rev - exp - noi) > 1
+  union all select 'noi_margin_mismatch' from sides where rn = 1 and nn = 1 and mn = 1 and rev > 0 and abs(noi / rev - mar) > 0.0001::double)
+select code, 'error' as severity, count(*) as findings, count(*) * 3 as rows, count(*) * 3 as observations from hits group by code""")
+_codes("ver_geography", lambda s, d: v.geography_mismatch(records(s, d), _governed(s, d)), "with " + b.SQL_RECORDS + """
+select 'market_geography_mismatch' as code, 'error' as severity, count(distinct observation_id) as findings, count(*) as rows, count(distinct observation_id) as observations
+from records where geography_id not in (select lpad(cast(n_nationkey as varchar), 5, '0') from nation where n_regionkey < 3)""")
+
+
+def _mixed_frequency(rows):
+    early = F.substring("period", 1, 4).cast("int") < 1995
+    return rows.withColumn("frequency", F.when(early, "annual").otherwise("quarterly"))
+
+
+def _governed(spark, sf_dir):
+    return b.table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("geography_id"))
+
+
+SQL_STEPS = b.SQL_RECORDS + f""",
+ordered as (select *, {IDX} as idx from records),
+steps as (
+  select *, idx - lag(idx) over w as gap, lag(value) over w as previous_value, lag(observation_id) over w as previous_id, lag(period) over w as previous_period
+  from ordered window w as (partition by {SERIES} order by idx, md5(observation_id), value)),
+judged as (
+  select *, {DIFF.format(rate="is_rate", a="previous_value", b="value")} as change from steps where previous_id is not null)"""
+
+_codes("ver_gaps_jumps", lambda s, d: v.gaps_and_jumps(records(s, d)), "with " + SQL_STEPS + """,
+hits as (select 'missing_periods' as code, previous_id, observation_id from judged where gap > 1
+         union all select 'sudden_jump', previous_id, observation_id from judged where round(change, 12) > jump_threshold),
+flat as (select code, previous_id || '|' || observation_id as fid, unnest([previous_id, observation_id]) as observation_id from hits)
+select code, 'warning' as severity, count(distinct fid) as findings, count(*) as rows, count(distinct observation_id) as observations from flat group by code""")
+
+
+@query("warning_table", "with " + SQL_STEPS + """
+select code, source_name, geography_id, property_type, metric, methodology, previous_period, period, round(previous_value, 6) as previous_value,
+       round(value, 6) as current_value, round(change, 6) as change, observation_id
+from (select 'missing_periods' as code, * from judged where gap > 1 union all select 'sudden_jump' as code, * from judged where round(change, 12) > jump_threshold) where is_rate""")
+def warning_table(spark, sf_dir):
+    rows = v.warning_table(records(spark, sf_dir)).filter("metric = 'vacancy_rate'")
+    return rows.select(
+        "code", "source_name", "geography_id", "property_type", "metric", "methodology", "previous_period", "period", F.round("previous_value", 6).alias("previous_value"),
+        F.round("current_value", 6).alias("current_value"), F.round("change", 6).alias("change"), "observation_id",
+    )
+
+
+def light_findings(spark, sf_dir):
+    """Findings that decide eligibility here: duplicates, conflicts, jumps and proxies."""
+    rows = records(spark, sf_dir)
+    parts = [v.duplicates(rows), v.source_conflicts(rows.filter("is_rate")), v.gaps_and_jumps(rows), v.proxies(rows)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+SQL_SCORED = SQL_STEPS + f""",
+found as (
+  select observation_id, 'duplicate_observation' as code from records qualify count(*) over (partition by {NATURAL}, source_name, evidence, vintage, methodology) > 1
+  union all select observation_id, 'source_conflict' from records where is_rate
+    window w as (partition by {NATURAL}) qualify min(source_name) over w <> max(source_name) over w and round(max(value) over w - min(value) over w, 12) > 0.05::double
+  union all select unnest([previous_id, observation_id]), 'missing_periods' from judged where gap > 1
+  union all select unnest([previous_id, observation_id]), 'sudden_jump' from judged where round(change, 12) > jump_threshold
+  union all select observation_id, 'proxy_not_institutional_target' from records where target_classification <> 'institutional_target'),
+codes as (select observation_id, list_sort(list(distinct code)) as verification_findings from found group by observation_id),
+peers as (
+  select r.observation_id as pid, r.value as pvalue, r.source_name as psource, r.geography_id as g, r.period as p, r.property_type as t, r.metric as m, median({DIFF.format(rate="r.is_rate", a="r.value", b="o.value")}) as peer_distance
+  from (select distinct geography_id, period, property_type, metric, source_name, value, is_rate, '' as observation_id from records) r
+  join records o on o.geography_id = r.geography_id and o.period = r.period and o.property_type = r.property_type and o.metric = r.metric and o.source_name <> r.source_name
+  group by all),
+scored as (
+  select r.*, coalesce(c.verification_findings, []) as verification_findings, p.peer_distance,
+    round(case r.source_class when 'federal_public' then 0.98::double when 'state_local_public' then 0.92::double else 0.60::double end * 0.25::double + 0.15::double
+      + (case when peer_distance is null then 0.5::double else greatest(0::double, 1 - peer_distance / 0.10::double) end) * 0.15::double
+      + (case when greatest(date '{EVALUATED}' - retrieved_on, 0) <= 365 then 1 when date '{EVALUATED}' - retrieved_on <= 730 then 0.75::double
+              when date '{EVALUATED}' - retrieved_on <= 1825 then 0.5::double else 0.25::double end) * 0.10::double
+      + ((1 + 1 + 0 + case when redistribution_permitted = 'yes' then 1 else 0 end) / 4.0::double) * 0.10::double
+      + (case verification_status when 'analyst_verified' then 1 when 'rejected' then 0 else 0.45::double end) * 0.15::double
+      + (case when list_has_any(coalesce(c.verification_findings, []), ['duplicate_observation', 'sudden_jump']) then 0 else 1 end) * 0.10::double, 6) as confidence,
+    verification_status = 'analyst_verified' and not list_has_any(coalesce(c.verification_findings, []),
+      ['duplicate_observation', 'source_conflict', 'proxy_not_institutional_target']) as model_eligible
+  from records r left join codes c using (observation_id)
+  left join peers p on p.g = r.geography_id and p.p = r.period and p.t = r.property_type and p.m = r.metric and p.psource = r.source_name and p.pvalue = r.value)"""
+
+
+def scored(spark, sf_dir, with_peers=True):
+    rows = records(spark, sf_dir)
+    agreement = None if with_peers else v.no_agreement(rows)
+    return v.score(rows, light_findings(spark, sf_dir), evaluated_on=EVALUATED, confirmed=True, agreement=agreement)
+
+
+@query("ver_peer_agreement", "with " + SQL_SCORED + """
+select g as geography_id, p as period, t as property_type, m as metric, psource as source_name, round(pvalue, 6) as value, round(peer_distance, 6) as peer_distance from peers""")
+def ver_peer_agreement(spark, sf_dir):
+    agreement = v.peer_agreement(records(spark, sf_dir))
+    return agreement.select("geography_id", "period", "property_type", "metric", "source_name", F.round("value", 6).alias("value"), F.round("peer_distance", 6).alias("peer_distance"))
+
+
+@query("ver_confidence", "with " + SQL_SCORED + """
+select observation_id, round(confidence, 5) as confidence, model_eligible, array_to_string(verification_findings, ',') as findings from scored""")
+def ver_confidence(spark, sf_dir):
+    return scored(spark, sf_dir).select(
+        "observation_id", F.round("confidence", 5).alias("confidence"), "model_eligible", F.array_join("verification_findings", ",").alias("findings")
+    )
+
+
+@query("eligible_observations", "with " + SQL_SCORED + """
+select observation_id, metric, period, geography_id, round(value, 6) as value from scored where model_eligible""")
+def eligible_observations(spark, sf_dir):
+    return scored(spark, sf_dir, False).filter("model_eligible").select("observation_id", "metric", "period", "geography_id", F.round("value", 6).alias("value"))
+
+
+@query("ver_summary", "with " + SQL_SCORED + """,
+ids as (
+  select 'duplicate_observation' as code, concat_ws('|', geography_id, period, property_type, metric, source_name, evidence, vintage, methodology) as fid from records group by all having count(*) > 1
+  union all select 'source_conflict', concat_ws('|', geography_id, period, property_type) from records where is_rate group by all having min(source_name) <> max(source_name) and round(max(value) - min(value), 12) > 0.05::double
+  union all select 'missing_periods', previous_id || observation_id from judged where gap > 1
+  union all select 'sudden_jump', previous_id || observation_id from judged where round(change, 12) > jump_threshold
+  union all select distinct 'proxy', observation_id from records where target_classification <> 'institutional_target')
+select count(*) as observations, count(*) filter (where model_eligible) as model_eligible, count(*) filter (where verification_status = 'analyst_verified') as verified,
+  count(*) filter (where verification_status = 'unverified') as unverified, count(*) filter (where verification_status = 'rejected') as rejected,
+  (select count(*) from (select distinct code, fid from ids)) as findings, (select count(*) from ids where code = 'source_conflict') as conflicts from scored""")
+def ver_summary(spark, sf_dir):
+    findings = light_findings(spark, sf_dir)
+    rows = v.score(records(spark, sf_dir), findings, evaluated_on=EVALUATED, confirmed=True, agreement=v.no_agreement(records(spark, sf_dir)))
+    return v.summarize(rows, findings, True)
+
+
+@query("as_of_filter", "with " + b.SQL_RECORDS + """
+select observation_id, coalesce(release_date, retrieved_on) as available_date, 'release_date' as basis, coalesce(release_date, retrieved_on) <= date '1998-06-30' as included from records""")
+def as_of_filter(spark, sf_dir):
+    return v.available_as_of(records(spark, sf_dir), "1998-06-30").select("observation_id", "available_date", "basis", "included")
+
+
+@query("reconcile_priority", "with " + SQL_SCORED + f""",
+ranked as (select *, case source_name when '2-HIGH' then 0 when '1-URGENT' then 1 when '5-LOW' then 2 end as rank0, count(*) over (partition by {NATURAL}) as n from scored)
+select geography_id, period, property_type, metric, observation_id as selected_observation_id, round(value, 6) as value, source_name, n - 1 as alternatives
+from ranked where model_eligible and rank0 is not null
+qualify row_number() over (partition by {NATURAL} order by rank0, confidence desc, retrieved_on desc, observation_id) = 1""")
+def reconcile_priority(spark, sf_dir):
+    chosen = v.reconcile(scored(spark, sf_dir), PRIORITY)
+    return chosen.select("geography_id", "period", "property_type", "metric", "selected_observation_id", F.round("value", 6).alias("value"), "source_name", "alternatives")
+
+
+@query("canonical_targets", "with " + SQL_SCORED + """
+select metric, case when confidence >= 0.85::double then 'high' when confidence >= 0.65::double then 'moderate' else 'low' end as quality_level, count(*) as rows, max(release_date) as latest
+from scored where verification_status <> 'rejected' and not list_contains(verification_findings, 'duplicate_observation') group by all""")
+def canonical_targets(spark, sf_dir):
+    return v.canonicalize(scored(spark, sf_dir)).groupBy("metric", "quality_level").agg(F.count(F.lit(1)).alias("rows"), F.max("as_of_date").alias("latest"))
+
+
+@query("derive_growth", "with " + b.SQL_RECORDS + f""",
+single as (
+  select geography_id, property_type, source_name, methodology, {IDX} as idx, max(value) as value, max(observation_id) as oid, max(period) as period
+  from records where metric = 'asking_rent' group by all having count(*) = 1)
+select c.geography_id, c.property_type, c.source_name, c.period, round(c.value / p.value - 1, 6) as value, 'derived:' || p.oid || ':' || c.oid as source_identifier
+from single c join single p on p.geography_id = c.geography_id and p.property_type = c.property_type and p.source_name = c.source_name
+ and p.methodology = c.methodology and p.idx = c.idx - 4 where p.value <> 0""")
+def derive_growth(spark, sf_dir):
+    return v.derive_rent_growth(records(spark, sf_dir)).select("geography_id", "property_type", "source_name", "period", F.round("value", 6).alias("value"), "source_identifier")
+
+
+@query("derive_complement", "with " + SQL_COMPLEMENT + """
+select observation_id, round(1 - value, 6) as value, 'physical_vacancy' as methodology, 'derived:' || observation_id as source_identifier from both_sides where metric = 'occupancy_rate'""")
+def derive_complement(spark, sf_dir):
+    rows = v.derive_vacancy(complement_records(spark, sf_dir))
+    return rows.select("observation_id", F.round(F.col("value").cast("double"), 6).alias("value"), "methodology", "source_identifier")
+
+
+@query("derive_margin", "with " + SQL_OPERATING + """,
+m as (select geography_id, period, property_type, source_name, unit2, count(*) filter (where metric = 'same_store_revenue') as rn, count(*) filter (where metric = 'same_store_noi') as nn,
+  max(value) filter (where metric = 'same_store_revenue') as rev, max(value) filter (where metric = 'same_store_noi') as noi from ops group by all)
+select geography_id, period, property_type, source_name, round(noi / rev, 6) as value from m where rn = 1 and nn = 1 and rev > 0""")
+def derive_margin(spark, sf_dir):
+    return v.derive_noi_margin(operating_records(spark, sf_dir)).select("geography_id", "period", "property_type", "source_name", F.round("value", 6).alias("value"))
+
+
+@query("review_selection", "with " + SQL_SCORED + """
+select observation_id, period, list_has_any(verification_findings, ['duplicate_observation', 'source_conflict', 'proxy_not_institutional_target']) as refused
+from scored where geography_id in ('00001', '00002') and metric = 'vacancy_rate' and period between '1996-Q1' and '1997-Q4'""")
+def review_selection(spark, sf_dir):
+    rows = v.review_select(
+        records(spark, sf_dir), light_findings(spark, sf_dir), markets=["00001", "00002"], metrics=["vacancy_rate"], first="1996-Q1", last="1997-Q4"
+    )
+    return rows.select("observation_id", "period", "refused")
+
+
+@query("warning_decisions", "with " + b.SQL_RECORDS + """
+select geography_id, metric, count(*) as kept from records r
+where not (geography_id = '00004' and period = '1996-Q2') and not (metric = 'asking_rent' and period = '1997-Q1')
+  and not (observation_id in (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, 'vacancy_rate') from lineitem where l_quantity = 50)) group by all""")
+def warning_decisions(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    by_id = b.table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(
+        F.lit("observation").alias("scope"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.lit("vacancy_rate")).alias("observation_id"),
+        none.alias("geography_id"), none.alias("period"), none.alias("metric"),
+    )
+    fixed = spark.createDataFrame(
+        [("market_period", None, "00004", "1996-Q2", None), ("metric_period", None, None, "1997-Q1", "asking_rent")],
+        "scope string, observation_id string, geography_id string, period string, metric string",
+    )
+    decisions = by_id.unionByName(fixed).withColumn("decision", F.lit("exclude"))
+    return v.apply_decisions(rows, decisions).groupBy("geography_id", "metric").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("evidence_roots", """
+with links as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey as id, l_orderkey, l_linenumber, l_partkey from lineitem)
+select id as root_id, 'doc-' || l_orderkey as source_identifier, cast(0 as integer) as depth from links where l_linenumber <= 4
+union select c.id, 'doc-' || p.l_orderkey, 1 from links c join links p on p.l_orderkey = c.l_orderkey and p.l_partkey = c.l_partkey and p.l_linenumber = 1 where c.l_linenumber > 4""")
+def evidence_roots(spark, sf_dir):
+    """Lines above four cite their order's first line of the same part; others cite the order document."""
+    lines = b.table(spark, sf_dir, "lineitem")
+    first = F.concat(F.lit("derived:"), F.concat_ws("-", F.col("l_orderkey"), F.lit(1), F.col("l_partkey")))
+    rows = lines.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("observation_id"),
+        F.when(F.col("l_linenumber") > 4, first).otherwise(F.concat(F.lit("doc-"), F.col("l_orderkey").cast("string"))).alias("source_identifier"),
+    )
+    return v.evidence_roots(rows, 2)
+
+
+@query("series_scorecard", "with " + SQL_SCORED + f"""
+select source_name, property_type, metric, geography_type, geography_id, count(*) as observations, min(period) as earliest_period, max(period) as latest_period,
+  'quarterly' as frequency, max({IDX}) - min({IDX}) + 1 as expected_periods, max({IDX}) - min({IDX}) + 1 - count(distinct period) as missing_periods,
+  round(count(distinct period) / (max({IDX}) - min({IDX}) + 1), 6) as coverage_ratio, count(*) - count(distinct period) as duplicate_periods,
+  count(distinct methodology) as methodology_versions, count(distinct methodology) = 1 as methodology_consistent, true as unit_consistent,
+  round(count(release_date) / count(*), 6) as release_date_coverage, round(count(*) filter (where verification_status = 'analyst_verified') / count(*), 6) as verification_rate,
+  round(count(*) filter (where model_eligible) / count(*), 6) as model_eligible_rate,
+  count(*) filter (where list_contains(verification_findings, 'sudden_jump')) as sudden_jump_rows, count(*) filter (where list_contains(verification_findings, 'source_conflict')) as source_conflict_rows
+from scored group by source_name, property_type, metric, geography_type, geography_id""")
+def series_scorecard(spark, sf_dir):
+    return scorecards.series_scorecard(scored(spark, sf_dir, False))
+
+
+@query("series_finding_counts", "with " + SQL_SCORED + """
+select source_name, property_type, metric, geography_type, geography_id, code, count(*) as rows from (select *, unnest(verification_findings) as code from scored) group by all""")
+def series_finding_counts(spark, sf_dir):
+    return scorecards.finding_counts(scored(spark, sf_dir, False))
+
+
+@query("target_audit", "with " + SQL_SCORED + """
+select property_type, metric, source_name as source, target_classification as classification, count(distinct geography_id) as markets, count(distinct period) as periods,
+  count(*) as observations, count(*) filter (where verification_status = 'analyst_verified') as verified, count(*) filter (where model_eligible) as model_eligible,
+  min(period) as earliest_period, max(period) as latest_period,
+  case when count(licensing_notes) = count(*) then 'documented' when count(licensing_notes) = 0 then 'missing' else 'mixed' end as license_status
+from scored group by property_type, metric, source_name, target_classification""")
+def target_audit(spark, sf_dir):
+    audit = scorecards.target_audit(scored(spark, sf_dir, False), target_metric_dim(spark))
+    return audit.filter("observations > 0").drop("automation_status")
+
+
+@query("uncovered_targets", "with " + b.SQL_RECORDS + """, wanted as (select unnest(['multifamily', 'industrial', 'office', 'retail']) as property_type)
+select w.property_type, m.metric, cast(0 as bigint) as observations from wanted w, (select distinct metric from records) m
+where not exists (select 1 from records r where r.property_type = w.property_type and r.metric = m.metric)""")
+def uncovered_targets(spark, sf_dir):
+    audit = scorecards.target_audit(scored(spark, sf_dir, False), target_metric_dim(spark).filter("metric IN ('asking_rent', 'vacancy_rate')"))
+    return audit.filter("observations = 0").select("property_type", "metric", "observations")
+
+
+GATE = """case when licensing_notes is null then 0 when verification_status <> 'analyst_verified' then 1 when list_contains(verification_findings, 'source_conflict') then 2
+  when list_has_any(verification_findings, ['methodology_change', 'methodology_mismatch', 'market_geography_mismatch', 'occupancy_vacancy_mismatch']) then 3
+  when not model_eligible then 4 else 5 end"""
+
+
+@query("readiness_funnel", "with " + SQL_SCORED + f""",
+g as (select {GATE} as gate from scored),
+stage_names as (select unnest(['raw_candidates','structurally_valid','rights_documented','analyst_reviewed','conflict_resolved','methodology_compatible','model_eligible']) as name, unnest(range(7)) as position, unnest([-1,0,1,2,3,4,5]) as low),
+excluded_names as (select unnest(['missing_rights','not_analyst_reviewed','source_conflict','methodology_or_geography','other_quality_gate']) as name, unnest(range(5)) as position)
+select 'stage' as kind, cast(position as integer) as position, name, (select count(*) from g where gate >= low) as count from stage_names
+union all select 'excluded', cast(position as integer), name, (select count(*) from g where gate = position) from excluded_names""")
+def readiness_funnel(spark, sf_dir):
+    return scorecards.readiness_funnel(scored(spark, sf_dir, False))
+
+
+@query("coverage_matrix", "with " + SQL_SCORED + """
+select property_type, metric, geography_id as market, period, count(*) as observations, count(*) filter (where model_eligible) as eligible,
+  string_agg(distinct source_name, ',' order by source_name) as sources from scored group by all""")
+def coverage_matrix(spark, sf_dir):
+    return scorecards.coverage_matrix(scored(spark, sf_dir, False))
+
+
+@query("target_coverage", "with " + b.SQL_RECORDS + """
+select property_type, metric, count(*) as observations, count(distinct geography_id) as markets, min(period) as earliest, max(period) as latest,
+  count(*) filter (where verification_status = 'analyst_verified') as verified from records group by property_type, metric""")
+def target_coverage(spark, sf_dir):
+    return scorecards.target_coverage(records(spark, sf_dir))
+
+
+@query("target_workbench", "with " + b.SQL_RECORDS + """
+select property_type, metric, geography_id, period, count(*) as observations, count(distinct source_name) as sources, count(distinct methodology) as methodologies,
+  count(distinct source_name) > 1 as conflict_review, count(distinct methodology) > 1 as methodology_review from records group by property_type, metric, geography_id, period""")
+def target_workbench(spark, sf_dir):
+    return scorecards.target_workbench(records(spark, sf_dir))
+
+
+@query("dataset_status", "with " + SQL_SCORED + """
+select source_name, vintage, count(*) as observations, count(*) filter (where model_eligible) as model_eligible, count(*) filter (where verification_status = 'rejected') as rejected,
+  min(period) as earliest, max(period) as latest from scored group by source_name, vintage""")
+def dataset_status(spark, sf_dir):
+    return scorecards.dataset_status(scored(spark, sf_dir, False))
+
+
+@query("review_inventory", "with " + b.SQL_RECORDS + """
+select geography_id, metric, count(*) as observations, min(period) as first_period, max(period) as last_period, round(min(value), 6) as minimum, round(max(value), 6) as maximum,
+  string_agg(distinct unit, ',' order by unit) as units, string_agg(distinct methodology, ',' order by methodology) as methodologies, count(distinct evidence) as evidence_documents
+from records group by geography_id, metric""")
+def review_inventory(spark, sf_dir):
+    rows = scorecards.review_inventory(records(spark, sf_dir))
+    return rows.withColumns({"minimum": F.round("minimum", 6), "maximum": F.round("maximum", 6)})
+
+
+@query("company_coverage", "with " + SQL_SCORED + """
+select source_name, count(*) as observations, count(distinct geography_id) as markets, count(distinct period) as periods, count(*) filter (where model_eligible) as eligible,
+  case when count(*) filter (where model_eligible) > 0 then 'ELIGIBLE' else 'EVIDENCE_ONLY' end as status from scored group by source_name""")
+def company_coverage(spark, sf_dir):
+    return scorecards.company_coverage(scored(spark, sf_dir, False))
+
+
+@query("market_depth", "with " + b.SQL_RECORDS + """
+select geography_id, count(distinct period) as periods, count(distinct period) >= 20 as meets_minimum from records group by geography_id""")
+def market_depth(spark, sf_dir):
+    return scorecards.market_depth(records(spark, sf_dir), 20)
+
+
+@query("series_continuity", "with " + b.SQL_RECORDS + f""",
+named as (select *, concat_ws('/', source_name, vintage, property_type) as desk from records),
+per as (select desk, period, list_sort(list(distinct geography_id)) as markets, list_sort(list(distinct metric)) as schema, {IDX} as idx from named group by all),
+s as (select *, lag(markets) over w as pm, lag(schema) over w as ps, lag(idx) over w as pi from per window w as (partition by desk order by idx))
+select desk as source_name, period, idx - pi - 1 as missing_periods, len(list_filter(markets, lambda x: not list_contains(pm, x))) as markets_added,
+  len(list_filter(pm, lambda x: not list_contains(markets, x))) as markets_removed, schema <> ps as schema_changed from s where pm is not null""")
+def series_continuity(spark, sf_dir):
+    rows = records(spark, sf_dir).withColumn("source_name", F.concat_ws("/", "source_name", "vintage", "property_type"))
+    return scorecards.series_continuity(rows)
+
+
+@query("spot_check", "with " + b.SQL_RECORDS + """
+select source_name, metric, observation_id, cast(row_number() over w as integer) as rank from records
+window w as (partition by source_name, metric order by sha256('dataset-1' || observation_id), observation_id) qualify row_number() over w <= 20""")
+def spot_check(spark, sf_dir):
+    return scorecards.spot_check(records(spark, sf_dir), "dataset-1", ["source_name", "metric"]).select("source_name", "metric", "observation_id", "rank")

@@ -191,9 +191,9 @@ def annual_growth(spark, sf_dir):
 @query("observation_lineage", "with " + b.SQL_LEDGER + """
 select c.observation_id, c.source_version, cast(c.value as double) as value, l.created_at, l.rows as manifest_rows
 from canonical c join ledger l using (source_id, source_dataset, source_version)
-where c.observation_id in (select concat_ws('-', l_orderkey, l_linenumber, l_partkey) || '-line_price' from lineitem where l_quantity >= 49)""")
+where c.observation_id in (select concat_ws('-', l_orderkey, l_linenumber, l_partkey) || '-line_price' from lineitem)""")
 def observation_lineage(spark, sf_dir):
-    wanted = b.table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(
+    wanted = b.table(spark, sf_dir, "lineitem").select(
         F.concat(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), F.lit("-line_price")).alias("observation_id")
     )
     led = b.ledger(spark, sf_dir).withColumn("manifest_hash", F.col("rows"))

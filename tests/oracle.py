@@ -59,8 +59,9 @@ def compare(spark, con, query, sql, sf_dir):
         return "COLUMNS", len(got), took, f"{columns} vs {sorted(names)}"
     if got == want:
         return "ok", len(got), took, ""
-    missing = [r for r in want if r not in set(got)][:3]
-    extra = [r for r in got if r not in set(want)][:3]
+    have, need = set(got), set(want)
+    missing = [r for r in want if r not in have][:3]
+    extra = [r for r in got if r not in need][:3]
     return "DIFF", len(got), took, f"{len(got)} vs {len(want)} rows; columns {columns}\n   spark only {extra}\n   duck only  {missing}"
 
 
