@@ -181,7 +181,8 @@ def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def peer_median_distance(
-    df: DataFrame, group: list[str], source: str, value: str, relative: Column, out: str = "peer_distance"
+    df: DataFrame, group: list[str], source: str, value: str, relative: Column, out: str = "peer_distance",
+    stage=lambda df: df,
 ) -> DataFrame:
     """Median distance from each (group, source, value) to the values of the other sources.
 
@@ -190,6 +191,7 @@ def peer_median_distance(
     number of run midpoints below the query.  So one rank pass, one rank-shifted equi-join and
     one as-of count give the k-th nearest distance exactly, without pairing rows in a group.
     Returns one row per distinct (group, source, value) that has at least one peer.
+    ``stage`` materialises the ranked peers, which five joins read.
     """
     keys = [*group, "__asker"]
     base = df.select(*group, F.col(source).alias("__source"), F.col(value).cast("double").alias("__v"), relative.alias("__rel"))
@@ -201,7 +203,7 @@ def peer_median_distance(
         .select(*keys, "__v", "__rel")
     )
     peers = value_chunks(peers, keys, "__v")
-    ranked = dense_positions(peers, keys, ["__v"], F.col("__piece"), "__i").drop("__piece")
+    ranked = stage(dense_positions(peers, keys, ["__v"], F.col("__piece"), "__i").drop("__piece"))
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("__rel").alias("__rel"))
     queries = null_safe_join(
         base.select(*group, F.col("__source").alias("__asker"), F.col("__v").alias("__q")).distinct(), sizes, keys

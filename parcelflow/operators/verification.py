@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import keyed, numbers, periods
 from parcelflow.schemas import BLOCKING_FINDINGS, SOURCE_RELIABILITY
+from parcelflow.session import checkpointed
 
 NATURAL = ["geography_type", "geography_id", "period", "frequency", "property_type", "property_subtype", "metric"]
 SERIES = ["geography_type", "geography_id", "frequency", "property_type", "property_subtype", "metric", "methodology", "source_name"]
@@ -191,7 +192,7 @@ def all_findings(rows: DataFrame, *, evaluated_on: str, confirmed: bool = False,
 
 def peer_agreement(rows: DataFrame) -> DataFrame:
     """Median distance to other sources of the same natural key, per (natural key, source, value)."""
-    return keyed.peer_median_distance(rows, NATURAL, "source_name", "value", F.col("is_rate"))
+    return keyed.peer_median_distance(rows, NATURAL, "source_name", "value", ~F.col("is_rate"), stage=checkpointed)
 
 
 def no_agreement(rows: DataFrame) -> DataFrame:
