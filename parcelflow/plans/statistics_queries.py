@@ -119,7 +119,8 @@ def regression_diagnostics(spark, sf_dir):
 
 
 SQL_TRAIN = SQL_PANEL + """,
-origins as (select idx as origin, period_start as origin_start from panel group by all qualify row_number() over (order by idx) > 4),
+grid as (select idx as origin, min(period_start) as origin_start from panel group by idx),
+origins as (select * from grid qualify row_number() over (order by origin) > 4),
 train as (select o.origin, p.* from origins o join panel p on p.idx < o.origin and p.target_available_at <= o.origin_start)"""
 
 SQL_FORWARD = SQL_TRAIN + """,
