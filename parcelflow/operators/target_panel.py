@@ -157,10 +157,10 @@ def county_weights(inventory: DataFrame) -> DataFrame:
     # Exact floor at 12 places: integer division of the scaled numerator.
     scaled = F.expr("CAST(CAST(__part AS DECIMAL(26,0)) * CAST(1000000000000 AS DECIMAL(13,0)) AS DECIMAL(38,0)) div CAST(__whole AS DECIMAL(38,0))")
     rounded = joined.withColumns({"__part": part, "__whole": whole}).withColumn("__floor", (scaled.cast("decimal(14,0)") * F.lit("0.000000000001").cast("decimal(13,12)")).cast("decimal(28,12)"))
-    others = rounded.filter("county_fips <> last").groupBy("market_id").agg(F.sum("__floor").alias("__others"))
+    others = rounded.filter("county_fips <> last").groupBy("market_id").agg(F.sum("__floor").cast("decimal(14,12)").alias("__others"))
     final = rounded.join(others, "market_id", "left")
-    one = F.lit(1).cast("decimal(28,12)")
-    weight = F.when(F.col("county_fips") == F.col("last"), one - F.coalesce(F.col("__others"), F.lit(0).cast("decimal(28,12)"))).otherwise(F.col("__floor"))
+    one = F.lit(1).cast("decimal(14,12)")
+    weight = F.when(F.col("county_fips") == F.col("last"), one - F.coalesce(F.col("__others"), F.lit(0).cast("decimal(14,12)"))).otherwise(F.col("__floor"))
     return final.select("market_id", "county_fips", weight.cast("decimal(28,12)").alias("weight"), F.when(by_units, "units").otherwise("properties").alias("basis"))
 
 
