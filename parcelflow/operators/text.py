@@ -162,15 +162,18 @@ def day(text: Column, preference: str = "mdy") -> Column:
     return F.struct(value.alias("value"), (is_mixed & value.isNotNull() & (a <= 12) & (b <= 12) & (a != b)).alias("ambiguous"))
 
 
-def normalize(text: Column, kind: str, unit: str | None) -> Column:
-    """TXT-03: normalised text of an extracted value, null when it breaks its type."""
+def normalize(text: Column, kind: str, unit: str | None, parsed: Column | None = None, parsed_day: Column | None = None) -> Column:
+    """TXT-03: normalised text of an extracted value, null when it breaks its type.
+
+    ``parsed`` and ``parsed_day`` are the number and date of the text when already computed.
+    """
     if kind == "text":
         return F.nullif(F.trim(text), F.lit(""))
     if kind == "fips":
         return F.when(F.trim(text).rlike(r"^\d{5}$"), F.trim(text))
     if kind == "date":
-        return day(text)["value"].cast("string")
-    value = number(text)
+        return (day(text)["value"] if parsed_day is None else parsed_day).cast("string")
+    value = number(text) if parsed is None else parsed
     if kind == "integer":
         value = F.when(value == F.floor(value), value)
     if kind in ("rate", "signed_rate"):
@@ -186,25 +189,34 @@ def normalize(text: Column, kind: str, unit: str | None) -> Column:
 def extract_fields(df: DataFrame, text: str, category: str | None = "category", fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """TXT-02: first match of every applicable field as long rows with excerpt and confidence.
 
-    All patterns are evaluated on the row, so extraction is map-only.
+    Matching is map-only; only matched fields become rows, and values are normalised there by
+    kind and unit, once per match.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    entries = []
-    for f in fields:
-        raw = F.substring(F.trim(F.regexp_extract(body, f.pattern, 1)), 1, 500)
-        whole = F.regexp_extract(body, f.pattern, 0)
-        hit = whole != ""
-        if category:
-            hit = hit & (F.col(category).isNull() | (F.col(category) == "unknown") | F.col(category).isin(*f.categories))
-        value = normalize(raw, f.kind, f.unit)
-        start = F.instr(body, whole)
-        excerpt = F.trim(F.substring(body, F.greatest(start - 60, F.lit(1)), F.length(whole) + F.when(start > 60, F.lit(120)).otherwise(start + 59)))
-        entries.append(F.when(hit, F.struct(
-            F.lit(f.name).alias("field_name"), raw.alias("raw_value"), value.alias("normalized_value"), excerpt.alias("excerpt"),
-            F.when(value.isNull(), F.least(F.lit(f.confidence), F.lit(0.45))).otherwise(F.lit(f.confidence)).alias("confidence"), F.lit(f.unit).cast("string").alias("unit"),
-        )))
+    table = F.array(*[
+        F.struct(
+            F.lit(f.name).alias("field_name"), F.lit(f.pattern).alias("__pattern"), F.lit(f.kind).alias("__kind"), F.lit(f.unit).cast("string").alias("unit"), F.lit(f.confidence).alias("__confidence"),
+            F.array(*[F.lit(c) for c in f.categories]).alias("__categories"),
+        ) for f in fields
+    ])
+    kind_of = F.coalesce(F.col(category), F.lit("unknown")) if category else F.lit("unknown")
+    wanted = F.filter(table, lambda f: ((kind_of == "unknown") | F.array_contains(f["__categories"], kind_of)) & F.regexp_like(body, f["__pattern"]))
     keys = [c for c in df.columns if c != text]
-    return df.select(*keys, F.inline(F.array_compact(F.array(*entries))))
+    found = df.select(*keys, body.alias("__body"), F.inline(wanted)).withColumns({
+        "__whole": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(0)), "__raw": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(1)),
+    })
+    found = found.withColumn("raw_value", F.substring(F.trim("__raw"), 1, 500))
+    numeric = F.col("__kind").isin("decimal", "integer", "rate", "signed_rate")
+    found = found.withColumn("__number", F.when(numeric, number(F.col("raw_value")))).withColumn("__day", F.when(F.col("__kind") == "date", day(F.col("raw_value"))["value"]))
+    value = F.lit(None).cast("string")
+    for kind, unit in sorted({(f.kind, f.unit if f.kind in ("rate", "signed_rate") else None) for f in fields}, key=str):
+        match = (F.col("__kind") == kind) & (F.col("unit") == unit if unit else F.lit(True))
+        value = F.when(match, normalize(F.col("raw_value"), kind, unit, F.col("__number"), F.col("__day"))).otherwise(value)
+    start, width = F.instr("__body", F.col("__whole")), F.length("__whole")
+    excerpt = F.trim(F.substring("__body", F.greatest(start - 60, F.lit(1)), width + F.least(start - 1, F.lit(60)) + 60))
+    out = found.withColumns({"normalized_value": value, "excerpt": excerpt})
+    confidence = F.when(F.col("normalized_value").isNull(), F.least("__confidence", F.lit(0.45))).otherwise(F.col("__confidence"))
+    return out.select(*keys, "field_name", "raw_value", "normalized_value", "excerpt", confidence.alias("confidence"), "unit")
 
 
 def slug(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.operators import features
+from parcelflow.session import checkpointed
 
 
 class FeatureConflict(ValueError):
@@ -37,7 +38,7 @@ def needed(specs, names) -> list[features.FeatureSpec]:
 
 def build(
     facts: DataFrame, *, geography: str, frequency: str, specs=features.REGISTRY, crosswalk: DataFrame | None = None,
-    only: list[str] | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df, check: bool = True,
+    only: list[str] | None = None, stage: Callable[[DataFrame], DataFrame] = checkpointed, check: bool = True,
 ) -> FeatureTables:
     """Build one feature table.
 

@@ -51,3 +51,21 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def run_to_table(rolled: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Final state of a windowed roll-up: every batch upserts its changed windows as Parquet, the newest batch wins.
+
+    Update mode also emits windows that the watermark has not closed yet, so nothing waits for
+    data after the end of the stream.
+    """
+    spark = rolled.sparkSession
+    keys = [c for c in rolled.columns if c not in ("observations", "total", "mean", "available_at")]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch_id={epoch}")
+
+    rolled.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct("observations", "total", "mean", "available_at"), "epoch").alias("s"))
+    return newest.select(*keys, "s.*")
