@@ -90,12 +90,12 @@ def rank_comps(
     same = ["property_type", "latitude", "longitude", "units", "year_built"] + (["age"] if kind == "sale" else [])
     usable = keyed.top_rows(usable, same, [F.col("address"), F.col("comp_id")], limit, "__same").drop("__same")
     size = radius_miles / geo.MILES_PER_DEGREE
-    fine = size / 8
+    fine = size / 4
     buckets = usable.withColumns({
         "lat_cell": geo.cell(F.col("latitude"), size), "lon_cell": geo.cell(F.col("longitude"), size), "f_lat": geo.cell(F.col("latitude"), fine), "f_lon": geo.cell(F.col("longitude"), fine),
-        "f_units": F.coalesce(F.floor(F.log2(F.when(F.col("units") > 0, F.col("units"))) * 2).cast("int"), F.lit(-99)),
-        "f_year": F.coalesce(F.floor(F.when(F.col("year_built") > 0, F.col("year_built")) / 10).cast("int"), F.lit(-99)),
-        "f_age": F.floor(F.col("age") / 90).cast("int") if kind == "sale" else F.lit(0),
+        "f_units": F.coalesce(F.floor(F.log2(F.when(F.col("units") > 0, F.col("units")))).cast("int"), F.lit(-99)),
+        "f_year": F.coalesce(F.floor(F.when(F.col("year_built") > 0, F.col("year_built")) / 25).cast("int"), F.lit(-99)),
+        "f_age": F.floor(F.col("age") / 365).cast("int") if kind == "sale" else F.lit(0),
     })
     bucket = ["property_type", "lat_cell", "lon_cell", "f_lat", "f_lon", "f_units", "f_year", "f_age"]
     bounds = buckets.groupBy(*bucket).agg(

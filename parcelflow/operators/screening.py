@@ -19,7 +19,7 @@ DEC = "decimal(28,12)"
 class Policy:
     """Thresholds of policy version 1.0.0."""
 
-    policy_id: str = "opportunity-finder-deterministic-screening"
+    policy_id: str = "deterministic-screening"
     version: str = "1.0.0"
     minimum_dimensions: int = 3
     high_dimensions: int = 5

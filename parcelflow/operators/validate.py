@@ -183,11 +183,14 @@ ECONOMIC_FIELDS = {
     "vacancy_rate": ("decimal_fraction", "rate"), "concessions_rate": ("decimal_fraction", "rate"), "loan_amount": ("USD", "amount"),
     "interest_rate": ("decimal_fraction", "rate"), "amortization_years": ("years", "years"), "loan_term_years": ("years", "years"),
 }
-ECONOMIC_SOURCE_TYPES = ("analyst_entered", "document_evidence", "public_record", "user_owned", "test2_candidate")
+ECONOMIC_SOURCE_TYPES = ("analyst_entered", "document_evidence", "public_record", "user_owned")
 
 
-def economic_errors(df: DataFrame) -> DataFrame:
-    """VAL-10: one row per (subject_id, field); duplicates are counted with a splittable join."""
+def economic_errors(df: DataFrame, extra_source_types: tuple[str, ...] = ()) -> DataFrame:
+    """VAL-10: one row per (subject_id, field); duplicates are counted with a splittable join.
+
+    ``extra_source_types`` admits the hand-off types of other systems.
+    """
     spec = F.create_map(*[F.lit(v) for field, (unit, kind) in ECONOMIC_FIELDS.items() for v in (field, f"{unit}|{kind}")])
     found = spec[F.col("field")]
     unit, kind = F.split_part(found, F.lit("|"), F.lit(1)), F.split_part(found, F.lit("|"), F.lit(2))
@@ -200,7 +203,7 @@ def economic_errors(df: DataFrame) -> DataFrame:
         "value_invalid": value.isNull(),
         "value_out_of_range": ((kind == "amount") & (value < 0)) | ((kind == "positive") & (value <= 0))
         | ((kind == "rate") & ~value.between(0, 1)) | ((kind == "years") & ~value.between(1, 100)),
-        "source_incomplete": ~F.coalesce(F.col("source_type").isin(*ECONOMIC_SOURCE_TYPES), F.lit(False))
+        "source_incomplete": ~F.coalesce(F.col("source_type").isin(*ECONOMIC_SOURCE_TYPES, *extra_source_types), F.lit(False))
         | blank(F.col("source_reference")) | blank(F.col("licensing_notes")) | F.col("as_of_date").isNull(),
         "future_evidence": F.col("as_of_date") > F.col("analysis_as_of"),
     })).drop("__copies")

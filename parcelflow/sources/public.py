@@ -178,7 +178,7 @@ def require_rows(df: DataFrame, source: str) -> DataFrame:
 
 def read_bea(spark: SparkSession, path: str, table: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """SRC-06: year columns to rows; state rows end in 000."""
-    df = _csv(spark, path, encoding="cp1252")
+    df = _csv(spark, path, encoding="iso-8859-1")
     require(df, {"GeoFIPS", "LineCode", "Unit"}, "regional accounts")
     years = [c for c in df.columns if c.isdigit() and len(c) == 4 and (not first or int(c) >= first) and (not last or int(c) <= last)]
     lines = {line: row for (t, line), row in BEA_TABLES.items() if t == table}
@@ -249,7 +249,7 @@ def read_fmr(spark: SparkSession, path: str, first: int | None = None, last: int
     """SRC-09: fmrYY_B columns to (year, bedroom) rows; subdivisions stay apart from counties."""
     import re
 
-    df = _csv(spark, path, encoding="cp1252")
+    df = _csv(spark, path, encoding="iso-8859-1")
     require(df, {"fips", "state", "county", "cousub", "name"}, "fair market rents")
     fields = [c for c in df.columns if re.fullmatch(r"fmr\d{2}_[0-4]", c)]
     if not fields:
