@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITION_BLOCK = 16384
+SMALL_GROUP = 256
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -186,15 +187,39 @@ def peer_median_distance(
 ) -> DataFrame:
     """Median distance from each (group, source, value) to the values of the other sources.
 
-    Distance is ``|a-b|`` or, where ``relative``, ``|a-b| / max(|a|,|b|)``.  The k values
-    nearest to a query are a contiguous run in sorted order, and the start of that run is the
-    number of run midpoints below the query.  So one rank pass, one rank-shifted equi-join and
-    one as-of count give the k-th nearest distance exactly, without pairing rows in a group.
-    Returns one row per distinct (group, source, value) that has at least one peer.
-    ``stage`` materialises the ranked peers, which five joins read.
+    Distance is ``|a-b|`` or, where ``relative``, ``|a-b| / max(|a|,|b|)``.  Groups of at most
+    ``SMALL_GROUP`` rows are compared inside one array; larger groups go through ranks, which
+    is exact as well and never pairs or gathers the rows of a group.  Returns one row per
+    distinct (group, source, value) that has at least one peer.
+    """
+    base = df.select(
+        *group, F.col(source).alias("__source"), F.col(value).cast("double").alias("__v"), relative.alias("__rel")
+    ).filter("__v IS NOT NULL")
+    sized = with_group_stats(base, group, F.count(F.lit(1)).alias("__size"))
+    small = _peer_distance_in_arrays(sized.filter(F.col("__size") <= SMALL_GROUP), group, source, value, out)
+    large = _peer_distance_by_rank(sized.filter(F.col("__size") > SMALL_GROUP).drop("__size"), group, source, value, out, stage)
+    return small.unionByName(large)
+
+
+def _peer_distance_in_arrays(base: DataFrame, group: list[str], source: str, value: str, out: str) -> DataFrame:
+    members = base.groupBy(*group).agg(F.collect_list(F.struct("__source", "__v")).alias("__m"), F.first("__rel").alias("__rel"))
+    asked = members.withColumn("__q", F.explode(F.array_distinct("__m")))
+    far = F.array_sort(F.transform(
+        F.filter("__m", lambda x: x["__source"] != F.col("__q.__source")), lambda x: _distance(F.col("__q.__v"), x["__v"], F.col("__rel"))
+    ))
+    ranked = asked.select(*group, "__q", far.alias("__d")).filter(F.size("__d") > 0)
+    low, high = F.floor((F.size("__d") - 1) / 2).cast("int"), F.floor(F.size("__d") / 2).cast("int")
+    return ranked.select(
+        *group, F.col("__q.__source").alias(source), F.col("__q.__v").alias(value), ((F.col("__d")[low] + F.col("__d")[high]) / 2).alias(out)
+    )
+
+
+def _peer_distance_by_rank(base: DataFrame, group: list[str], source: str, value: str, out: str, stage) -> DataFrame:
+    """The k values nearest to a query are a contiguous run in sorted order, and the start of that
+    run is the number of run midpoints below the query.  One rank pass, one rank-shifted
+    equi-join and one as-of count give the k-th nearest distance.
     """
     keys = [*group, "__asker"]
-    base = df.select(*group, F.col(source).alias("__source"), F.col(value).cast("double").alias("__v"), relative.alias("__rel"))
     askers = base.select(*group, F.col("__source").alias("__asker")).distinct()
     renamed = base.withColumnsRenamed({k: f"__r_{k}" for k in group})
     match = reduce(and_, [askers[k].eqNullSafe(renamed[f"__r_{k}"]) for k in group])

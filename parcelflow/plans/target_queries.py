@@ -215,10 +215,10 @@ def ver_peer_agreement(spark, sf_dir):
 
 
 @query("ver_confidence", "with " + SQL_SCORED + """
-select observation_id, round(confidence, 5) as confidence, model_eligible, array_to_string(verification_findings, ',') as findings from scored""")
+select observation_id, confidence, model_eligible, array_to_string(verification_findings, ',') as findings from scored""")
 def ver_confidence(spark, sf_dir):
     return scored(spark, sf_dir).select(
-        "observation_id", F.round("confidence", 5).alias("confidence"), "model_eligible", F.array_join("verification_findings", ",").alias("findings")
+        "observation_id", "confidence", "model_eligible", F.array_join("verification_findings", ",").alias("findings")
     )
 
 
