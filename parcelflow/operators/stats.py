@@ -86,15 +86,21 @@ def _dot(beta: str, columns: list[Column]) -> Column:
 
 
 def fit_ols(
-    df: DataFrame, target: str, features: list[str], *, group: list[str] | None = None, entity_effects: bool = False, covariance: str = "hc1",
+    df: DataFrame, target: str, features: list[str], *, group: list[str] | None = None, entity_effects: bool = False, time_effects: bool = False,
+    covariance: str = "hc1",
 ) -> DataFrame:
     """REG-01/02: one row per (group, term) with coefficient, standard error, p-value and fit diagnostics.
 
     Entity effects use within-demeaning; the parameter count includes the dummies, so standard
-    errors equal those of the dummy-variable model.
+    errors equal those of the dummy-variable model.  Time effects become one explicit dummy per
+    period after the first; the period labels are bounded by the calendar.
     """
     if covariance not in ("classical", "hc1", "cluster_entity"):
         raise ValueError("covariance must be classical, hc1 or cluster_entity")
+    if time_effects:
+        labels = sorted(r[0] for r in df.select("label").distinct().collect())[1:]
+        df = df.withColumns({f"time[{t}]": (F.col("label") == t).cast("double") for t in labels})
+        features = [*features, *[f"time[{t}]" for t in labels]]
     rows = df if group else df.withColumn("__model", F.lit(1))
     group = list(group or ["__model"])
     p = len(features)

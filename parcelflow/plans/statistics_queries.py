@@ -243,3 +243,12 @@ def reproduce_models(spark, sf_dir):
     digests = stats.result_digest(stats.fit_ols(rows, "target", FEATURES, group=["source_company"]), ["source_company"])
     stored = digests.withColumn("digest", F.when(F.col("source_company") == "north", F.col("digest")).otherwise("stale"))
     return stats.reproduce(rows, "target", FEATURES, stored, ["source_company"]).select("source_company", "reproduced")
+
+
+@query("ols_two_way", "with " + SQL_PANEL + """,
+w as (select target - avg(target) over (partition by entity) - avg(target) over (partition by label) + avg(target) over () as y, rent - avg(rent) over (partition by entity) - avg(rent) over (partition by label) + avg(rent) over () as x from panel)
+select round(sum(x * y) / sum(x * x), 6) as coefficient, count(*) as n, (select count(distinct entity) + count(distinct label) from panel) as parameters from w""")
+def ols_two_way(spark, sf_dir):
+    """Entity and time effects together; the closed form of the text holds for a balanced panel."""
+    fit = stats.fit_ols(panel(spark, sf_dir), "target", ["rent"], entity_effects=True, time_effects=True, covariance="classical")
+    return fit.filter("term = 'rent'").select(F.round("coefficient", 6).alias("coefficient"), "n", "parameters")

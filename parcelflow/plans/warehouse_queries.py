@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelflow.functions import periods
+from parcelflow.functions import numbers, periods
 from parcelflow.operators import validate, warehouse
 from parcelflow.plans import bindings as b
 from parcelflow.plans.registry import query
 from parcelflow.schemas import metric_dim, target_metric_dim
+from parcelflow.sources import panels
 
 
 @query("flagship_growth_panel", "with " + b.SQL_LINES + """,
@@ -296,3 +297,55 @@ def public_registry_check(spark, sf_dir):
     dim = metric_dim(spark).select("metric", F.lit(1).alias("known"))
     joined = b.canonical(spark, sf_dir).join(F.broadcast(dim), "metric", "left")
     return joined.groupBy("metric").agg(F.count(F.lit(1)).alias("rows"), F.count("known").alias("governed_rows"))
+
+
+@query("decimal_predicates", """
+select o_orderpriority, count(*) filter (where cast(o_totalprice as decimal(18,2)) >= 250000.00) as at_least, count(*) filter (where cast(o_totalprice as decimal(18,2)) <= 100000.50) as at_most, cast(0 as bigint) as unparsable
+from orders group by 1""")
+def decimal_predicates(spark, sf_dir):
+    """Exact decimal comparison of text values; text that is no number never matches."""
+    text = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return b.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
+        F.count_if(numbers.decimal_at_least(text, F.lit("250000.00"))).alias("at_least"), F.count_if(numbers.decimal_at_most(text, F.lit("100000.50"))).alias("at_most"),
+        F.count_if(numbers.decimal_at_least(F.concat(text, F.lit("?")), F.lit("0"))).alias("unparsable"),
+    )
+
+
+@query("market_panel_unpivot", "with " + b.SQL_LINES + ", " + b.sql_market_sums("sums", "geography_id, property_type") + """
+select period_start::varchar as observation_date, 'market' as geography_type, geography_id, property_type, metric, round(value, 6) as value, case when metric = 'vacancy_rate' then 'decimal_fraction' else 'count_or_level' end as unit,
+  case when metric <> 'lease_comp_count' then line_count end as sample_count
+from (select *, unnest(['vacancy_rate', 'inventory', 'lease_comp_count']) as metric, unnest([cast(discount_sum as double) / line_count, case when line_count > 3 then cast(quantity_sum as double) end, line_count::double]) as value from sums)
+where value is not null""")
+def market_panel_unpivot(spark, sf_dir):
+    """Wide interchange rows (text) to one observation per non-blank metric."""
+    wide = b.market_sums(spark, sf_dir, "geography_id", "property_type").select(
+        F.col("period_start").cast("string").alias("period"), F.col("geography_id").alias("market_id"), "property_type", F.lit("s").alias("source"), F.lit("r").alias("source_reference"),
+        (F.col("discount_sum").cast("double") / F.col("line_count")).cast("string").alias("vacancy_rate"), F.when(F.col("line_count") > 3, F.col("quantity_sum").cast("string")).otherwise("").alias("inventory"),
+        F.col("line_count").cast("string").alias("lease_comp_count"),
+    )
+    rows = panels.panel_observations(wide)
+    return rows.select("observation_date", "geography_type", "geography_id", "property_type", "metric", F.round(F.col("value").cast("double"), 6).alias("value"), "unit", "sample_count")
+
+
+@query("panel_row_quarantine", """
+select case when c_acctbal < 0 then 'no_metric' when c_custkey % 7 = 0 then 'county_fips_invalid' else '' end as errors, count(*) as rows from customer group by 1""")
+def panel_row_quarantine(spark, sf_dir):
+    """Customers as wide panel rows with planted county and metric defects."""
+    k = F.col("c_custkey")
+    rows = b.table(spark, sf_dir, "customer").select(
+        F.lit("2024-03-31").alias("period"), F.lit("2024-04-01").alias("source_date"), k.cast("string").alias("market_id"), F.col("c_name").alias("market_name"), F.lit("office").alias("property_type"), F.lit("s").alias("source"),
+        F.lit("r").alias("source_reference"), F.lit("ok").alias("usage_rights"), F.when((k % 7 == 0) & (F.col("c_acctbal") >= 0), "12").otherwise("01001").alias("county_fips"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).alias("effective_rent"),
+    )
+    judged = validate.panel_row_errors(rows, [], ["effective_rent"], panels.PANEL_PROPERTY_TYPES)
+    return judged.groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("series_interchange", """
+select cast(o_orderdate as date)::varchar as period, 'US' as market_id, round(sum(cast(o_totalprice as decimal(18,2)))::double / 100, 4) as treasury_rate from orders group by 1""")
+def series_interchange(spark, sf_dir):
+    """One catalogued daily series as single-metric interchange rows, percent to fraction."""
+    daily = b.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").cast("string").alias("period")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("string").alias("value"))
+    rows = daily.withColumns({"geography_type": F.lit("country"), "geography_id": F.lit("US")})
+    out = panels.series_panel(rows, "treasury_rate", percent=True, source="s", source_date="2024-01-01", reference="r", rights="public", property_type="multifamily")
+    return out.select("period", "market_id", F.round(F.col("treasury_rate").cast("double"), 4).alias("treasury_rate"))
