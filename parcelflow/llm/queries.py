@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, sharding
+from . import bpe, licenses, mixing, quality, sharding
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,13 @@ def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op6_trie_bpe")
+def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query("op7_quality_ledger")
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
