@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality, sharding
+from . import bpe, exact, licenses, mixing, quality, sharding
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op2_extendible_dedup", """
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+""")
+def op2_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(documents(spark, sf_dir)).drop("bucket")
+
+
 @query("op4_fair_mixing")
 def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
