@@ -21,7 +21,7 @@ from .common import SPACE, shared_folder, stored, unit_hash
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 5_000
 SEED = 42
 
 

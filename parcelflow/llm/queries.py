@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, licenses, mixing, quality, sharding
+from . import bpe, exact, licenses, mixing, pii, quality, sharding
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op2_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(documents(spark, sf_dir)).drop("bucket")
 
 
+@query("op3_boosted_pii")
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.detect(documents(spark, sf_dir)))
+
+
 @query("op4_fair_mixing")
 def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
