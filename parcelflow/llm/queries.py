@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, licenses, mixing, pii, quality, sharding
+from . import bpe, exact, licenses, mixing, pii, quality, sharding, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,12 @@ def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op5_ordinal_toxicity")
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query("op6_trie_bpe")
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
