@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, licenses, mixing, pii, quality, sharding, toxicity
+from . import bpe, exact, licenses, mixing, pii, quality, sharding, simhash, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,11 @@ def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(documents(spark, sf_dir))
 
 
+@query("op9_covering_simhash")
+def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
 @query("op10_sampled_splitters")
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
