@@ -124,11 +124,11 @@ def build(docs: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id",
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket: one row per row of ``docs``."""
+    """doc_id, keep_id, group_size, kept, text_sha256, key, bucket: one row per row of ``docs``."""
     index = build(docs, capacity, id_column, text_column)
     entries = index.entries().select("key", "text_sha256", "keep_id", "group_size")
     norm = normalised(F.col(text_column))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
     return index.routed(rows.join(entries, ["key", "text_sha256"])).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "key", "bucket"
     )

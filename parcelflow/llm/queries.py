@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, licenses, mixing, pii, quality, sharding, simhash, toxicity
+from . import bpe, exact, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_suffix_family")
+def op1_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 @query("op2_extendible_dedup", """
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -31,7 +36,7 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """)
 def op2_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.dedup(documents(spark, sf_dir)).drop("bucket")
+    return exact.dedup(documents(spark, sf_dir)).drop("key", "bucket")
 
 
 @query("op3_boosted_pii")
