@@ -22,8 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, keyed_text, rows_of, shared_folder, stored, unit_hash
@@ -63,11 +64,14 @@ def hits(counts: Counter[str], known: dict[str, tuple[str, ...]], wanted) -> Cou
     return found
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic (0 or 1): documents with a label, each id once."""
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """text and toxic (0 or 1) of about ``fit_rows`` documents with a label, drawn by the hash of their id.  The drawn
+    labels are few whatever the input, so they are sent to the documents, whose texts stay where they are."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, fit_rows / max(1, known.count()))
+    drawn = known.filter(unit_hash("__id", seed=5) < share)
     texts = keyed_text(docs)
-    return texts.join(known, texts["doc_id"] == known["__id"]).select("doc_id", "text", "toxic")
+    return texts.join(F.broadcast(drawn), texts["doc_id"] == drawn["__id"]).select("doc_id", "text", "toxic")
 
 
 def vocabulary(counts: list[Counter[str]], toxic: np.ndarray, features: int = FEATURES) -> list[str]:
@@ -172,9 +176,8 @@ def limit_of(severity: np.ndarray, toxic: np.ndarray, most_false: float = 0.001)
 def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS) -> Model:
     """The model.  About ``fit_rows`` labelled rows, drawn by the hash of their id, meet in one task; only the
     weights of at most ``features`` terms reach the driver."""
-    rows = stored(labelled(docs, labels), shared_folder(docs.sparkSession), "labelled")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    sample = rows.filter(unit_hash("doc_id", seed=5) < share).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = stored(labelled(docs, labels, fit_rows), shared_folder(docs.sparkSession), "labelled")
+    sample = rows.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, toxic = [], []
@@ -210,3 +213,15 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         return batched(rows(), RESULT)
 
     return keyed_text(docs, id_column, text_column).mapInArrow(scored, "doc_id long, severity double, grade long, toxic boolean")
+
+
+def severity(text: Column, model: Model, spark: SparkSession) -> Column:
+    """Expected grade as a column, for filters that leave the rows where they are."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def expected(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[str, ...]] = {}
+        return pd.Series([sent.value.severity((t or "").encode(), known) for t in texts], dtype="float64")
+
+    return expected(F.coalesce(text.cast("string"), F.lit("")))
