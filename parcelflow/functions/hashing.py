@@ -12,7 +12,7 @@ def row_digest(columns: list[str]) -> Column:
 
 
 def order_free_digest(digest: Column) -> Column:
-    """Aggregate of row digests in bounded memory: count plus two independent sums of 64-bit parts."""
+    """Aggregate of row digests in bounded memory: count plus the sums of four 48-bit parts."""
     parts = [
         F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)") for start in (1, 13, 25, 37)
     ]

@@ -65,6 +65,7 @@ LEDGER = T.StructType([
     T.StructField("source_id", T.StringType(), False),
     T.StructField("dataset_id", T.StringType(), False),
     T.StructField("source_version", T.StringType(), False),
+    T.StructField("batch", T.StringType(), False),
     T.StructField("created_at", T.TimestampType(), False),
     T.StructField("path", T.StringType(), False),
     T.StructField("rows", T.LongType(), False),

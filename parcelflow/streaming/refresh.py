@@ -15,10 +15,12 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", ma
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
 
 
-def incremental_refresh(stream: DataFrame, normalize: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, *, source_id: str, dataset_id: str):
-    """STR-01: each micro-batch becomes one published version.
+def incremental_refresh(
+    stream: DataFrame, normalize: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, *, source_id: str, dataset_id: str, version: str = "stream"
+):
+    """STR-01: each micro-batch becomes one published batch of one version; a scan reads them all.
 
-    The version is the batch's content hash, so a batch replayed after a failure is found
+    A batch is named by its content hash, so one that is replayed after a failure is found
     unchanged in the ledger and nothing is published twice.
     """
 
@@ -27,7 +29,7 @@ def incremental_refresh(stream: DataFrame, normalize: Callable[[DataFrame], Data
         content = hashing.dataset_hash(rows).first()
         if content is None or content["rows"] == 0:
             return
-        store.publish_version(rows, root, source_id=source_id, dataset_id=dataset_id, version=content["content_hash"][:24])
+        store.publish_version(rows, root, source_id=source_id, dataset_id=dataset_id, version=version, batch=content["content_hash"][:24])
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

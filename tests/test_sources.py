@@ -119,3 +119,27 @@ def test_publish_tables_and_review_extract(spark, tmp_path):
     assert store.publish_tables({"panel": df}, root, {"v": 1})["outcome"] == "unchanged"
     store.write_review_extract(df, str(tmp_path / "review"), ["comment"])
     assert spark.read.option("header", True).csv(str(tmp_path / "review")).first().note == "'=x"
+
+
+def test_streamed_batches_are_one_version(spark, tmp_path):
+    from parcelflow.streaming import refresh
+
+    rows = [(str(i), f"2024-01-{i % 28 + 1:02d}", float(i)) for i in range(30)]
+    schema = "observation_id string, observation_date string, value double"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "raw"))
+    root = str(tmp_path / "store")
+    for attempt in ("first", "replay"):
+        stream = refresh.file_stream(spark, str(tmp_path / "raw"), schema, max_files=1)
+        refresh.incremental_refresh(stream, lambda df: df, root, str(tmp_path / attempt), source_id="s", dataset_id="d").awaitTermination()
+    assert store.ledger(spark, root).count() == 3 and store.scan_versions(spark, root).count() == 30
+    assert store.verify_store(spark, root).filter("problem IS NOT NULL").count() == 0
+    with pytest.raises(store.StoreError, match="unique over the batches"):
+        store.publish_version(spark.createDataFrame(rows[:1], schema), root, source_id="s", dataset_id="d", version="stream", batch="again")
+
+
+def test_first_load_reports_conflicting_contents(spark, tmp_path):
+    files = spark.createDataFrame([("p", bytearray(b"one")), ("p", bytearray(b"two")), ("q", bytearray(b"x"))], "path string, content binary")
+    first = {(r.path, r.outcome) for r in store.snapshot_raw(files, str(tmp_path)).collect()}
+    assert first == {("p", "stored"), ("p", "conflict"), ("q", "stored")}
+    again = sorted((r.path, r.outcome) for r in store.snapshot_raw(files, str(tmp_path)).collect())
+    assert again == [("p", "conflict"), ("p", "unchanged"), ("q", "unchanged")]
