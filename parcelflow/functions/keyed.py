@@ -189,7 +189,7 @@ def peer_median_distance(
 
     Distance is ``|a-b|`` or, where ``relative``, ``|a-b| / max(|a|,|b|)``.  Groups of at most
     ``SMALL_GROUP`` rows are compared inside one array; larger groups go through ranks, which
-    is exact as well and never pairs or gathers the rows of a group.  Returns one row per
+    give the same distances for any signs and never pair or gather the rows of a group.  Returns one row per
     distinct (group, source, value) that has at least one peer.
     """
     base = df.select(
@@ -215,55 +215,70 @@ def _peer_distance_in_arrays(base: DataFrame, group: list[str], source: str, val
 
 
 def _peer_distance_by_rank(base: DataFrame, group: list[str], source: str, value: str, out: str, stage) -> DataFrame:
-    """The k values nearest to a query are a contiguous run in sorted order, and the start of that
-    run is the number of run midpoints below the query.  One rank pass, one rank-shifted
+    """The k values nearest to a query on one monotone side are a contiguous run in sorted order, and the
+    start of that run is the number of run midpoints below the query.  One rank pass, one rank-shifted
     equi-join and one as-of count give the k-th nearest distance.
+
+    A plain distance has one side.  A relative distance has three: values of the query's sign are nearer
+    than 1 and monotone in magnitude, zeros are at 1, and values of the other sign lie at 1 + smaller
+    over larger magnitude, so the j-th nearest of m such values is the (m - j + 1)-th nearest by
+    relative distance of magnitudes, at 2 minus that distance.
     """
     keys = [*group, "__asker"]
     askers = base.select(*group, F.col("__source").alias("__asker")).distinct()
     renamed = base.withColumnsRenamed({k: f"__r_{k}" for k in group})
     match = reduce(and_, [askers[k].eqNullSafe(renamed[f"__r_{k}"]) for k in group])
+    sign = lambda c: F.when(F.col("__rel"), F.signum(c)).otherwise(F.lit(0.0)).cast("int")
+    size = lambda c: F.when(F.col("__rel"), F.abs(c)).otherwise(F.col(c))
     peers = (
         askers.join(renamed, match & (F.col("__asker") != F.col("__source")))
-        .select(*keys, "__v", "__rel")
+        .select(*keys, sign("__v").alias("__side"), size("__v").alias("__v"), "__rel")
     )
-    peers = value_chunks(peers, keys, "__v")
-    ranked = stage(dense_positions(peers, keys, ["__v"], F.col("__piece"), "__i").drop("__piece"))
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("__rel").alias("__rel"))
-    queries = null_safe_join(
-        base.select(*group, F.col("__source").alias("__asker"), F.col("__v").alias("__q")).distinct(), sizes, keys
+    sided = [*keys, "__side"]
+    ranked = stage(dense_positions(value_chunks(peers.drop("__rel"), sided, "__v"), sided, ["__v"], F.col("__piece"), "__i").drop("__piece"))
+    count = lambda s: F.count_if(F.col("__side") == s)
+    sizes = peers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), count(1).alias("__plus"), count(-1).alias("__minus"), count(0).alias("__zero"), F.first("__rel").alias("__rel")
     )
-    ranked = ranked.drop("__rel")
+    queries = base.select(*group, F.col("__source").alias("__asker"), sign("__v").alias("__sign"), size("__v").alias("__q"), F.col("__v").alias("__value")).distinct()
+    own, other = F.when(F.col("__sign") > 0, F.col("__plus")).otherwise(F.col("__minus")), F.when(F.col("__sign") > 0, F.col("__minus")).otherwise(F.col("__plus"))
     total = None
     for which, k in (("lower", F.floor((F.col("__n") + 1) / 2)), ("upper", F.floor(F.col("__n") / 2) + 1)):
-        k = k.cast("long")
-        sized = null_safe_join(ranked, sizes, keys).withColumn("__k", k)
-        ahead = ranked.select(*keys, F.col("__i").alias("__j"), F.col("__v").alias("__far"))
-        mids = null_safe_join(
-            sized.withColumn("__j", F.col("__i") + F.col("__k")), ahead, [*keys, "__j"]
-        ).select(*keys, _midpoint(F.col("__v"), F.col("__far"), F.col("__rel")).alias("__m"))
-        located = _count_below(queries.withColumn("__k", k), mids, keys)
-        near = ranked.select(*keys, F.col("__i").alias("__start"), F.col("__v").alias("__lo"))
-        far = ranked.select(*keys, F.col("__i").alias("__end"), F.col("__v").alias("__hi"))
-        located = null_safe_join(located, near, [*keys, "__start"])
-        located = null_safe_join(located.withColumn("__end", F.col("__start") + F.col("__k") - 1), far, [*keys, "__end"])
+        signs = sizes.withColumns({"__sign": F.explode(F.when(F.col("__rel"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))), "__k": k.cast("long")})
+        flat = F.col("__rel") & (F.col("__sign") == 0)
+        constant = F.when(flat, F.when(F.col("__k") <= F.col("__zero"), 0.0).otherwise(1.0)).when(
+            F.col("__rel") & (F.col("__k") > own) & (F.col("__k") <= own + F.col("__zero")), 1.0
+        )
+        far = F.col("__rel") & ~flat & (F.col("__k") > own + F.col("__zero"))
+        plan = signs.select(
+            *keys, "__sign", "__rel", constant.alias("__constant"), far.alias("__far"), F.when(far, -F.col("__sign")).otherwise(F.col("__sign")).alias("__side"),
+            F.when(far, other - (F.col("__k") - own - F.col("__zero")) + 1).otherwise(F.col("__k")).alias("__k"),
+        )
+        asked = null_safe_join(queries, plan, [*keys, "__sign"])
+        fixed = asked.filter("__constant IS NOT NULL").select(*keys, "__value", F.col("__constant").alias(which))
+        signed = [*keys, "__sign"]
+        points = stage(null_safe_join(ranked, plan.filter("__constant IS NULL").select(*sided, "__sign", "__k", "__rel"), sided).select(*signed, "__i", "__v", "__k", "__rel"))
+        ahead = points.select(*signed, F.col("__i").alias("__j"), F.col("__v").alias("__then"))
+        mids = null_safe_join(points.withColumn("__j", F.col("__i") + F.col("__k")), ahead, [*signed, "__j"]).select(
+            *signed, F.when(F.col("__rel"), F.sqrt(F.col("__v") * F.col("__then"))).otherwise((F.col("__v") + F.col("__then")) / 2).alias("__m")
+        )
+        searched = asked.filter("__constant IS NULL").select(*signed, "__q", "__value", "__k", "__rel", "__far")
+        located = _count_below(searched, mids, signed)
+        near = points.select(*signed, F.col("__i").alias("__start"), F.col("__v").alias("__lo"))
+        last = points.select(*signed, F.col("__i").alias("__end"), F.col("__v").alias("__hi"))
+        located = null_safe_join(located, near, [*signed, "__start"])
+        located = null_safe_join(located.withColumn("__end", F.col("__start") + F.col("__k") - 1), last, [*signed, "__end"])
         distance = F.greatest(
             _distance(F.col("__q"), F.col("__lo"), F.col("__rel")), _distance(F.col("__q"), F.col("__hi"), F.col("__rel"))
         )
-        part = located.select(*keys, "__q", distance.alias(which))
-        total = part if total is None else null_safe_join(total, part, [*keys, "__q"])
+        part = fixed.unionByName(located.select(*keys, "__value", F.when(F.col("__far"), 2 - distance).otherwise(distance).alias(which)))
+        total = part if total is None else null_safe_join(total, part, [*keys, "__value"])
     return total.select(
-        *group, F.col("__asker").alias(source), F.col("__q").alias(value),
+        *group, F.col("__asker").alias(source), F.col("__value").alias(value),
         ((F.col("lower") + F.col("upper")) / 2).alias(out),
     )
 
 
-def _midpoint(left: Column, right: Column, relative: Column) -> Column:
-    same_sign = left * right > 0
-    geometric = F.signum(left) * F.sqrt(F.abs(left * right))
-    return F.when(relative, F.when(same_sign, geometric).otherwise(F.lit(0.0))).otherwise((left + right) / 2)
-
-
 def _distance(left: Column, right: Column, relative: Column) -> Column:
     gap = F.abs(left - right)
     return F.when(relative, gap / F.greatest(F.abs(left), F.abs(right), F.lit(1e-9))).otherwise(gap)

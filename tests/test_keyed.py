@@ -55,8 +55,24 @@ def test_peer_median_distance_equals_brute_force(rows, relative):
 
     for r in random.Random(1).sample(out, 120):
         want = statistics.median(distance(r.v, d[2]) for d in data if d[0] == r.k and d[3] != r.s)
-        # Only distances below 0.2 can influence the agreement score; beyond it order is free.
-        assert r.peer_distance == pytest.approx(want, abs=1e-9) or min(r.peer_distance, want) >= 0.2
+        assert r.peer_distance == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize(("n", "relative"), [(7, True), (300, True), (300, False)])
+def test_peer_distance_by_rank_with_mixed_signs(spark, monkeypatch, n, relative):
+    """The way of large groups gives the brute-force median for positive, negative, zero and equal values."""
+    from parcelflow.session import checkpointed
+
+    draw = random.Random(n)
+    values = [0.0, 1.0, -1.0, 5.0, -7.0, -100.0, 2.0] if n == 7 else [draw.choice([0.0, 1.0, -1.0, draw.uniform(-9, 9), draw.lognormvariate(0, 2), -draw.lognormvariate(0, 2)]) for _ in range(n)]
+    data = [(f"s{i % 7}", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame([("k", s, v) for s, v in data], "k string, s string, v double")
+    monkeypatch.setattr(keyed, "SMALL_GROUP", 0)
+    got = {(r.s, r.v): r.peer_distance for r in keyed.peer_median_distance(df, ["k"], "s", "v", F.lit(relative), stage=checkpointed).collect()}
+    assert set(got) == set(data)
+    distance = lambda a, b: abs(a - b) / max(abs(a), abs(b), 1e-9) if relative else abs(a - b)
+    for s, v in got:
+        assert got[s, v] == pytest.approx(statistics.median(distance(v, x) for o, x in data if o != s), abs=1e-9)
 
 
 def test_null_keys_match(spark):
