@@ -84,7 +84,8 @@ def rank_comps(
     """
     if not 0 < radius_miles <= 250:
         raise ValueError("radius must be within 0 and 250 miles")
-    limit = max(1, min(limit, 50))
+    if limit < 1:
+        raise ValueError("limit must be positive")
     weights = RENT if kind == "rent" else SALE
     usable = usable_comps(comps, kind, as_of, maximum_age).filter("refused IS NULL").drop("refused")
     same = ["property_type", "latitude", "longitude", "units", "year_built"] + (["age"] if kind == "sale" else [])

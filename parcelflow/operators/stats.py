@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import hashing, keyed, numbers, periods
 from parcelflow.operators.validate import errors
+from parcelflow.session import checkpointed
 
 PIVOT_TOLERANCE = 1e-12
+MOST_SOURCES = 1000
 
 
 def prepare_panel(df: DataFrame, target: str, features: list[str], *, entity="market_id", period="period", property_type: str | None = None) -> DataFrame:
@@ -264,7 +266,7 @@ def origin_states(df: DataFrame, target: str, features: list[str], *, group: lis
     unit = {"annual": "year", "quarterly": "quarter", "monthly": "month"}[frequency]
     first_open = F.when(available.isNull(), F.lit(-(10**6))).otherwise(start_idx + F.when(F.to_date(F.date_trunc(unit, available)) < available, 1).otherwise(0))
     entry = F.greatest(F.col("idx") + 1, first_open)
-    origins = df.groupBy(*group).agg(F.array_sort(F.collect_set("idx")).alias("o")).select(*group, F.slice("o", minimum_training + 1, 100000).alias("origins"))
+    origins = df.groupBy(*group).agg(F.array_sort(F.collect_set("idx")).alias("o")).select(*group, F.slice("o", minimum_training + 1, F.greatest(F.size("o"), F.lit(1))).alias("origins"))
     keys = [*group, "entity"]
     moment_names = ["__n", "__sy", *[f"__sx{i}" for i in range(len(features))]]
     values = [F.lit(1.0), F.col(target), *[F.col(f) for f in features]]
@@ -375,12 +377,11 @@ def market_holdout(df: DataFrame, target: str, features: list[str]) -> DataFrame
     z = [one, *[F.col(f) for f in features]]
     moments = [F.sum(a * b) for i, a in enumerate(z) for b in z[i:]] + [F.sum(a * F.col(target)) for a in z]
     names = [f"__g{i}" for i in range(len(moments))]
-    own = df.groupBy("entity").agg(*[m.alias(n) for m, n in zip(moments, names)]).withColumn("__one", F.lit(1))
-    total = own.groupBy("__one").agg(*[F.sum(n).alias(f"{n}_t") for n in names])
-    rest = own.join(total, "__one")
+    own = checkpointed(df.groupBy("entity").agg(*[m.alias(n) for m, n in zip(moments, names)]))
+    total = own.agg(*[F.sum(n).alias(n) for n in names]).first()  # one row
     split = (p + 1) * (p + 2) // 2
-    left = [F.col(f"{n}_t") - F.col(n) for n in names]
-    solved = solve(rest.select("entity", F.array(*left[:split]).alias("gram"), F.array(*left[split:]).alias("right")), p + 1)
+    left = [F.lit(total[n]).cast("double") - F.col(n) for n in names]
+    solved = solve(own.select("entity", F.array(*left[:split]).alias("gram"), F.array(*left[split:]).alias("right")), p + 1)
     rows = df.join(solved, "entity").withColumn("prediction", _dot("beta", z))
     window = Window.partitionBy("entity").orderBy("idx")  # bounded: one row per period of the entity
     return rows.select("entity", "label", F.col(target).alias("actual"), "prediction", F.lag(target).over(window).alias("prior_actual"))
@@ -408,9 +409,9 @@ def lag_search(df: DataFrame, target: str, feature: str, lags: list[int], *, min
 
 def stability(df: DataFrame, target: str, features: list[str], *, entity_effects: bool = True, covariance: str = "cluster_entity") -> DataFrame:
     """REG-11: coefficients over trailing windows starting at the first, quarter and middle period."""
-    ordered = df.agg(F.array_sort(F.collect_set("idx")).alias("all")).select(F.lit(1).alias("__one"), "all")
-    starts = ordered.select("__one", F.explode(F.array_distinct(F.array(F.element_at("all", 1), F.element_at("all", F.floor(F.size("all") / 4).cast("int") + 1), F.element_at("all", F.floor(F.size("all") / 2).cast("int") + 1)))).alias("window_start"))
-    rows = df.withColumn("__one", F.lit(1)).join(starts, "__one").filter("idx >= window_start").drop("__one")
+    known = [r["idx"] for r in df.select("idx").distinct().orderBy("idx").collect()]  # periods of the calendar
+    starts = sorted({known[0], known[len(known) // 4], known[len(known) // 2]}) if known else []
+    rows = df.withColumn("window_start", F.explode(F.array(*[F.lit(s) for s in starts]).cast(f"array<{df.schema['idx'].dataType.simpleString()}>"))).filter("idx >= window_start")
     fits = fit_ols(rows, target, features, group=["window_start"], entity_effects=entity_effects, covariance=covariance)
     return fits.filter("term <> 'intercept'").select("window_start", "term", "coefficient", "n")
 
@@ -427,9 +428,12 @@ def cross_source(df: DataFrame, target: str, features: list[str], source: str =
     """REG-12: train on one source, test on each other source; one fit per source."""
     fits = fit_ols(df.withColumn("train_source", F.col(source)), target, features, group=["train_source"])
     wide = fits.groupBy("train_source").agg(F.array(*[F.max(F.when(F.col("term") == t, F.col("coefficient"))) for t in ["intercept", *features]]).alias("beta"))
-    # One row per ordered source pair: sources are organisations, met on a constant key.
-    tests = df.select(F.col(source).alias("test_source")).distinct().withColumn("__one", F.lit(1))
-    pairs = wide.withColumn("__one", F.lit(1)).join(tests, "__one").filter("train_source <> test_source").drop("__one")
+    # Every row meets the fit of every other source; that is what is asked for, and it has a bound.
+    names = [r[0] for r in df.select(source).distinct().limit(MOST_SOURCES + 1).collect() if r[0] is not None]
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to test against one another")
+    tests = F.explode(F.array(*[F.lit(n) for n in sorted(names)]).cast(f"array<{df.schema[source].dataType.simpleString()}>"))
+    pairs = wide.withColumn("test_source", tests).filter("train_source <> test_source")
     rows = df.withColumnRenamed(source, "test_source").join(pairs, "test_source")
     window = Window.partitionBy("train_source", "entity").orderBy("idx")
     return rows.select(
@@ -445,14 +449,15 @@ def company_bias(predictions: DataFrame) -> DataFrame:
 
 def forecast(rows: DataFrame, coefficients: DataFrame, predictions: DataFrame, features: list[str]) -> DataFrame:
     """REG-13: estimate, per-driver contributions and an empirical p25/p75 residual range."""
-    wide = coefficients.agg(*[F.max(F.when(F.col("term") == t, F.col("coefficient"))).alias(f"__b_{t}") for t in ["intercept", *features]]).withColumn("__one", F.lit(1))
-    errors_of = predictions.select(F.lit(1).alias("__one"), (F.col("actual") - F.col("prediction")).alias("error"))
-    band = keyed.grouped_quantiles(errors_of, ["__one"], "error", {"low_error": 0.25, "high_error": 0.75})
-    joined = rows.withColumn("__one", F.lit(1)).join(wide, "__one").join(band, "__one")
+    wide = coefficients.agg(*[F.max(F.when(F.col("term") == t, F.col("coefficient"))).alias(f"__b_{t}") for t in ["intercept", *features]]).first()
+    errors_of = checkpointed(predictions.select(F.lit(1).alias("__all"), (F.col("actual") - F.col("prediction")).alias("error")))
+    band = keyed.grouped_quantiles(errors_of, ["__all"], "error", {"low_error": 0.25, "high_error": 0.75}).first()
+    number = lambda row, c: F.lit(row[c] if row is not None else None).cast("double").alias(c)
+    joined = rows.select("*", *[number(wide, c) for c in wide.asDict()], *[number(band, c) for c in ("low_error", "high_error")])
     contributions = {f"{f}__contribution": F.col(f) * F.col(f"__b_{f}") for f in features}
     out = joined.withColumns(contributions).withColumn("estimate", reduce(lambda a, b: a + b, [F.col(c) for c in contributions], F.col("__b_intercept")))
     return out.withColumns({"low": F.col("estimate") + F.col("low_error"), "high": F.col("estimate") + F.col("high_error")}).drop(
-        "__one", "low_error", "high_error", *[f"__b_{t}" for t in ["intercept", *features]]
+        "low_error", "high_error", *[f"__b_{t}" for t in ["intercept", *features]]
     )
 
 

@@ -205,7 +205,7 @@ def extract_fields(df: DataFrame, text: str, category: str | None = "category",
     found = df.select(*keys, body.alias("__body"), F.inline(wanted)).withColumns({
         "__whole": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(0)), "__raw": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(1)),
     })
-    found = found.withColumn("raw_value", F.substring(F.trim("__raw"), 1, 500))
+    found = found.withColumn("raw_value", F.trim("__raw"))
     numeric = F.col("__kind").isin("decimal", "integer", "rate", "signed_rate")
     found = found.withColumn("__number", F.when(numeric, number(F.col("raw_value")))).withColumn("__day", F.when(F.col("__kind") == "date", day(F.col("raw_value"))["value"]))
     value = F.lit(None).cast("string")

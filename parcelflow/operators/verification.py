@@ -361,15 +361,39 @@ def warning_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def evidence_roots(rows: DataFrame, max_depth: int = 4) -> DataFrame:
-    """VER-29: follow ``derived:`` identifiers to the source documents behind each row."""
-    links = rows.select("observation_id", "source_identifier")
-    state = links.select(F.col("observation_id").alias("root_id"), "source_identifier", F.lit(0).alias("depth"))
-    done = []
-    for depth in range(max_depth):
-        derived = F.col("source_identifier").startswith("derived:")
-        done.append(state.filter(~derived))
-        parents = state.filter(derived).select("root_id", F.explode(F.slice(F.split("source_identifier", ":"), 2, 1000)).alias("observation_id"))
-        state = parents.join(links, "observation_id").select("root_id", "source_identifier", F.lit(depth + 1).alias("depth"))
-    done.append(state)
-    return reduce(lambda a, b: a.unionByName(b), done).distinct()
+def evidence_roots(rows: DataFrame) -> DataFrame:
+    """VER-29: follow ``derived:`` identifiers to the source documents behind each row, however long the chain.
+
+    A fragment behind ``#`` is not part of a document's name.  Where a chain names a row that is not there, the
+    documents of rows with the same source, geography and period stand in (if these columns are given and
+    there are any), else the identifier itself; a chain that closes a circle ends with the identifier that
+    closes it.  ``depth`` is the number of rows passed.
+    """
+    peers_by = [c for c in ("source_name", "geography_id", "period") if c in rows.columns]
+    is_derived = F.col("source_identifier").startswith("derived:")
+    parent = F.when(is_derived, F.substring("source_identifier", 9, 2**31 - 1))
+    named = rows.select("observation_id", "source_identifier", parent.alias("parent"))
+    known = rows.select(F.col("observation_id").alias("__known")).distinct()
+    links = checkpointed(named.join(known, F.col("parent") == F.col("__known"), "left").withColumnRenamed("observation_id", "at"))
+    front = rows.select(F.col("observation_id").alias("root_id"), F.col("observation_id").alias("at")).distinct().withColumn("depth", F.lit(0))
+    passed, ended, lost = None, None, None
+    add = lambda whole, part: part if whole is None else whole.unionByName(part)
+    while not front.isEmpty():
+        here = front.join(links, "at")
+        ended = add(ended, here.filter("parent IS NULL").select("root_id", F.regexp_replace("source_identifier", "#.*$", "").alias("source_identifier"), "depth"))
+        lost = add(lost, here.filter("parent IS NOT NULL AND __known IS NULL").select("root_id", "source_identifier", "depth"))
+        moved = checkpointed(here.filter("__known IS NOT NULL").select("root_id", F.col("parent").alias("at"), "source_identifier", (F.col("depth") + 1).alias("depth")))
+        if passed is not None:
+            seen = passed.select("root_id", "at")
+            ended = add(ended, moved.join(seen, ["root_id", "at"], "left_semi").select("root_id", "source_identifier", (F.col("depth") - 1).alias("depth")))
+            moved = moved.join(seen, ["root_id", "at"], "left_anti")
+        front = checkpointed(moved.select("root_id", "at", "depth"))
+        passed = add(passed, front)
+    if lost is None:
+        return rows.select(F.col("observation_id").alias("root_id"), "source_identifier", F.lit(0).alias("depth")).limit(0)
+    if len(peers_by) == 3:
+        documents = rows.filter(~is_derived).select(*[F.col(c).alias(f"__{c}") for c in peers_by], F.regexp_replace("source_identifier", "#.*$", "").alias("__document")).distinct()
+        keyed_roots = lost.join(rows.select(F.col("observation_id").alias("root_id"), *peers_by), "root_id")
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in peers_by]
+        lost = keyed_roots.join(documents, reduce(lambda a, b: a & b, same), "left").select("root_id", F.coalesce("__document", "source_identifier").alias("source_identifier"), "depth")
+    return ended.unionByName(lost).groupBy("root_id", "source_identifier").agg(F.min("depth").alias("depth"))

@@ -13,19 +13,19 @@ from parcelflow.schemas import OBSERVATION_COLUMNS
 MAX_LIMIT = 100_000
 
 
-def query_observations(df: DataFrame, *, metrics=None, geography_id=None, columns=None, limit: int = 1000) -> DataFrame:
-    """PRJ-01/02: whitelisted columns, equality filters, first rows by (date, id)."""
+def query_observations(df: DataFrame, *, metrics=None, geography_id=None, columns=None, limit: int | None = None) -> DataFrame:
+    """PRJ-01/02: whitelisted columns, equality filters; with a limit, the first rows by (date, id)."""
     columns = list(columns or [c for c in df.columns if c in OBSERVATION_COLUMNS])
     unknown = set(columns) - set(OBSERVATION_COLUMNS)
     if not columns or unknown:
         raise ValueError(f"columns must be canonical observation columns: {sorted(unknown)}")
-    if not 1 <= limit <= MAX_LIMIT:
+    if limit is not None and not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
     if metrics is not None:
         df = df.filter(F.col("metric").isin(list(metrics)))
     if geography_id is not None:
         df = df.filter(F.col("geography_id") == geography_id)
-    return df.orderBy("observation_date", "observation_id").limit(limit).select(*columns)
+    return (df if limit is None else df.orderBy("observation_date", "observation_id").limit(limit)).select(*columns)
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str], constants: dict | None = None) -> DataFrame:

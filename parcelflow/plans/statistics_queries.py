@@ -8,6 +8,7 @@ from parcelflow.functions import periods
 from parcelflow.operators import stats
 from parcelflow.plans import bindings as b
 from parcelflow.plans.registry import query
+from parcelflow.session import checkpointed
 
 FEATURES = ["rent", "tax"]
 
@@ -159,7 +160,7 @@ def wf_baselines(spark, sf_dir):
 f as (select e.entity, regr_slope(p.target, p.rent) as b, regr_intercept(p.target, p.rent) as a from (select distinct entity from panel) e join panel p on p.entity <> e.entity group by e.entity)
 select entity, label, round(target, 6) as actual, round(a + b * rent, 6) as prediction, round(lag(target) over (partition by entity order by idx), 6) as prior_actual from panel join f using (entity)""")
 def market_holdout(spark, sf_dir):
-    out = stats.market_holdout(panel(spark, sf_dir), "target", ["rent"])
+    out = stats.market_holdout(checkpointed(panel(spark, sf_dir)), "target", ["rent"])
     return out.select("entity", "label", *[F.round(c, 6).alias(c) for c in ("actual", "prediction", "prior_actual")])
 
 
@@ -183,12 +184,12 @@ starts as (select idx as window_start from o where pos in (0, n // 4, n // 2)),
 w as (select window_start, target - avg(target) over v as y, rent - avg(rent) over v as x from starts join panel on idx >= window_start window v as (partition by window_start, entity))
 select window_start, 'rent' as term, round(sum(x * y) / sum(x * x), 6) as coefficient, count(*) as n from w group by window_start""")
 def stability(spark, sf_dir):
-    return stats.stability(panel(spark, sf_dir), "target", ["rent"]).withColumn("coefficient", F.round("coefficient", 6))
+    return stats.stability(checkpointed(panel(spark, sf_dir)), "target", ["rent"]).withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query("sign_stability")
 def sign_stability(spark, sf_dir):
-    return stats.sign_stability(stats.stability(panel(spark, sf_dir), "target", FEATURES))
+    return stats.sign_stability(stats.stability(checkpointed(panel(spark, sf_dir)), "target", FEATURES))
 
 
 SQL_CROSS = SQL_PANEL + """,
@@ -198,20 +199,20 @@ crossed as (select train_source, source_company as test_source, entity, label, t
 
 @query("cross_source", "with " + SQL_CROSS + " select train_source, test_source, entity, label, round(actual, 6) as actual, round(prediction, 6) as prediction from crossed")
 def cross_source(spark, sf_dir):
-    out = stats.cross_source(panel(spark, sf_dir), "target", ["rent"])
+    out = stats.cross_source(checkpointed(panel(spark, sf_dir)), "target", ["rent"])
     return out.select("train_source", "test_source", "entity", "label", F.round("actual", 6).alias("actual"), F.round("prediction", 6).alias("prediction"))
 
 
 @query("company_bias", "with " + SQL_CROSS + " select test_source, count(*) as observations, round(avg(actual - prediction), 6) as mean_residual from crossed group by test_source")
 def company_bias(spark, sf_dir):
-    return stats.company_bias(stats.cross_source(panel(spark, sf_dir), "target", ["rent"])).withColumn("mean_residual", F.round("mean_residual", 6))
+    return stats.company_bias(stats.cross_source(checkpointed(panel(spark, sf_dir)), "target", ["rent"])).withColumn("mean_residual", F.round("mean_residual", 6))
 
 
 @query("forecast", "with " + SQL_CROSS + """,
 e as (select quantile_cont(actual - prediction, 0.25) as lo, quantile_cont(actual - prediction, 0.75) as hi from crossed), p as (select regr_slope(target, rent) as b, regr_intercept(target, rent) as a from panel)
 select entity, label, round(a + b * rent, 6) as estimate, round(b * rent, 6) as contribution, round(a + b * rent + lo, 6) as low, round(a + b * rent + hi, 6) as high from panel, p, e""")
 def forecast(spark, sf_dir):
-    rows = panel(spark, sf_dir)
+    rows = checkpointed(panel(spark, sf_dir))
     out = stats.forecast(rows, stats.fit_ols(rows, "target", ["rent"]), stats.cross_source(rows, "target", ["rent"]), ["rent"])
     return out.select("entity", "label", F.round("estimate", 6).alias("estimate"), F.round("rent__contribution", 6).alias("contribution"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 

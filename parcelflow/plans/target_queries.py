@@ -323,18 +323,23 @@ def warning_decisions(spark, sf_dir):
 
 
 @query("evidence_roots", """
-with links as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey as id, l_orderkey, l_linenumber, l_partkey from lineitem)
+with links as (
+  select l_orderkey || '-' || l_linenumber || '-' || l_partkey as id, l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m') as period from lineitem)
 select id as root_id, 'doc-' || l_orderkey as source_identifier, cast(0 as integer) as depth from links where l_linenumber <= 4
-union select c.id, 'doc-' || p.l_orderkey, 1 from links c join links p on p.l_orderkey = c.l_orderkey and p.l_partkey = c.l_partkey and p.l_linenumber = 1 where c.l_linenumber > 4""")
+union select c.id, 'doc-' || p.l_orderkey, 1 from links c join links p on p.l_orderkey = c.l_orderkey and p.l_partkey = c.l_partkey and p.l_linenumber = 1 where c.l_linenumber > 4
+union select c.id, coalesce('doc-' || b.l_orderkey, 'derived:' || c.l_orderkey || '-1-' || c.l_partkey), 0 from links c
+  left join links b on b.l_orderkey = c.l_orderkey and b.period = c.period and b.l_linenumber <= 4
+  where c.l_linenumber > 4 and not exists (select 1 from links p where p.l_orderkey = c.l_orderkey and p.l_partkey = c.l_partkey and p.l_linenumber = 1)""")
 def evidence_roots(spark, sf_dir):
-    """Lines above four cite their order's first line of the same part; others cite the order document."""
+    """Lines above four cite their order's first line of the same part, which is often absent; others cite the order document."""
     lines = b.table(spark, sf_dir, "lineitem")
     first = F.concat(F.lit("derived:"), F.concat_ws("-", F.col("l_orderkey"), F.lit(1), F.col("l_partkey")))
     rows = lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("observation_id"),
-        F.when(F.col("l_linenumber") > 4, first).otherwise(F.concat(F.lit("doc-"), F.col("l_orderkey").cast("string"))).alias("source_identifier"),
+        F.when(F.col("l_linenumber") > 4, first).otherwise(F.concat(F.lit("doc-"), F.col("l_orderkey").cast("string"), F.lit("#line"))).alias("source_identifier"),
+        F.lit("orders").alias("source_name"), F.col("l_orderkey").cast("string").alias("geography_id"), F.date_format("l_shipdate", "yyyy-MM").alias("period"),
     )
-    return v.evidence_roots(rows, 2)
+    return v.evidence_roots(rows)
 
 
 @query("series_scorecard", "with " + SQL_SCORED + f"""

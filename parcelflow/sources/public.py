@@ -196,7 +196,7 @@ def read_acs(spark: SparkSession, path: str, year: int, variable: str | None = N
     """SRC-07: pipe table files for one variable, or header-plus-rows JSON matrices when no variable is given."""
     if variable is None:
         text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("m"), F.col("_metadata.file_path").alias("__file"))
-        cells = text.select("__file", F.element_at("m", 1).alias("h"), F.explode(F.slice("m", 2, 100000000)).alias("r"))
+        cells = text.select("__file", F.element_at("m", 1).alias("h"), F.explode(F.slice("m", 2, F.greatest(F.size("m"), F.lit(1)))).alias("r"))
         rows = cells.select("__file", F.map_from_arrays("h", "r").alias("c"))
         state, county, place = F.col("c")["state"], F.col("c")["county"], F.col("c")["place"]
         rows = rows.select(

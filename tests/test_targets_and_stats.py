@@ -148,3 +148,14 @@ def test_chain_break_is_located(spark):
     rows[17] = (*rows[17][:2], "edited", *rows[17][3:])
     broken = check(rows)
     assert not broken.valid and broken.first_break == 17 and broken.broken_links == 1
+
+
+def test_evidence_roots_follow_chains_circles_and_missing_parents(spark):
+    chain = [(f"o{i}", f"derived:o{i + 1}") for i in range(7)] + [("o7", "doc#page-3"), ("a", "derived:b"), ("b", "derived:a"), ("s", "derived:s"), ("m", "derived:gone")]
+    got = {(r.root_id, r.source_identifier): r.depth for r in v.evidence_roots(spark.createDataFrame(chain, "observation_id string, source_identifier string")).collect()}
+    want = {(f"o{i}", "doc"): 7 - i for i in range(8)}
+    assert {k: d for k, d in got.items() if k[0].startswith("o")} == want
+    assert {k for k in got if not k[0].startswith("o")} == {("a", "derived:b"), ("b", "derived:a"), ("s", "derived:s"), ("m", "derived:gone")}
+    rows = [("m", "derived:gone", "x", "g", "p"), ("n", "peer#1", "x", "g", "p"), ("k", "other", "x", "g", "q")]
+    found = v.evidence_roots(spark.createDataFrame(rows, "observation_id string, source_identifier string, source_name string, geography_id string, period string")).collect()
+    assert {(r.root_id, r.source_identifier) for r in found} == {("m", "peer"), ("n", "peer"), ("k", "other")}
