@@ -143,3 +143,9 @@ def test_first_load_reports_conflicting_contents(spark, tmp_path):
     assert first == {("p", "stored"), ("p", "conflict"), ("q", "stored")}
     again = sorted((r.path, r.outcome) for r in store.snapshot_raw(files, str(tmp_path)).collect())
     assert again == [("p", "conflict"), ("p", "unchanged"), ("q", "unchanged")]
+
+
+def test_html_tables_nest_and_decode(spark):
+    page = "<table><tr><td>a<table><tr><td>in&#160;side</td></tr></table></td><td>b&mdash;c &#38; &amp;d</td></tr><tr><td> </td></tr></table><p>x</p><table><tr><th>open<td>end"
+    got = [(r.table_no, r.row_no, list(r.cells)) for r in panels.html_tables(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).collect()]
+    assert got == [(0, 0, ["a", "b\u2014c & &d"]), (1, 0, ["in side"]), (2, 0, ["open", "end"])]
