@@ -187,9 +187,15 @@ def stability(spark, sf_dir):
     return stats.stability(checkpointed(panel(spark, sf_dir)), "target", ["rent"]).withColumn("coefficient", F.round("coefficient", 6))
 
 
-@query("sign_stability")
+@query("sign_stability", "with " + SQL_PANEL + """,
+o as (select list(idx order by idx) as a from (select distinct idx from panel)), s as (select distinct unnest([a[1], a[len(a) // 4 + 1], a[len(a) // 2 + 1]]) as window_start from o),
+w as (select window_start, rent - avg(rent) over g as rent, tax - avg(tax) over g as tax, target - avg(target) over g as target from panel join s on idx >= window_start window g as (partition by window_start, entity)),
+""" + _ols_sql("w", "window_start") + """,
+t as (select unnest(['rent', 'tax']) as term, unnest([b1, b2]) as coefficient from fit)
+select term, count(*) as windows, round(min(coefficient), 6) as minimum, round(max(coefficient), 6) as maximum, min(sign(coefficient)) = max(sign(coefficient)) as sign_consistent from t group by term""")
 def sign_stability(spark, sf_dir):
-    return stats.sign_stability(stats.stability(checkpointed(panel(spark, sf_dir)), "target", FEATURES))
+    out = stats.sign_stability(stats.stability(checkpointed(panel(spark, sf_dir)), "target", FEATURES))
+    return out.withColumns({c: F.round(c, 6) for c in ("minimum", "maximum")})
 
 
 SQL_CROSS = SQL_PANEL + """,

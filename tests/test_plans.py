@@ -3,7 +3,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NO_PAIRS = ("rent_comps_topk", "nearest_by_category", "crosswalk_as_of", "market_definition_interval", "name_variation", "lead_lag", "fallback_recommendation", "target_panel")
+NO_PAIRS = ("rent_comps_topk", "nearest_by_category", "crosswalk_as_of", "market_definition_interval", "name_variation", "lead_lag", "fallback_recommendation", "target_panel", "forecast", "cross_source", "company_bias", "market_holdout", "stability")
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
