@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "flagship_growth_panel", "coverage_report", "crosswalk_as_of", "feature_panel_wide", "cbsa_sum", "lineage_trace", "ver_conflicts", "ver_gaps_jumps", "readiness_funnel", "target_panel", "benchmark_matrix",
-    "lead_lag", "walk_forward", "market_holdout", "rent_comps_topk", "nearest_by_category", "screening_tiers", "candidate_list", "deal_reconciliation", "classify_docs", "extract_fields", "publish_and_scan",
+    "lead_lag", "walk_forward", "market_holdout", "rent_comps_topk", "nearest_by_category", "screening_tiers", "candidate_list", "deal_reconciliation", "classify_docs", "extract_fields", "publish_and_scan", "forecast",
 )
 
 

@@ -112,10 +112,12 @@ def read_bls_laus(spark: SparkSession, path: str, first: int | None = None, last
 
 
 def read_bls_api(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-03: nested national payloads; published thousands become persons."""
+    """SRC-03: nested national payloads; published thousands become persons.  A payload that reports a failure raises."""
     payload = "status string, Results struct<series: array<struct<seriesID: string, data: array<struct<year: string, period: string, value: string>>>>>"
     df = spark.read.schema(payload).json(path, multiLine=True).select("status", "Results", F.col("_metadata.file_path").alias("__file"))
-    rows = df.filter("status = 'REQUEST_SUCCEEDED'").select("__file", F.explode("Results.series").alias("s")).select("__file", "s.seriesID", F.explode("s.data").alias("d"))
+    failed = F.raise_error(F.concat(F.lit("failed payload in "), F.col("__file"), F.lit(": "), F.coalesce("status", F.lit("no status")))).cast(df.schema["Results"].dataType)
+    df = df.withColumn("Results", F.when(F.col("status") == "REQUEST_SUCCEEDED", F.col("Results")).otherwise(failed))
+    rows = df.select("__file", F.explode("Results.series").alias("s")).select("__file", "s.seriesID", F.explode("s.data").alias("d"))
     rows = rows.filter((F.col("d.period") != "M13") & F.col("seriesID").isin(*BLS_NATIONAL))
     thousands = _lookup(BLS_NATIONAL, 1, F.col("seriesID")) == "thousands_persons"
     value = F.col("d.value").cast("decimal(28,6)")

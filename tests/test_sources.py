@@ -35,6 +35,9 @@ def test_nested_api_scales_thousands(spark, tmp_path):
     path = write(tmp_path / "api.json", '{"status":"REQUEST_SUCCEEDED","Results":{"series":[{"seriesID":"LNS12000000","data":[{"year":"2024","period":"M02","value":"160.5"}]}]}}')
     row = public.read_bls_api(spark, path).first()
     assert (row.metric, row.unit, float(row.value)) == ("employment", "persons", 160500.0)
+    failed = write(tmp_path / "failed.json", '{"status":"REQUEST_NOT_PROCESSED","Results":null}')
+    with pytest.raises(Exception, match="REQUEST_NOT_PROCESSED"):
+        public.read_bls_api(spark, failed).collect()
 
 
 def test_wide_year_columns_and_permits_and_rents(spark, tmp_path):
