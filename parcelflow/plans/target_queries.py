@@ -8,6 +8,7 @@ from parcelflow.operators import scorecards, verification as v
 from parcelflow.plans import bindings as b
 from parcelflow.plans.registry import query
 from parcelflow.schemas import target_metric_dim
+from parcelflow.session import checkpointed
 
 EVALUATED = "2003-01-01"
 PRIORITY = ["2-HIGH", "1-URGENT", "5-LOW"]
@@ -21,6 +22,11 @@ def records(spark, sf_dir):
     return b.cre_records(spark, sf_dir).withColumn("source_identifier", F.col("evidence"))
 
 
+def staged(spark, sf_dir):
+    """The records bound once, for checks that read them many times."""
+    return checkpointed(records(spark, sf_dir))
+
+
 def complement_records(spark, sf_dir):
     """Vacancy and occupancy of each line; a third of them are exact complements."""
     base = records(spark, sf_dir).filter("metric = 'vacancy_rate'")
@@ -96,7 +102,7 @@ _codes("ver_duplicates", lambda s, d: v.duplicates(records(s, d).withColumn("sou
 _codes("ver_methodology", lambda s, d: v.methodology_mismatch(records(s, d)).unionByName(v.methodology_change(records(s, d))),
        "with " + b.SQL_RECORDS + _group_sql("records", "methodology_mismatch", "warning", NATURAL, "m1 <> m2") + " union all "
        + _group_sql("records", "methodology_change", "warning", "geography_type, geography_id, property_type, property_subtype, metric, source_name", "m1 <> m2"))
-_codes("ver_conflicts", lambda s, d: v.source_conflicts(records(s, d)),
+_codes("ver_conflicts", lambda s, d: v.source_conflicts(staged(s, d)),
        "with " + b.SQL_RECORDS + _group_sql("records", "source_conflict", "warning", NATURAL, "s1 <> s2 and round(" + DIFF.format(rate="is_rate", a="v1", b="v2") + ", 12) > 0.05::double"))
 _codes("ver_revisions", lambda s, d: v.revisions(records(s, d)),
        "with " + b.SQL_RECORDS + _group_sql("records", "revised_observation", "info", NATURAL + ", source_name, methodology", "t1 <> t2 and v1 <> v2"))
@@ -143,7 +149,7 @@ steps as (
 judged as (
   select *, {DIFF.format(rate="is_rate", a="previous_value", b="value")} as change from steps where previous_id is not null)"""
 
-_codes("ver_gaps_jumps", lambda s, d: v.gaps_and_jumps(records(s, d)), "with " + SQL_STEPS + """,
+_codes("ver_gaps_jumps", lambda s, d: v.gaps_and_jumps(staged(s, d)), "with " + SQL_STEPS + """,
 hits as (select 'missing_periods' as code, previous_id, observation_id from judged where gap > 1
          union all select 'sudden_jump', previous_id, observation_id from judged where round(change, 12) > jump_threshold),
 flat as (select code, previous_id || '|' || observation_id as fid, unnest([previous_id, observation_id]) as observation_id from hits)
@@ -155,16 +161,16 @@ select code, source_name, geography_id, property_type, metric, methodology, prev
        round(value, 6) as current_value, round(change, 6) as change, observation_id
 from (select 'missing_periods' as code, * from judged where gap > 1 union all select 'sudden_jump' as code, * from judged where round(change, 12) > jump_threshold) where is_rate""")
 def warning_table(spark, sf_dir):
-    rows = v.warning_table(records(spark, sf_dir)).filter("metric = 'vacancy_rate'")
+    rows = v.warning_table(staged(spark, sf_dir)).filter("metric = 'vacancy_rate'")
     return rows.select(
         "code", "source_name", "geography_id", "property_type", "metric", "methodology", "previous_period", "period", F.round("previous_value", 6).alias("previous_value"),
         F.round("current_value", 6).alias("current_value"), F.round("change", 6).alias("change"), "observation_id",
     )
 
 
-def light_findings(spark, sf_dir):
+def light_findings(spark, sf_dir, rows=None):
     """Findings that decide eligibility here: duplicates, conflicts, jumps and proxies."""
-    rows = records(spark, sf_dir)
+    rows = staged(spark, sf_dir) if rows is None else rows
     parts = [v.duplicates(rows), v.source_conflicts(rows.filter("is_rate")), v.gaps_and_jumps(rows), v.proxies(rows)]
     out = parts[0]
     for part in parts[1:]:
@@ -202,15 +208,15 @@ scored as (
 
 
 def scored(spark, sf_dir, with_peers=True):
-    rows = records(spark, sf_dir)
+    rows = staged(spark, sf_dir)
     agreement = None if with_peers else v.no_agreement(rows)
-    return v.score(rows, light_findings(spark, sf_dir), evaluated_on=EVALUATED, confirmed=True, agreement=agreement)
+    return v.score(rows, checkpointed(light_findings(spark, sf_dir, rows)), evaluated_on=EVALUATED, confirmed=True, agreement=agreement)
 
 
 @query("ver_peer_agreement", "with " + SQL_SCORED + """
 select g as geography_id, p as period, t as property_type, m as metric, psource as source_name, round(pvalue, 6) as value, round(peer_distance, 6) as peer_distance from peers""")
 def ver_peer_agreement(spark, sf_dir):
-    agreement = v.peer_agreement(records(spark, sf_dir))
+    agreement = v.peer_agreement(staged(spark, sf_dir))
     return agreement.select("geography_id", "period", "property_type", "metric", "source_name", F.round("value", 6).alias("value"), F.round("peer_distance", 6).alias("peer_distance"))
 
 
@@ -239,8 +245,9 @@ select count(*) as observations, count(*) filter (where model_eligible) as model
   count(*) filter (where verification_status = 'unverified') as unverified, count(*) filter (where verification_status = 'rejected') as rejected,
   (select count(*) from (select distinct code, fid from ids)) as findings, (select count(*) from ids where code = 'source_conflict') as conflicts from scored""")
 def ver_summary(spark, sf_dir):
-    findings = light_findings(spark, sf_dir)
-    rows = v.score(records(spark, sf_dir), findings, evaluated_on=EVALUATED, confirmed=True, agreement=v.no_agreement(records(spark, sf_dir)))
+    rows = staged(spark, sf_dir)
+    findings = checkpointed(light_findings(spark, sf_dir, rows))
+    rows = v.score(rows, findings, evaluated_on=EVALUATED, confirmed=True, agreement=v.no_agreement(rows))
     return v.summarize(rows, findings, True)
 
 
