@@ -17,6 +17,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,7 +85,9 @@ class Index:
     def insert(self, chained: DataFrame) -> None:
         """Add chain entries (columns of ``entries``), then split what is overfull."""
         counts = {r["p"]: r["n"] for r in chained.groupBy(leading(F.col("key")).alias("p")).agg(F.count_distinct("key").alias("n")).collect()}
-        touched = [b for b in self.buckets if any(b[1] << (MOST_BITS - b[0]) <= p < (b[1] + 1) << (MOST_BITS - b[0]) for p in counts)] if len(self.buckets) > 1 else [*self.buckets]
+        lows = sorted((prefix << (MOST_BITS - depth), (depth, prefix)) for depth, prefix in self.buckets)
+        firsts = [low for low, _ in lows]
+        touched = sorted({lows[bisect_right(firsts, p) - 1][1] for p in counts} or {lows[0][1]})
         held = self.entries(touched)
         if held is not None:
             chained = stored(
