@@ -33,9 +33,9 @@ from .common import shared_folder, stored
 
 #: Batches of a bulk run, and neighbourhoods of one gram that a task compares with one another.
 BATCHES = 2
-CROWD = 20_000
+CROWD = 4_000
 #: Neighbourhoods that a task combines before it hands them on.
-TOGETHER = 600_000
+TOGETHER = 250_000
 PLACE = 16  # bits of a place below the position: eight for the width, eight for the offset of the anchor
 
 ROW = pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("age", pa.int8()), ("doc", pa.int64()), ("place", pa.int64())])
@@ -61,18 +61,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbourhoods of (doc, text) rows.  Of equal ones in a task, those after the first are spans already."""
     held, count = [], 0
     for batch in batches:
-        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True))
-        for block in core.pieces(rows):
-            found = core.neighbourhoods(block)
-            held.append(found)
-            count += len(found["gram"])
-            if count > TOGETHER:
-                yield from _combined(held)
-                held, count = [], 0
+        for part in _parts(batch, 512):
+            rows = list(zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True))
+            for block in core.pieces(rows):
+                found = core.neighbourhoods(block)
+                held.append(found)
+                count += len(found["gram"])
+                if count > TOGETHER:
+                    yield from _combined(held)
+                    held, count = [], 0
     if held:
         yield from _combined(held)
 
 
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, so that few rows are Python objects at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _combined(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
     order = np.lexsort((x["pos"], x["doc"], x["whole"], x["gram"]))
@@ -233,16 +239,16 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[int, int, int, str, bytes]:
 
 def _pairs(column: pa.Array, k: int) -> list[np.ndarray]:
     """Per row, the list<struct<long, long>> as an array of two columns."""
-    values = column.values
+    values = column.flatten()  # of this slice alone
     flat = np.stack([values.field(j).to_numpy(zero_copy_only=False) for j in range(k)], axis=1) if len(values) else np.empty((0, k), np.int64)
-    offsets = column.offsets.to_numpy()
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
     return [flat[a:b].astype(np.int64) for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their whole spans: finished where nothing is requested, else packed, with the bytes of requests."""
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor()
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole, 256)):
         at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         spans, wanted = _pairs(at["spans"], 2), _pairs(at["requests"], 3)
         out: list[tuple] = []
@@ -310,7 +316,7 @@ FINISHED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remov
 def _finished(with_text: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, 512)):
             more = _pairs(batch.column(3), 2)
             out = []
             for doc_id, n, packed, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), more, strict=True):
@@ -326,7 +332,7 @@ def _finished(with_text: bool):
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor()
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole, 512)):
         texts = [pack.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc", "packed", "doc_id"])
 
