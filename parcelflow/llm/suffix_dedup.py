@@ -276,29 +276,38 @@ SETTLED = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int6
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, doc, place, bytes) sorted by gram: windows of one gram that start earlier in another neighbourhood."""
-    gram, held = None, []
+    """Rows (gram, doc, place, bytes) sorted by gram: windows of one gram that start earlier in another neighbourhood.
+    Grams are settled together once some thousand rows have come; no gram has more than the crowd's rows."""
+    held: list[tuple[int, int, int, bytes]] = []
     for batch in batches:
-        for g, doc, place, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if g != gram:
-                yield from _settle(held)
-                gram, held = g, []
-            held.append((doc, place, data))
-    yield from _settle(held)
-
-
-def _settle(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    if len({data for *_, data in held}) < 2:
-        return
-    windows = [(doc, (place >> PLACE) + k, data[k : k + core.LENGTH]) for doc, place, data in held for k in range((place >> 8) & 255)]
-    least: dict[bytes, tuple[int, int]] = {}
-    for doc, start, window in windows:
-        if window not in least or (doc, start) < least[window]:
-            least[window] = (doc, start)
-    later = [(doc, start, 1) for doc, start, window in windows if least[window] != (doc, start)]
-    if later:
-        doc, start, width = (np.array(c, np.int64) for c in zip(*later, strict=True))
-        yield from _slices(list(_spans_by_document(doc, start, width)), SETTLED)
+        for part in _parts(batch, 1024):
+            held += zip(*(part.column(k).to_pylist() for k in range(4)), strict=True)
+            if len(held) > 2048 and held[0][0] != held[-1][0]:
+                last = held[-1][0]
+                cut_at = next(k for k in range(len(held) - 1, -1, -1) if held[k][0] != last) + 1
+                yield from _settle(held[:cut_at])
+                held = held[cut_at:]
+    if held:
+        yield from _settle(held)
+
+
+def _settle(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    columns: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(held), 2048):  # neighbourhoods of under 200 bytes, so a block holds them
+        some = held[at : at + 2048]
+        gram, doc, place = (np.array([r[k] for r in some], np.int64) for k in range(3))
+        width, sizes = (place >> 8) & 255, np.array([len(r[3]) for r in some])
+        sums = core.prefix_sums(np.frombuffer(b"".join(r[3] for r in some), np.uint8))
+        inside = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        start = np.repeat(np.cumsum(sizes) - sizes, width) + inside
+        window = core.stretch_hash(sums, start, start + core.LENGTH).view(np.int64)
+        columns.append((np.repeat(gram, width), window, np.repeat(doc, width), np.repeat(place >> PLACE, width) + inside))
+    gram, window, doc, pos = (np.concatenate(c) for c in zip(*columns, strict=True))
+    order = np.lexsort((pos, doc, window, gram))
+    gram, window, doc, pos = gram[order], window[order], doc[order], pos[order]
+    _, later = _first_and_later(gram, window, doc, pos)
+    if later.any():
+        yield from _slices(list(_spans_by_document(doc[later], pos[later], np.ones(later.sum(), np.int64))), SETTLED)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
