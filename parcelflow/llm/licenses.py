@@ -2,7 +2,7 @@
 
 A few hundred regular expressions, written as families (name, priority, the word that must be
 present, templates) over lists of versions and variants.  A rule's pattern runs only where its keyword
-occurs in the text.  Detections overlap; one that lies within the span of a detection of higher
+occurs in the text; a template without the word of its family has the longest of its own words.  Detections overlap; one that lies within the span of a detection of higher
 priority, or of equal priority and greater length, is suppressed.
 
 Cases: a null or empty text has no words and no labels; very long texts are scanned whole; null ids
@@ -56,7 +56,8 @@ FAMILIES: tuple[tuple[int, str, str, tuple[str, ...], tuple[str, ...], tuple[str
     (90, "wtfpl", "wtfpl", ("wtfpl", "wtfpl version 2"), ("",), ("",)),
     (90, "python", "psf-{v}", ("python software foundation license version {v}", "python license {v}", "psf license {v}"), ("2", "2.0"), ("",)),
     (90, "open", "{x}", ("open font license {v}", "sil open font license {v}", "open font license version {v}"), ("1.0", "1.1"), ("ofl",)),
-    (90, "open", "odc-{x}", ("open data commons {x}", "open database license", "open data commons {x} license {v}"), ("1.0",), ("attribution", "odbl", "pddl")),
+    (90, "open", "odc-{x}", ("open data commons {x}", "open data commons {x} license {v}"), ("1.0",), ("attribution", "odbl", "pddl")),
+    (90, "open", "odc-odbl", ("open database license",), ("",), ("",)),
     (60, "public", "public-domain", ("public domain", "dedicated to the public domain", "in the public domain"), ("",), ("",)),
     (60, "reserved", "reserved", ("all rights reserved", "all rights are reserved", "some rights reserved"), ("",), ("",)),
     (30, "copyright", "copyright", ("copyright c", "copyright {v}", "copyright c {v}"), ("19[0-9][0-9]", "20[0-9][0-9]"), ("",)),
@@ -76,12 +77,24 @@ RESULT = pa.schema([
 ])
 
 
+def _parts(template: str) -> list[str]:
+    return re.split(r"[ .]+", template.strip())
+
+
 def _pattern(template: str) -> re.Pattern[bytes]:
     """Words in order, with any run of other characters between them."""
-    parts = [p.encode() if "[" in p else re.escape(p.encode()) for p in re.split(r"[ .]+", template.strip())]
+    parts = [p.encode() if "[" in p else re.escape(p.encode()) for p in _parts(template)]
     return re.compile(rb"(?<!" + _IN + rb")" + (_OUT + rb"+").join(parts) + rb"(?!" + _IN + rb")")
 
 
+def _gate(keyword: str, template: str) -> bytes:
+    """What each match of the template holds: the keyword of the family, else the longest fixed word."""
+    fixed = [p for p in _parts(template) if "[" not in p]
+    gate = keyword if any(keyword in p for p in fixed) else max(fixed, key=len)
+    assert gate and gate in template
+    return gate.encode()
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[tuple[bytes, tuple[tuple[int, str, re.Pattern[bytes]], ...]], ...]:
     """Rules by keyword: (priority, label, pattern)."""
@@ -92,7 +105,7 @@ def rules() -> tuple[tuple[bytes, tuple[tuple[int, str, re.Pattern[bytes]], ...]
                 for variant in variants if "{x}" in template or "{x}" in label else ("",):
                     text = template.format(v=version, x=variant)
                     name = re.sub(r"-+$", "", label.format(v=version if "[" not in version else "", x=variant.replace(" ", "-")))
-                    by_keyword.setdefault(keyword.encode(), {}).setdefault((text, name), (priority, name, _pattern(text)))
+                    by_keyword.setdefault(_gate(keyword, text), {}).setdefault((text, name), (priority, name, _pattern(text)))
     return tuple((k, tuple(v.values())) for k, v in by_keyword.items())
 
 

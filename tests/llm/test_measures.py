@@ -122,6 +122,22 @@ def test_license_rules_and_suppression():
     assert sorted(licenses.unsuppressed(spans)) == sorted(want)
 
 
+def test_each_license_rule_finds_its_own_template():
+    labels = defaultdict(set)
+    for _, _, label, templates, versions, variants in licenses.FAMILIES:
+        for template in templates:
+            for v in versions if "{v}" in template else ("",):
+                for x in variants if "{x}" in template + label else ("",):
+                    text = template.format(v=v, x=x).replace("[0-9]", "7").strip()
+                    name = re.sub("-+$", "", label.format(v="" if "[" in v else v, x=x.replace(" ", "-")))
+                    labels[text].add(name)
+                    assert any(d[:2] == (0, len(text)) and d[3] == name for d in licenses.detections(text.encode())), text
+    assert {t: n for t, n in labels.items() if len(n) > 1} == {}
+    alone = lambda t: {label for *_, label in licenses.unsuppressed(licenses.detections(t))}
+    assert alone(b"affero gpl version 3") == {"affero-3"} and alone(b"open database license") == {"odc-odbl"}
+    assert alone(b"berkeley software distribution license") == {"bsd"} and alone(b"psf license 2") == {"psf-2"}
+
+
 @pytest.mark.parametrize("name", ["edge", "tiny"])
 def test_shards(request, name):
     docs = request.getfixturevalue(name)
