@@ -184,8 +184,30 @@ def near_dedup(
     folder = shared_folder(docs.sparkSession)
     rows = stored(fingerprints(docs, shingle, id_column, text_column), folder, "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "nodes")
+    by_fp = led(nodes, radius, bucket).select("fp", F.col("first").alias("component_id"))
+    return rows.join(by_fp, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def led(nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Adds to (fp, least) the least of its whole component, ``first``."""
     roots = components(links(nodes, radius, bucket))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+
+
+def representatives(
+    docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """doc_id, text_hash (xxhash64, a null text as empty) and kept of each row.  Kept is one document, an id
+    and a text, of each component: the smallest id, null ids last, then the smallest hash."""
+    folder = shared_folder(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched(((i, h, fingerprint(t, shingle)) for b in batches for (i, t), h in zip(rows_of([b]), b.column(2).to_pylist(), strict=True)), schema)
+
+    texts = keyed_text(docs, id_column, text_column).withColumn("text_hash", F.xxhash64("text"))
+    rows = stored(texts.mapInArrow(hashed, "doc_id long, text_hash long, fp long"), folder, "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = stored(rows.groupBy("fp").agg(F.min(own).alias("least")), folder, "nodes")
+    return rows.join(led(nodes, radius, bucket), "fp").select("doc_id", "text_hash", own.eqNullSafe(F.col("first")).alias("kept"))
