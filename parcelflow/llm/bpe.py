@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import keyed_text, rows_of
 
-#: Remembered pieces and token pairs per Python worker; beyond that the memory starts anew.
-REMEMBERED = 800_000
+#: What a task may remember: bytes of pieces with their ids, and token pairs; beyond that the memory starts anew.
+PIECE_BYTES, PIECE_COST = 96_000_000, 200
+PAIRS = 800_000
 OUT_BYTES = 2_000_000
 RESULT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -119,7 +120,7 @@ class Merges:
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """(word, token ids) of distinct words, in sorted order: a depth-first walk of their trie."""
-        if self.remembered > 4 * REMEMBERED:
+        if self.remembered > PAIRS:
             self.follows.clear()
             self.remembered = 0
         states: list[str] = [""]
@@ -164,6 +165,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.token = {i: t for t, i in {**self.merges.ids, **self.special}.items()}
         self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0
         splits = described["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
         self.bytes = str.maketrans({i: c for i, c in enumerate(byte_characters())})
@@ -207,13 +209,15 @@ class Codec:
             self.pieces[piece] = ids[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([ids[w] for w in parts]))
         for piece, parts in mixed.items():
             self.pieces[piece] = tuple(chain.from_iterable((i,) if i is not None else ids[w] for w, i in parts))
+        self.held += sum(PIECE_COST + len(piece) + 8 * len(self.pieces[piece]) for piece in pieces)
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         """The token ids of each text."""
         split = [t.split() for t in texts]
         new = set(chain.from_iterable(split)).difference(self.pieces)
-        if new and len(self.pieces) + len(new) > REMEMBERED:
+        if new and self.held > PIECE_BYTES:
             self.pieces.clear()
+            self.held = 0
             new = set(chain.from_iterable(split))
         if new:
             self.learn(new)
@@ -225,17 +229,6 @@ class Codec:
         return " ".join(map(self.token.__getitem__, ids))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(content: str) -> Codec:
-    """One codec per Python worker and tokenizer file."""
-    if content not in _CODECS:
-        _CODECS.clear()
-        _CODECS[content] = Codec(content)
-    return _CODECS[content]
-
-
 def groups(rows: Iterator[tuple[int | None, bytes]]) -> Iterator[list[tuple[int | None, bytes]]]:
     """Rows in runs of about ``OUT_BYTES``."""
     held, size = [], 0
@@ -258,16 +251,19 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Codec(content.value)  # one per task: the worker lives on, and what this task remembers must not
         gc.disable()  # what is remembered holds no cycles, and scanning it again and again is slow
-        own = codec(content.value)
-        for group in groups(rows_of(batches)):
-            encoded = own.encode([t for _, t in group])
-            offsets = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
-            values = np.fromiter(chain.from_iterable(encoded), np.int32, offsets[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in group], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(map(own.decode, encoded), pa.string())],
-                schema=RESULT,
-            )
+        try:
+            for group in groups(rows_of(batches)):
+                encoded = own.encode([t for _, t in group])
+                offsets = np.cumsum([0, *map(len, encoded)], dtype=np.int32)
+                values = np.fromiter(chain.from_iterable(encoded), np.int32, offsets[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in group], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(map(own.decode, encoded), pa.string())],
+                    schema=RESULT,
+                )
+        finally:
+            gc.enable()
 
     return keyed_text(docs, id_column, text_column).mapInArrow(coded, "doc_id long, ids array<int>, decoded string")
 

@@ -8,8 +8,12 @@ tokens reach the total budget.  Every source therefore advances at the rate of i
 The running sum of one source is split into chunks of the shuffled order, and the cut is found
 from sums of range partitions, so no source and no sort order is held by one task.
 
+Documents whose ids are null or repeated are shuffled by their text as well, so that no chunk holds them all.
+
 Cases: null or empty texts have size 0 and are never taken; a null source is a source of its own,
-last; an empty table gives an empty result; repeated rows are offered each for itself.
+last; an empty table gives an empty result; repeated rows are offered each for itself; equal finish times
+go by source, place in the shuffled order and id, and rows equal in these are taken together; very long
+texts are counted whole; further columns of any name are not read, but for those asked for by ``keep``.
 """
 
 from __future__ import annotations
@@ -53,14 +57,15 @@ def targets(sources: DataFrame, budget: int, weights: tuple[int, ...] = WEIGHTS,
     return ranked.select("source", "source_size", F.col("rank").cast("int").alias("rank"), F.least(ceiling, level * F.col("__w")).alias("target"))
 
 
-def queued(docs: DataFrame, weights: tuple[int, ...], repeats: int, chunk_rows: int, seed: int) -> tuple[DataFrame, int]:
+def queued(docs: DataFrame, weights: tuple[int, ...], repeats: int, chunk_rows: int, seed: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Documents with size, source_size, target, rank and ``cumulative``, the tokens of their source up to
     and including them in shuffled order; and the budget."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     sized = stored(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")
-        ).withColumn("__u", unit_hash("doc_id", seed=seed)),
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"),
+            unit_hash("doc_id", F.xxhash64(F.col("text").cast("string")), seed=seed).alias("__u"), *keep,
+        ),
         folder, "sized",
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__n"))
@@ -106,10 +111,12 @@ def last_taken(queue: DataFrame, budget: int, repeats: int):
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, chunk_rows: int = CHUNK_ROWS, seed: int = SEED
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, chunk_rows: int = CHUNK_ROWS, seed: int = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (tokens taken, repeats counted)."""
-    queue, budget = queued(docs, weights, repeats, chunk_rows, seed)
+    """One row per document: doc_id, size, source_size, target, taken (tokens taken, repeats counted), and the
+    columns of ``docs`` that ``keep`` names."""
+    queue, budget = queued(docs, weights, repeats, chunk_rows, seed, keep)
     cut = last_taken(queue, budget, repeats)
     times = F.lit(0)
     if cut is not None:
@@ -117,4 +124,4 @@ def mix(
         for turn in range(repeats):
             times = times + (offer(turn) <= limit).cast("int")
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * times).otherwise(F.lit(0)).cast("long")
-    return queue.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return queue.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)

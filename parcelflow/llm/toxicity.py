@@ -17,8 +17,9 @@ gives an empty result; very long texts are read whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ GRADES = 4
 FEATURES = 4096
 FIT_ROWS = 6_000
 MIN_ROWS, MIN_RATIO = 5, 2.7
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 GRAMS = (4, 5, 6, 7)
 STEPS, RATE, RIDGE = 1500, 0.05, 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,7 +51,42 @@ def word_counts(text: bytes) -> Counter[str]:
     return Counter(_WORD.findall(text.decode("utf-8", "replace").lower()))
 
 
-def hits(counts: Counter[str], known: dict[str, tuple[str, ...]], wanted) -> Counter[str]:
+class Sample:
+    """Word counts of texts in arrays: every distinct word is held once, a row as numbers of words and counts."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, text: bytes) -> None:
+        counts = word_counts(text)
+        numbers = np.fromiter((self.place.setdefault(w, len(self.place)) for w in counts), np.int32, len(counts))
+        self.rows.append((numbers, np.fromiter(counts.values(), np.int32, len(counts))))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[dict[str, int]]:
+        words = list(self.place)
+        for numbers, counts in self.rows:
+            yield {words[i]: n for i, n in zip(numbers.tolist(), counts.tolist(), strict=True)}
+
+
+def frequent_terms(rows: Iterable[dict[str, int]], least: int) -> Counter[str]:
+    """Terms that stand in at least ``least`` rows, with their rows.  Hashed counts leave out most others
+    before any term is held."""
+    rows, seen = list(rows), np.zeros(1 << 20, np.int32)
+    places = lambda words: np.unique([zlib.crc32(t.encode()) & 0xFFFFF for w in words for t in word_terms(w)])
+    for words in rows:
+        if words:
+            seen[places(words)] += 1
+    found: Counter[str] = Counter()
+    for words in rows:
+        found.update({t for w in words for t in word_terms(w) if seen[zlib.crc32(t.encode()) & 0xFFFFF] >= least})
+    return Counter({t: n for t, n in found.items() if n >= least})
+
+
+def hits(counts: dict[str, int], known: dict[str, tuple[str, ...]], wanted) -> Counter[str]:
     """Occurrences of wanted terms.  ``known`` remembers, per word, its wanted terms, and starts anew when full."""
     found: Counter[str] = Counter()
     for word, n in counts.items():
@@ -74,15 +110,12 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     return texts.join(F.broadcast(drawn), texts["doc_id"] == drawn["__id"]).select("doc_id", "text", "toxic")
 
 
-def vocabulary(counts: list[Counter[str]], toxic: np.ndarray, features: int = FEATURES) -> list[str]:
+def vocabulary(counts: Sample | list[dict[str, int]], toxic: np.ndarray, features: int = FEATURES) -> list[str]:
     """Terms of toxic rows whose share of toxic rows exceeds a cautious estimate of their share of clean rows by
     ``exp(MIN_RATIO)``, the most telling first."""
     n_bad, n_good = max(1, int((toxic == 1).sum())), max(1, int((toxic == 0).sum()))
-    bad: Counter[str] = Counter()
-    for words, y in zip(counts, toxic, strict=True):
-        if y == 1:
-            bad.update({t for w in words for t in word_terms(w)})
-    wanted = {t for t, n in bad.items() if n >= MIN_ROWS}
+    bad = frequent_terms((words for words, y in zip(counts, toxic, strict=True) if y == 1), MIN_ROWS)
+    wanted = set(bad)
     good: Counter[str] = Counter()
     known: dict[str, tuple[str, ...]] = {}
     for words, y in zip(counts, toxic, strict=True):
@@ -145,7 +178,7 @@ def fit_ordinal(x, grade: np.ndarray, grades: int = GRADES) -> tuple[np.ndarray,
     return weights, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
-def fit(counts: list[Counter[str]], toxic: np.ndarray, features: int = FEATURES) -> Model:
+def fit(counts: Sample | list[dict[str, int]], toxic: np.ndarray, features: int = FEATURES) -> Model:
     """A model from the word counts and labels of the sample."""
     names = vocabulary(counts, toxic, features)
     if not names:
@@ -180,10 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, fit_rows
     sample = rows.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, toxic = [], []
+        counts, toxic = Sample(), []
         for batch in batches:
-            counts += [word_counts(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            toxic += batch.column(1).to_pylist()
+            for text, label in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                counts.add(text.as_py())
+                toxic.append(label)
         model = fit(counts, np.array(toxic, int), features)
         yield pa.RecordBatch.from_pydict({
             "terms": [list(model.weights)], "weights": [list(model.weights.values())], "thresholds": [list(model.thresholds)], "limit": [model.limit],

@@ -47,7 +47,8 @@ def test_forgetting_changes_nothing(monkeypatch, tiny):
     texts = [r.text.encode() for r in tiny.limit(40).collect()]
     content = open(PATH).read()
     whole = bpe.Codec(content).encode(texts)
-    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 100_000)
+    monkeypatch.setattr(bpe, "PAIRS", 500)
     own = bpe.Codec(content)
     assert [own.encode([t])[0] for t in texts] == whole
 
