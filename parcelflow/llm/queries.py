@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, exact, hmm, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sampled_splitters")
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
+
+
+@query("op11_hidden_markov")
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
