@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, hmm, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, collocations, exact, hmm, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,37 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_hidden_markov")
 def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir))
+
+
+@query("op13_setm_collocations", """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) AS sizes WHERE len(w) >= k
+), counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS lhs, array_to_string(w[cut + 1:k], ' ') AS rhs
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+), judged AS (
+  SELECT c.*, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+  FROM cuts AS c JOIN counts AS l ON l.lang = c.lang AND l.phrase = c.lhs JOIN counts AS r ON r.lang = c.lang AND r.phrase = c.rhs
+), lowest AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[start:start + size - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS start FROM (SELECT *, unnest(range(2, k)) AS size FROM candidates WHERE k > 2)) GROUP BY ALL
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+  FROM lowest AS x LEFT JOIN inside AS i ON i.lang = x.lang AND i.phrase = x.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * a
+) AS y JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
