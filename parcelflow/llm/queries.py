@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, exact, hmm, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, collocations, conversation_trie, exact, hmm, licenses, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,41 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 """)
 def op13_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
+
+
+@query("op12_prefix_trie", """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), named AS (SELECT conv_id, pos, dense_rank() OVER (ORDER BY role, text) AS id, length(text) AS size FROM turns),
+heads AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM named)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.id FROM heads AS c JOIN named AS o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.id FROM heads AS c JOIN named AS o ON o.conv_id = c.conv_id AND o.pos > c.h
+), lists AS (
+  SELECT h.conv_id, coalesce(list(r.id ORDER BY r.part, r.pos) FILTER (r.id IS NOT NULL), []) AS s FROM heads AS h LEFT JOIN rebuilt AS r USING (conv_id) GROUP BY h.conv_id
+), sizes AS (SELECT id, any_value(size) AS size FROM named GROUP BY id),
+members AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM lists),
+nodes AS (
+  SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends
+  FROM members GROUP BY 1, 2
+), parents AS (
+  SELECT x.*, q.conv_id AS above, coalesce(k.children, 0) AS children, (x.n - 1) * coalesce(z.size, 0) AS own
+  FROM nodes AS x LEFT JOIN nodes AS q ON x.depth > 0 AND q.depth = x.depth - 1 AND q.p = x.p[1:x.depth - 1]
+  LEFT JOIN (SELECT p[1:depth - 1] AS p, count(*) AS children FROM nodes WHERE depth > 0 GROUP BY 1) AS k ON k.p = x.p
+  LEFT JOIN sizes AS z ON x.depth > 0 AND z.id = x.p[x.depth]
+), sums AS (
+  SELECT p[1:upto] AS p, count(*) FILTER (children = 0) AS leaves, sum(own) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS upto FROM parents) GROUP BY 1
+)
+SELECT x.conv_id, x.depth, x.above AS parent_conv_id, x.n AS n_convs, x.children AS n_children, s.leaves AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM parents AS x JOIN sums AS s ON s.p = x.p
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
