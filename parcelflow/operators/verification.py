@@ -145,7 +145,8 @@ def series_steps(rows: DataFrame) -> DataFrame:
     spreads over tasks.
     """
     digest = F.md5("observation_id")
-    ordered = rows.withColumns({"__idx": periods.period_index("period", "frequency"), "__tie": digest}).filter("__idx IS NOT NULL")
+    needed = [*SERIES, "period", "value", "is_rate", "jump_threshold", "observation_id"]
+    ordered = rows.select(*needed).withColumns({"__idx": periods.period_index("period", "frequency"), "__tie": digest}).filter("__idx IS NOT NULL")
     chunk = F.col("__idx").cast("long") * 256 + F.conv(F.substring("__tie", 1, 2), 16, 10).cast("long")
     placed = keyed.dense_positions(ordered, SERIES, ["__idx", "__tie", "value"], chunk, "__position")
     placed = placed.withColumn("__now", F.struct(F.col("__idx").alias("idx"), F.col("value").cast("double").alias("value"), "observation_id", "period"))
@@ -180,11 +181,81 @@ def retrieval_findings(rows: DataFrame, evaluated_on: str, confirmed: bool) -> D
     return stale.unionByName(_emit(claimed, "unconfirmed_verification", WARNING, ["observation_id"]))
 
 
-def all_findings(rows: DataFrame, *, evaluated_on: str, confirmed: bool = False, governed: DataFrame | None = None) -> DataFrame:
-    parts = [
-        duplicates(rows), methodology_mismatch(rows), source_conflicts(rows), revisions(rows), frequency_mismatch(rows), methodology_change(rows),
-        complement_mismatch(rows), operating_mismatches(rows), proxies(rows), gaps_and_jumps(rows), retrieval_findings(rows, evaluated_on, confirmed),
-    ]
+METHOD = [*NATURAL, "source_name", "methodology"]
+SERIES_METHOD = ["geography_type", "geography_id", "property_type", "property_subtype", "metric", "methodology", "source_name"]
+SERIES_SOURCE = [k for k in SERIES_METHOD if k != "methodology"]
+
+
+def group_flags(rows: DataFrame, stage=checkpointed) -> DataFrame:
+    """VER-02..06 per (natural key, source, methodology): which of the group checks its rows fail.
+
+    The rows are aggregated once, to that key.  Natural keys, series and series across methodologies
+    are coarser, so their statistics are aggregates of the first aggregate.
+    """
+    value = F.col("value").cast("double")
+    base = stage(rows.groupBy(*METHOD).agg(
+        F.min("vintage").alias("__v1"), F.max("vintage").alias("__v2"), F.min(value).alias("__a"), F.max(value).alias("__b"), F.first("is_rate").alias("__rate"),
+    ))
+    extremes = lambda c: (F.min(c).alias("__low"), F.max(c).alias("__high"))
+    mixed = (F.col("__low") != F.col("__high"))
+    gap = numbers.governed_difference(F.col("__a"), F.col("__b"), F.col("__rate"))
+    natural = base.groupBy(*NATURAL).agg(
+        *extremes("methodology"), F.min("source_name").alias("__s1"), F.max("source_name").alias("__s2"), F.min("__a").alias("__a"), F.max("__b").alias("__b"),
+        F.first("__rate").alias("__rate"),
+    ).select(*NATURAL, mixed.alias("__mismatch"), ((F.col("__s1") != F.col("__s2")) & (F.round(gap, 12) > CONFLICT_TOLERANCE)).alias("__conflict"))
+    frequency = base.groupBy(*SERIES_METHOD).agg(*extremes("frequency")).filter(mixed).select(*SERIES_METHOD, F.lit(True).alias("__frequency"))
+    change = base.groupBy(*SERIES_SOURCE).agg(*extremes("methodology")).filter(mixed).select(*SERIES_SOURCE, F.lit(True).alias("__change"))
+    revised = (F.col("__v1") != F.col("__v2")) & (F.col("__a") != F.col("__b"))
+    flags = base.select(*METHOD, revised.alias("__revised"))
+    flags = keyed.null_safe_join(flags, natural.filter("__mismatch OR __conflict"), NATURAL, "left")
+    flags = keyed.null_safe_join(keyed.null_safe_join(flags, frequency, SERIES_METHOD, "left"), change, SERIES_SOURCE, "left")
+    return flags.filter("__revised OR __mismatch OR __conflict OR __frequency OR __change")
+
+
+def release_findings(rows: DataFrame) -> DataFrame:
+    """VER-07..10 from one aggregate per release."""
+    metrics = {
+        "occupancy_rate": "occ", "vacancy_rate": "vac", "same_store_revenue": "rev", "same_store_operating_expense": "exp", "same_store_noi": "noi", "noi_margin": "mar",
+    }
+    sides = _sides(rows, metrics)
+    single = lambda *names: reduce(lambda a, b: a & b, [F.col(f"{n}_n") == 1 for n in names])
+    one_unit = (F.col("rev_unit") == F.col("exp_unit")) & (F.col("exp_unit") == F.col("noi_unit"))
+    off = F.abs(numbers.ratio(F.col("noi"), F.col("rev")) - F.col("mar")) > 0.0001
+    checks = (
+        ("occupancy_vacancy_mismatch", single("occ", "vac") & (F.abs(F.col("occ") + F.col("vac") - 1) > 0.000001), ("occ", "vac")),
+        ("operating_unit_mismatch", single("rev", "exp", "noi") & ~one_unit, ("rev", "exp", "noi")),
+        ("operating_identity_mismatch", single("rev", "exp", "noi") & one_unit & (F.abs(F.col("rev") - F.col("exp") - F.col("noi")) > 1), ("rev", "exp", "noi")),
+        ("noi_margin_mismatch", single("rev", "noi", "mar") & (F.col("rev") > 0) & off, ("rev", "noi", "mar")),
+    )
+    found = F.array(*[F.when(bad, F.struct(*_named(code, ERROR, RELEASE), F.array(*[f"{n}_id" for n in ids]).alias("ids"))) for code, bad, ids in checks])
+    hits = sides.select(F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
+    return hits.select("f.code", "f.severity", "f.finding_id", F.explode("f.ids").alias("observation_id"))
+
+
+def _named(code: str, severity: str, keys: list[str]) -> tuple[Column, Column, Column]:
+    group = F.sha2(F.concat_ws("|", F.lit(code), *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys]), 256)
+    return F.lit(code).alias("code"), F.lit(severity).alias("severity"), group.alias("finding_id")
+
+
+def all_findings(
+    rows: DataFrame, *, evaluated_on: str, confirmed: bool = False, governed: DataFrame | None = None, stage=checkpointed
+) -> DataFrame:
+    """Every check.  Group checks come from one aggregate and one join back, and go into one list per row with
+    the checks of single rows; duplicates, releases, series steps and geographies have keys of their own."""
+    age = F.datediff(F.lit(evaluated_on).cast("date"), F.col("retrieved_on"))
+    other = ~F.coalesce(F.col("target_classification") == "institutional_target", F.lit(False))
+    claimed = (F.col("verification_status") == "analyst_verified") & F.lit(not confirmed)
+    own = ["observation_id"]
+    checks = (
+        (F.col("__mismatch"), "methodology_mismatch", WARNING, NATURAL), (F.col("__conflict"), "source_conflict", WARNING, NATURAL),
+        (F.col("__revised"), "revised_observation", INFO, METHOD), (F.col("__frequency"), "frequency_mismatch", WARNING, SERIES_METHOD),
+        (F.col("__change"), "methodology_change", WARNING, SERIES_SOURCE), (other, "proxy_not_institutional_target", INFO, own),
+        (age > 730, "stale_retrieval", WARNING, own), (claimed, "unconfirmed_verification", WARNING, own),
+    )
+    found = F.array(*[F.when(bad, F.struct(*_named(code, severity, keys))) for bad, code, severity, keys in checks])
+    flagged = keyed.null_safe_join(rows, group_flags(rows, stage), METHOD, "left")
+    listed = flagged.select("observation_id", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("f.*", "observation_id")
+    parts = [listed, duplicates(rows), release_findings(rows), gaps_and_jumps(rows)]
     if governed is not None:
         parts.append(geography_mismatch(rows, governed))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -195,22 +266,21 @@ def peer_agreement(rows: DataFrame) -> DataFrame:
     return keyed.peer_median_distance(rows, NATURAL, "source_name", "value", ~F.col("is_rate"), stage=checkpointed)
 
 
-def no_agreement(rows: DataFrame) -> DataFrame:
-    """An empty agreement table: every row then scores the neutral 0.5."""
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*NATURAL, "source_name"]) + ", value double, peer_distance double"
-    return rows.sparkSession.createDataFrame([], schema)
+def judge(rows: DataFrame, findings: DataFrame, *, confirmed: bool = False) -> DataFrame:
+    """VER-18: the codes of each row and whether it may enter a model, which rests on them alone."""
+    codes = findings.groupBy("observation_id").agg(F.array_sort(F.collect_set("code")).alias("verification_findings"))
+    judged = rows.withColumn("value", F.col("value").cast("double")).join(codes, "observation_id", "left").withColumn(
+        "verification_findings", F.coalesce("verification_findings", F.array().cast("array<string>"))
+    )
+    verified = (F.col("verification_status") == "analyst_verified") & F.lit(confirmed)
+    blocking = (F.col("verification_status") == "rejected") | F.arrays_overlap("verification_findings", F.array(*[F.lit(c) for c in BLOCKING_FINDINGS]))
+    return judged.withColumn("model_eligible", verified & ~blocking)
 
 
 def score(rows: DataFrame, findings: DataFrame, *, evaluated_on: str, confirmed: bool = False, agreement: DataFrame | None = None) -> DataFrame:
-    """VER-17/18: weighted confidence and model eligibility."""
+    """VER-17: ``judge`` and a weighted confidence, to which the agreement with other sources belongs."""
     agreement = peer_agreement(rows) if agreement is None else agreement
-    codes = findings.groupBy("observation_id").agg(F.array_sort(F.collect_set("code")).alias("verification_findings"))
-    scored = rows.withColumn("value", F.col("value").cast("double"))
-    scored = keyed.null_safe_join(scored, agreement, [*NATURAL, "source_name", "value"], "left")
-    scored = scored.join(codes, "observation_id", "left").withColumn(
-        "verification_findings", F.coalesce("verification_findings", F.array().cast("array<string>"))
-    )
+    scored = keyed.null_safe_join(judge(rows, findings, confirmed=confirmed), agreement, [*NATURAL, "source_name", "value"], "left")
     age = F.greatest(F.datediff(F.lit(evaluated_on).cast("date"), F.col("retrieved_on")), F.lit(0))
     agree = F.when(F.col("peer_distance").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("peer_distance") / 0.10))
     recency = F.when(age <= 365, 1.0).when(age <= 730, 0.75).when(age <= 1825, 0.5).otherwise(0.25)
@@ -223,8 +293,7 @@ def score(rows: DataFrame, findings: DataFrame, *, evaluated_on: str, confirmed:
     confidence = (
         reliability * 0.25 + F.lit(0.15) + agree * 0.15 + recency * 0.10 + completeness * 0.10 + status * 0.15 + F.when(odd, 0.0).otherwise(1.0) * 0.10
     )
-    blocking = (F.col("verification_status") == "rejected") | F.arrays_overlap("verification_findings", F.array(*[F.lit(c) for c in BLOCKING_FINDINGS]))
-    return scored.withColumns({"confidence": F.round(confidence, 6), "model_eligible": verified & ~blocking}).drop("peer_distance")
+    return scored.withColumn("confidence", F.round(confidence, 6)).drop("peer_distance")
 
 
 def summarize(scored: DataFrame, findings: DataFrame, confirmed: bool = False) -> DataFrame:

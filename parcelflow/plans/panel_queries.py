@@ -22,7 +22,7 @@ gated as (
 
 
 def judged(spark, sf_dir):
-    return t.eligibility(checkpointed(tq.scored(spark, sf_dir, False)))
+    return t.eligibility(checkpointed(tq.judged(spark, sf_dir)))
 
 
 @query("target_exclusions", "with " + SQL_JUDGED + " select property_type, metric, coalesce(reason, 'eligible') as reason, count(*) as rows from gated group by all")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parcelflow.operators import scorecards, verification as v
 from parcelflow.plans import bindings as b
 from parcelflow.plans.registry import query
-from parcelflow.schemas import target_metric_dim
+from parcelflow.schemas import BLOCKING_FINDINGS, target_metric_dim
 from parcelflow.session import checkpointed
 
 EVALUATED = "2003-01-01"
@@ -168,29 +168,78 @@ def warning_table(spark, sf_dir):
     )
 
 
-def light_findings(spark, sf_dir, rows=None):
-    """Findings that decide eligibility here: duplicates, conflicts, jumps and proxies."""
-    rows = staged(spark, sf_dir) if rows is None else rows
-    parts = [v.duplicates(rows), v.source_conflicts(rows.filter("is_rate")), v.gaps_and_jumps(rows), v.proxies(rows)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def governed_records(spark, sf_dir):
+    """Records over finer markets, of which some have one source or one methodology and one nation's early rows are
+    annual, with sheets that repeat their rows: every check passes some rows and fails others."""
+    rows = records(spark, sf_dir)
+    nation = F.col("geography_id").cast("int")
+    digit = lambda k, n: F.conv(F.substring(F.md5("evidence"), k, n), 16, 10).cast("int")
+    source = F.when(nation % 3 == 0, F.col("source_name")).otherwise(F.lit("2-HIGH"))
+    annual = (nation == 7) & (F.substring("period", 1, 4).cast("int") < 1995)
+    kind = F.when(source == "1-URGENT", "federal_public").when(source == "2-HIGH", "state_local_public").otherwise("manual_research")
+    return rows.withColumns({
+        "geography_id": F.concat_ws("-", "geography_id", (digit(3, 1) % 8).cast("string")), "source_name": source, "source_class": kind,
+        "methodology": F.when(nation % 4 == 1, F.col("methodology")).otherwise("F"),
+        "source_identifier": F.when(digit(1, 2) < 8, F.concat_ws("-", F.lit("sheet"), "period")).otherwise(F.col("evidence")),
+        "frequency": F.when(annual, "annual").otherwise(F.col("frequency")), "period": F.when(annual, F.substring("period", 1, 4)).otherwise(F.col("period")),
+    })
 
 
-SQL_SCORED = SQL_STEPS + f""",
+def governed_markets(spark, sf_dir):
+    """The markets of three regions are governed."""
+    return _governed(spark, sf_dir).withColumn("geography_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.concat_ws("-", "geography_id", k.cast("string")))))
+
+
+_HEX = "cast('0x' || substr(md5(evidence), {0}, {1}) as integer)"
+_SOURCE = "case when cast(geography_id as integer) % 3 = 0 then source_name else '2-HIGH' end"
+_ANNUAL = "cast(geography_id as integer) = 7 and cast(substr(period, 1, 4) as integer) < 1995"
+_YEARS = f"case when frequency = 'annual' then cast(substr(period, 1, 4) as integer) else {IDX} end"
+_SERIES_METHOD = "geography_type, geography_id, property_type, property_subtype, metric, methodology, source_name"
+_SERIES_SOURCE = "geography_type, geography_id, property_type, property_subtype, metric, source_name"
+
+SQL_SCORED = b.SQL_RECORDS + f""",
+governed as (
+  select * replace (
+    geography_id || '-' || cast({_HEX.format(3, 1)} % 8 as varchar) as geography_id, {_SOURCE} as source_name,
+    case {_SOURCE} when '1-URGENT' then 'federal_public' when '2-HIGH' then 'state_local_public' else 'manual_research' end as source_class,
+    case when cast(geography_id as integer) % 4 = 1 then methodology else 'F' end as methodology,
+    case when {_ANNUAL} then 'annual' else frequency end as frequency, case when {_ANNUAL} then substr(period, 1, 4) else period end as period),
+    case when {_HEX.format(1, 2)} < 8 then 'sheet-' || period else evidence end as source_identifier
+  from records),
+ordered as (select *, {_YEARS} as idx from governed),
+steps as (
+  select *, idx - lag(idx) over w as gap, lag(value) over w as previous_value, lag(observation_id) over w as previous_id
+  from ordered window w as (partition by {SERIES} order by idx, md5(observation_id), value)),
+judged as (
+  select *, {DIFF.format(rate="is_rate", a="previous_value", b="value")} as change, previous_id || '|' || observation_id as fid from steps where previous_id is not null),
+grouped as (
+  select *, count(*) over d as copies, min(methodology) over n as m1, max(methodology) over n as m2, min(source_name) over n as s1, max(source_name) over n as s2,
+    min(value) over n as low, max(value) over n as high, min(vintage) over r as v1, max(vintage) over r as v2, min(value) over r as r1, max(value) over r as r2,
+    min(frequency) over f as f1, max(frequency) over f as f2, min(methodology) over c as c1, max(methodology) over c as c2
+  from governed
+  window n as (partition by {NATURAL}), d as (partition by {NATURAL}, source_name, source_identifier, vintage, methodology),
+    r as (partition by {NATURAL}, source_name, methodology), f as (partition by {_SERIES_METHOD}), c as (partition by {_SERIES_SOURCE})),
 found as (
-  select observation_id, 'duplicate_observation' as code from records qualify count(*) over (partition by {NATURAL}, source_name, evidence, vintage, methodology) > 1
-  union all select observation_id, 'source_conflict' from records where is_rate
-    window w as (partition by {NATURAL}) qualify min(source_name) over w <> max(source_name) over w and round(max(value) over w - min(value) over w, 12) > 0.05::double
-  union all select unnest([previous_id, observation_id]), 'missing_periods' from judged where gap > 1
-  union all select unnest([previous_id, observation_id]), 'sudden_jump' from judged where round(change, 12) > jump_threshold
-  union all select observation_id, 'proxy_not_institutional_target' from records where target_classification <> 'institutional_target'),
+  select observation_id, 'duplicate_observation' as code, concat_ws('|', {NATURAL}, source_name, source_identifier, vintage, methodology) as fid from grouped where copies > 1
+  union all select observation_id, 'methodology_mismatch', concat_ws('|', {NATURAL}) from grouped where m1 <> m2
+  union all select observation_id, 'source_conflict', concat_ws('|', {NATURAL}) from grouped
+    where s1 <> s2 and round({DIFF.format(rate="is_rate", a="low", b="high")}, 12) > 0.05::double
+  union all select observation_id, 'revised_observation', concat_ws('|', {NATURAL}, source_name, methodology) from grouped where v1 <> v2 and r1 <> r2
+  union all select observation_id, 'frequency_mismatch', concat_ws('|', {_SERIES_METHOD}) from grouped where f1 <> f2
+  union all select observation_id, 'methodology_change', concat_ws('|', {_SERIES_SOURCE}) from grouped where c1 <> c2
+  union all select unnest([previous_id, observation_id]), 'missing_periods', fid from judged where gap > 1
+  union all select unnest([previous_id, observation_id]), 'sudden_jump', fid from judged where round(change, 12) > jump_threshold
+  union all select observation_id, 'proxy_not_institutional_target', observation_id from governed where target_classification <> 'institutional_target'
+  union all select observation_id, 'stale_retrieval', observation_id from governed where date '{EVALUATED}' - retrieved_on > 730
+  union all select observation_id, 'market_geography_mismatch', observation_id from governed
+    where substr(geography_id, 1, 5) not in (select lpad(cast(n_nationkey as varchar), 5, '0') from nation where n_regionkey < 3)),
 codes as (select observation_id, list_sort(list(distinct code)) as verification_findings from found group by observation_id),
 peers as (
-  select r.observation_id as pid, r.value as pvalue, r.source_name as psource, r.geography_id as g, r.period as p, r.property_type as t, r.metric as m, median({DIFF.format(rate="r.is_rate", a="r.value", b="o.value")}) as peer_distance
-  from (select distinct geography_id, period, property_type, metric, source_name, value, is_rate, '' as observation_id from records) r
-  join records o on o.geography_id = r.geography_id and o.period = r.period and o.property_type = r.property_type and o.metric = r.metric and o.source_name <> r.source_name
+  select r.value as pvalue, r.source_name as psource, r.geography_id as g, r.period as p, r.frequency as f, r.property_type as t, r.metric as m,
+    median({DIFF.format(rate="r.is_rate", a="r.value", b="o.value")}) as peer_distance
+  from (select distinct geography_id, period, frequency, property_type, metric, source_name, value, is_rate from governed) r
+  join governed o on o.geography_id = r.geography_id and o.period = r.period and o.frequency = r.frequency and o.property_type = r.property_type
+    and o.metric = r.metric and o.source_name <> r.source_name
   group by all),
 scored as (
   select r.*, coalesce(c.verification_findings, []) as verification_findings, p.peer_distance,
@@ -201,22 +250,42 @@ scored as (
       + ((1 + 1 + 0 + case when redistribution_permitted = 'yes' then 1 else 0 end) / 4.0::double) * 0.10::double
       + (case verification_status when 'analyst_verified' then 1 when 'rejected' then 0 else 0.45::double end) * 0.15::double
       + (case when list_has_any(coalesce(c.verification_findings, []), ['duplicate_observation', 'sudden_jump']) then 0 else 1 end) * 0.10::double, 6) as confidence,
-    verification_status = 'analyst_verified' and not list_has_any(coalesce(c.verification_findings, []),
-      ['duplicate_observation', 'source_conflict', 'proxy_not_institutional_target']) as model_eligible
-  from records r left join codes c using (observation_id)
-  left join peers p on p.g = r.geography_id and p.p = r.period and p.t = r.property_type and p.m = r.metric and p.psource = r.source_name and p.pvalue = r.value)"""
+    verification_status = 'analyst_verified' and not list_has_any(coalesce(c.verification_findings, []), {list(BLOCKING_FINDINGS)}) as model_eligible
+  from governed r left join codes c using (observation_id)
+  left join peers p on p.g = r.geography_id and p.p = r.period and p.f = r.frequency and p.t = r.property_type and p.m = r.metric and p.psource = r.source_name and p.pvalue = r.value)"""
+
 
+def checked(spark, sf_dir):
+    """The governed records and the findings of all checks over them, each computed once."""
+    rows = checkpointed(governed_records(spark, sf_dir))
+    findings = v.all_findings(rows, evaluated_on=EVALUATED, confirmed=True, governed=governed_markets(spark, sf_dir))
+    return rows, checkpointed(findings)
 
-def scored(spark, sf_dir, with_peers=True):
-    rows = staged(spark, sf_dir)
-    agreement = None if with_peers else v.no_agreement(rows)
-    return v.score(rows, checkpointed(light_findings(spark, sf_dir, rows)), evaluated_on=EVALUATED, confirmed=True, agreement=agreement)
+
+def judged(spark, sf_dir):
+    """Rows with their codes and eligibility, for what does not look at confidence."""
+    rows, findings = checked(spark, sf_dir)
+    return v.judge(rows, findings, confirmed=True)
+
+
+def scored(spark, sf_dir):
+    """Rows with codes, eligibility and confidence, which takes the agreement of peers."""
+    rows, findings = checked(spark, sf_dir)
+    return v.score(rows, findings, evaluated_on=EVALUATED, confirmed=True)
+
+
+@query("ver_all_checks", "with " + SQL_SCORED + """
+select code, count(distinct fid) as findings, count(*) as rows, count(distinct observation_id) as observations from found group by code""")
+def ver_all_checks(spark, sf_dir):
+    return checked(spark, sf_dir)[1].groupBy("code").agg(
+        F.countDistinct("finding_id").alias("findings"), F.count(F.lit(1)).alias("rows"), F.countDistinct("observation_id").alias("observations")
+    )
 
 
 @query("ver_peer_agreement", "with " + SQL_SCORED + """
 select g as geography_id, p as period, t as property_type, m as metric, psource as source_name, round(pvalue, 6) as value, round(peer_distance, 6) as peer_distance from peers""")
 def ver_peer_agreement(spark, sf_dir):
-    agreement = v.peer_agreement(staged(spark, sf_dir))
+    agreement = v.peer_agreement(checkpointed(governed_records(spark, sf_dir)))
     return agreement.select("geography_id", "period", "property_type", "metric", "source_name", F.round("value", 6).alias("value"), F.round("peer_distance", 6).alias("peer_distance"))
 
 
@@ -231,24 +300,16 @@ def ver_confidence(spark, sf_dir):
 @query("eligible_observations", "with " + SQL_SCORED + """
 select observation_id, metric, period, geography_id, round(value, 6) as value from scored where model_eligible""")
 def eligible_observations(spark, sf_dir):
-    return scored(spark, sf_dir, False).filter("model_eligible").select("observation_id", "metric", "period", "geography_id", F.round("value", 6).alias("value"))
+    return judged(spark, sf_dir).filter("model_eligible").select("observation_id", "metric", "period", "geography_id", F.round("value", 6).alias("value"))
 
 
-@query("ver_summary", "with " + SQL_SCORED + """,
-ids as (
-  select 'duplicate_observation' as code, concat_ws('|', geography_id, period, property_type, metric, source_name, evidence, vintage, methodology) as fid from records group by all having count(*) > 1
-  union all select 'source_conflict', concat_ws('|', geography_id, period, property_type) from records where is_rate group by all having min(source_name) <> max(source_name) and round(max(value) - min(value), 12) > 0.05::double
-  union all select 'missing_periods', previous_id || observation_id from judged where gap > 1
-  union all select 'sudden_jump', previous_id || observation_id from judged where round(change, 12) > jump_threshold
-  union all select distinct 'proxy', observation_id from records where target_classification <> 'institutional_target')
+@query("ver_summary", "with " + SQL_SCORED + """
 select count(*) as observations, count(*) filter (where model_eligible) as model_eligible, count(*) filter (where verification_status = 'analyst_verified') as verified,
   count(*) filter (where verification_status = 'unverified') as unverified, count(*) filter (where verification_status = 'rejected') as rejected,
-  (select count(*) from (select distinct code, fid from ids)) as findings, (select count(*) from ids where code = 'source_conflict') as conflicts from scored""")
+  (select count(*) from (select distinct code, fid from found)) as findings, (select count(distinct fid) from found where code = 'source_conflict') as conflicts from scored""")
 def ver_summary(spark, sf_dir):
-    rows = staged(spark, sf_dir)
-    findings = checkpointed(light_findings(spark, sf_dir, rows))
-    rows = v.score(rows, findings, evaluated_on=EVALUATED, confirmed=True, agreement=v.no_agreement(rows))
-    return v.summarize(rows, findings, True)
+    rows, findings = checked(spark, sf_dir)
+    return v.summarize(v.judge(rows, findings, confirmed=True), findings, True)
 
 
 @query("as_of_filter", "with " + b.SQL_RECORDS + """
@@ -301,11 +362,12 @@ def derive_margin(spark, sf_dir):
 
 
 @query("review_selection", "with " + SQL_SCORED + """
-select observation_id, period, list_has_any(verification_findings, ['duplicate_observation', 'source_conflict', 'proxy_not_institutional_target']) as refused
-from scored where geography_id in ('00001', '00002') and metric = 'vacancy_rate' and period between '1996-Q1' and '1997-Q4'""")
+select observation_id, period, list_has_any(verification_findings, """ + str(list(BLOCKING_FINDINGS)) + """) as refused
+from scored where geography_id in ('00002-1', '00008-2', '00011-3') and metric = 'vacancy_rate' and period between '1996-Q1' and '1997-Q4'""")
 def review_selection(spark, sf_dir):
+    rows, findings = checked(spark, sf_dir)
     rows = v.review_select(
-        records(spark, sf_dir), light_findings(spark, sf_dir), markets=["00001", "00002"], metrics=["vacancy_rate"], first="1996-Q1", last="1997-Q4"
+        rows, findings, markets=["00002-1", "00008-2", "00011-3"], metrics=["vacancy_rate"], first="1996-Q1", last="1997-Q4"
     )
     return rows.select("observation_id", "period", "refused")
 
@@ -351,21 +413,21 @@ def evidence_roots(spark, sf_dir):
 
 @query("series_scorecard", "with " + SQL_SCORED + f"""
 select source_name, property_type, metric, geography_type, geography_id, count(*) as observations, min(period) as earliest_period, max(period) as latest_period,
-  'quarterly' as frequency, max({IDX}) - min({IDX}) + 1 as expected_periods, max({IDX}) - min({IDX}) + 1 - count(distinct period) as missing_periods,
-  round(count(distinct period) / (max({IDX}) - min({IDX}) + 1), 6) as coverage_ratio, count(*) - count(distinct period) as duplicate_periods,
+  case when min(frequency) = max(frequency) then min(frequency) else 'mixed' end as frequency, case when min(frequency) = max(frequency) then max({_YEARS}) - min({_YEARS}) + 1 end as expected_periods, case when min(frequency) = max(frequency) then max({_YEARS}) - min({_YEARS}) + 1 - count(distinct period) end as missing_periods,
+  case when min(frequency) = max(frequency) then round(count(distinct period) / (max({_YEARS}) - min({_YEARS}) + 1), 6) end as coverage_ratio, count(*) - count(distinct period) as duplicate_periods,
   count(distinct methodology) as methodology_versions, count(distinct methodology) = 1 as methodology_consistent, true as unit_consistent,
   round(count(release_date) / count(*), 6) as release_date_coverage, round(count(*) filter (where verification_status = 'analyst_verified') / count(*), 6) as verification_rate,
   round(count(*) filter (where model_eligible) / count(*), 6) as model_eligible_rate,
   count(*) filter (where list_contains(verification_findings, 'sudden_jump')) as sudden_jump_rows, count(*) filter (where list_contains(verification_findings, 'source_conflict')) as source_conflict_rows
 from scored group by source_name, property_type, metric, geography_type, geography_id""")
 def series_scorecard(spark, sf_dir):
-    return scorecards.series_scorecard(scored(spark, sf_dir, False))
+    return scorecards.series_scorecard(judged(spark, sf_dir))
 
 
 @query("series_finding_counts", "with " + SQL_SCORED + """
 select source_name, property_type, metric, geography_type, geography_id, code, count(*) as rows from (select *, unnest(verification_findings) as code from scored) group by all""")
 def series_finding_counts(spark, sf_dir):
-    return scorecards.finding_counts(scored(spark, sf_dir, False))
+    return scorecards.finding_counts(judged(spark, sf_dir))
 
 
 @query("target_audit", "with " + SQL_SCORED + """
@@ -375,7 +437,7 @@ select property_type, metric, source_name as source, target_classification as cl
   case when count(licensing_notes) = count(*) then 'documented' when count(licensing_notes) = 0 then 'missing' else 'mixed' end as license_status
 from scored group by property_type, metric, source_name, target_classification""")
 def target_audit(spark, sf_dir):
-    audit = scorecards.target_audit(scored(spark, sf_dir, False), target_metric_dim(spark))
+    audit = scorecards.target_audit(judged(spark, sf_dir), target_metric_dim(spark))
     return audit.filter("observations > 0").drop("automation_status")
 
 
@@ -383,7 +445,7 @@ def target_audit(spark, sf_dir):
 select w.property_type, m.metric, cast(0 as bigint) as observations from wanted w, (select distinct metric from records) m
 where not exists (select 1 from records r where r.property_type = w.property_type and r.metric = m.metric)""")
 def uncovered_targets(spark, sf_dir):
-    audit = scorecards.target_audit(scored(spark, sf_dir, False), target_metric_dim(spark).filter("metric IN ('asking_rent', 'vacancy_rate')"))
+    audit = scorecards.target_audit(judged(spark, sf_dir), target_metric_dim(spark).filter("metric IN ('asking_rent', 'vacancy_rate')"))
     return audit.filter("observations = 0").select("property_type", "metric", "observations")
 
 
@@ -399,14 +461,14 @@ excluded_names as (select unnest(['missing_rights','not_analyst_reviewed','sourc
 select 'stage' as kind, cast(position as integer) as position, name, (select count(*) from g where gate >= low) as count from stage_names
 union all select 'excluded', cast(position as integer), name, (select count(*) from g where gate = position) from excluded_names""")
 def readiness_funnel(spark, sf_dir):
-    return scorecards.readiness_funnel(scored(spark, sf_dir, False))
+    return scorecards.readiness_funnel(judged(spark, sf_dir))
 
 
 @query("coverage_matrix", "with " + SQL_SCORED + """
 select property_type, metric, geography_id as market, period, count(*) as observations, count(*) filter (where model_eligible) as eligible,
   string_agg(distinct source_name, ',' order by source_name) as sources from scored group by all""")
 def coverage_matrix(spark, sf_dir):
-    return scorecards.coverage_matrix(scored(spark, sf_dir, False))
+    return scorecards.coverage_matrix(judged(spark, sf_dir))
 
 
 @query("target_coverage", "with " + b.SQL_RECORDS + """
@@ -427,7 +489,7 @@ def target_workbench(spark, sf_dir):
 select source_name, vintage, count(*) as observations, count(*) filter (where model_eligible) as model_eligible, count(*) filter (where verification_status = 'rejected') as rejected,
   min(period) as earliest, max(period) as latest from scored group by source_name, vintage""")
 def dataset_status(spark, sf_dir):
-    return scorecards.dataset_status(scored(spark, sf_dir, False))
+    return scorecards.dataset_status(judged(spark, sf_dir))
 
 
 @query("review_inventory", "with " + b.SQL_RECORDS + """
@@ -443,7 +505,7 @@ def review_inventory(spark, sf_dir):
 select source_name, count(*) as observations, count(distinct geography_id) as markets, count(distinct period) as periods, count(*) filter (where model_eligible) as eligible,
   case when count(*) filter (where model_eligible) > 0 then 'ELIGIBLE' else 'EVIDENCE_ONLY' end as status from scored group by source_name""")
 def company_coverage(spark, sf_dir):
-    return scorecards.company_coverage(scored(spark, sf_dir, False))
+    return scorecards.company_coverage(judged(spark, sf_dir))
 
 
 @query("market_depth", "with " + b.SQL_RECORDS + """

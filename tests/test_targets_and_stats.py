@@ -49,6 +49,35 @@ def test_each_finding(scored):
     assert found["methodology_change"] >= {"g"}
 
 
+def test_fused_checks_find_what_single_checks_find(spark):
+    """One aggregate and one join give the rows of the separate checks, with their finding ids."""
+    draw = random.Random(4)
+    metrics = ["vacancy_rate", "occupancy_rate", "same_store_revenue", "same_store_operating_expense", "same_store_noi", "noi_margin"]
+    made = []
+    for k in range(300):
+        row = dict(zip([c.split()[0] for c in COLUMNS.split(", ")], record(f"o{k % 290}", period=f"{draw.choice([2021, 2023])}-Q{draw.randint(1, 4)}", value=draw.choice([0.05, 0.2, 0.9, 5.0])), strict=True))
+        row |= {
+            "metric": draw.choice(metrics), "source_name": draw.choice("AB"), "vintage": draw.choice(["original", None, "revision-1"]), "methodology": draw.choice(["m1", "m1", "m2"]),
+            "property_subtype": draw.choice([None, "garden"]), "geography_id": draw.choice(["M1", "M2"]), "unit": draw.choice(["x", "y"]), "is_rate": draw.random() < 0.5,
+            "target_classification": draw.choice(["institutional_target", "context_proxy", None]), "retrieved_on": draw.choice([D(2020, 1, 1), D(2024, 5, 1), None]),
+        }
+        if draw.random() < 0.2:
+            row |= {"frequency": "annual", "period": row["period"][:4]}
+        row["is_rate"] = row["metric"] in ("vacancy_rate", "occupancy_rate", "noi_margin")
+        made.append(tuple(row.values()))
+    rows = spark.createDataFrame(made, COLUMNS).cache()
+    governed = spark.createDataFrame([("M1",)], "geography_id string")
+    for confirmed in (False, True):
+        single = [
+            v.duplicates(rows), v.methodology_mismatch(rows), v.source_conflicts(rows), v.revisions(rows), v.frequency_mismatch(rows), v.methodology_change(rows), v.complement_mismatch(rows),
+            v.operating_mismatches(rows), v.geography_mismatch(rows, governed), v.proxies(rows), v.gaps_and_jumps(rows), v.retrieval_findings(rows, "2024-06-30", confirmed),
+        ]
+        want = sorted((tuple(r) for part in single for r in part.select("code", "severity", "finding_id", "observation_id").collect()), key=str)
+        fused = v.all_findings(rows, evaluated_on="2024-06-30", confirmed=confirmed, governed=governed)
+        assert sorted((tuple(r) for r in fused.select("code", "severity", "finding_id", "observation_id").collect()), key=str) == want
+        assert len({w[0] for w in want}) >= 12
+
+
 def test_eligibility_and_reconciliation(scored):
     rows, _, out = scored
     eligible = {r.observation_id for r in out.filter("model_eligible").collect()}
