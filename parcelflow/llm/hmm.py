@@ -112,20 +112,21 @@ class Corpus:
 
 
 def counted(chunks: DataFrame, folder: str) -> tuple[DataFrame, Corpus]:
-    """(chunk, place, word class, c) of each distinct word of a chunk, c its count in all training documents; and the corpus."""
+    """(chunk, place, k, c) of each distinct word of a chunk, k its class and c its count in all training documents; and
+    the corpus.  The word itself is kept in one row only."""
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     same = Window.partitionBy("word")
     found = words.withColumn("c", F.sum("n").over(same)).withColumn("first", F.min(F.struct("chunk", "place")).over(same) == F.struct("chunk", "place"))
-    found = stored(found.drop("n"), folder, "words")
-    once = found.filter("first AND c > 0")
+    found = stored(found.select("chunk", "place", "c", word_class(F.col("word")).alias("k"), F.when(F.col("first"), F.col("word")).alias("word")), folder, "words")
+    once = found.filter("word IS NOT NULL AND c > 0")
     tokens, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = F.col("c") * HOT >= tokens  # at most HOT words, as their counts add up to the tokens
     hot = {bytes(r["word"]): r["c"] for r in once.filter(frequent).select("word", "c").orderBy("word").collect()}
-    sums = once.filter(~frequent).groupBy(word_class(F.col("word")).alias("k")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).collect()
+    sums = once.filter(~frequent).groupBy("k").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).collect()
     class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
         class_tokens[r["k"]], class_words[r["k"]] = r["t"], r["v"]
-    return found.select("chunk", "place", "word", "c"), Corpus(tokens, distinct, hot, class_tokens, class_words)
+    return found.select("chunk", "place", "k", "c"), Corpus(tokens, distinct, hot, class_tokens, class_words)
 
 
 SYMBOLS_DDL = (
@@ -148,7 +149,7 @@ def symbolised(chunks: DataFrame, words: DataFrame, corpus: Corpus) -> DataFrame
     spark = chunks.sparkSession
     sent = spark.sparkContext.broadcast(corpus)  # at most HOT words
     hot = F.col("c") * HOT >= corpus.tokens
-    rare_class = F.when(hot & (F.col("c") > 0), F.lit(-1)).otherwise(word_class(F.col("word")))
+    rare_class = F.when(hot & (F.col("c") > 0), F.lit(-1)).otherwise(F.col("k"))
     back = words.select("chunk", F.struct("place", "c", rare_class.alias("k")).alias("w")).groupBy("chunk").agg(F.collect_list("w").alias("found"))  # one chunk's words
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
