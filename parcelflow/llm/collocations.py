@@ -20,6 +20,7 @@ table gives an empty result; very long texts are read whole; further columns of
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -27,6 +28,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +38,28 @@ SUPPORT, LONGEST, TOP = 30, 4, 2_000
 #: A candidate goes when a longer one that holds it occurs at least this often per hundred of its occurrences.
 COVERED = 80
 SCALE = 2_000_000
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
-#: A chunk of a relation: words by number (-1 between pieces), the words, their languages, the phrase that starts
-#: at each position (-1 for none), and the chunk's phrases with language and count.
+#: A chunk of a relation, of one language: words by number (-1 between pieces) and the phrase that starts at each
+#: position (-1 for none; null for single words), both packed; the words and the chunk's phrases (null for single
+#: words), one per line; and the counts of the phrases.
 RELATION = pa.schema([
-    ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("ids", pa.list_(pa.int32())),
-    ("phrases", pa.list_(pa.string())), ("phrase_langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())),
+    ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.string()), ("ids", pa.binary()), ("phrases", pa.string()), ("counts", pa.list_(pa.int32())), ("chunk", pa.int64()),
 ])
-RELATION_DDL = "codes array<int>, words array<string>, langs array<string>, ids array<int>, phrases array<string>, phrase_langs array<string>, counts array<long>"
+RELATION_DDL = "lang string, codes binary, words string, ids binary, phrases string, counts array<int>, chunk long"
 
 
-def chunk_row(codes: np.ndarray, words, langs, ids: np.ndarray, phrases, phrase_langs, counts: np.ndarray, chunk: int | None = None) -> pa.RecordBatch:
-    values = (codes.astype(np.int32), words, langs, ids.astype(np.int32), phrases, phrase_langs, counts.astype(np.int64))
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type)) for v, f in zip(values, RELATION, strict=True)]
-    if chunk is None:
-        return pa.RecordBatch.from_arrays(lists, schema=RELATION)
-    return pa.RecordBatch.from_arrays([*lists, pa.array([chunk], pa.int64())], schema=RELATION.append(pa.field("chunk", pa.int64())))
+def packed(numbers: np.ndarray) -> bytes:
+    return zstandard.compress(numbers.astype(np.int32).tobytes(), 1)
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(content), np.int32)
+
+
+def chunk_row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, RELATION, strict=True)], schema=RELATION)
 
 
 def words_relation(docs: DataFrame, chunk_bytes: int, text_column: str, lang_column: str) -> DataFrame:
@@ -61,33 +67,30 @@ def words_relation(docs: DataFrame, chunk_bytes: int, text_column: str, lang_col
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh():
-            number = count()
-            return [], 0, defaultdict(lambda: defaultdict(number.__next__))
+            place = defaultdict(dict)
+            place.default_factory = lambda: defaultdict(count().__next__)
+            return defaultdict(lambda: array("i")), 0, place
 
-        def chunk() -> pa.RecordBatch:
-            words, langs = [""] * sum(map(len, place.values())), [""] * sum(map(len, place.values()))
-            for lang, own in place.items():
-                for word, at in own.items():
-                    words[at], langs[at] = word.decode("utf-8", "replace"), lang
-            own = np.array(codes, np.int32)
-            return chunk_row(own, words, langs, own, words, langs, np.bincount(own[own >= 0], minlength=len(words)))
+        def all_chunks() -> Iterator[pa.RecordBatch]:
+            for lang, own in codes.items():
+                found = np.frombuffer(own, np.int32)
+                words = b"\n".join(place[lang]).decode("utf-8", "replace")
+                yield chunk_row(lang, packed(found), words, None, None, np.bincount(found[found >= 0]), 0)
 
         codes, size, place = fresh()
         for batch in batches:
             for text, lang in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                number = place[lang].__getitem__
-                own = text.as_py()
+                number, own = place[lang].__getitem__, text.as_py()
                 for piece in _BREAK.sub(b"\n", own.lower()).split(b"\n"):
                     found = piece.split()
                     if found:
-                        codes.extend(map(number, found))
-                        codes.append(-1)
+                        codes[lang].extend(map(number, found))
+                        codes[lang].append(-1)
                 size += len(own)
                 if size >= chunk_bytes:
-                    yield chunk()
+                    yield from all_chunks()
                     codes, size, place = fresh()
-        if codes:
-            yield chunk()
+        yield from all_chunks()
 
     texts = docs.select(
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang")
@@ -119,35 +122,37 @@ def extended(codes: np.ndarray, ids: np.ndarray, frequent: np.ndarray, length: i
 
 def next_relation(relation: DataFrame, frequent: DataFrame, length: int, last: bool) -> DataFrame:
     """The relation of phrases of ``length + 1`` words from that of ``length`` and its frequent phrases (chunk, id)."""
-    flat = lambda column, k: column[k].values.to_numpy(zero_copy_only=False)
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for k in range(batch.num_rows):
-                codes, longer, first, counts = extended(flat(columns["codes"], k), flat(columns["ids"], k), flat(columns["found"], k), length)
-                words, langs = columns["words"][k].values, columns["langs"][k].values
-                parts = [words.take(pa.array(codes[first + j])) for j in range(length + 1)]
-                phrases = pc.binary_join_element_wise(*parts, " ")
-                phrase_langs = langs.take(pa.array(codes[first]))
-                if last:
-                    codes, longer, words, langs = codes[:0], longer[:0], words[:0], langs[:0]
-                else:
+                codes = unpacked(columns["codes"][k].as_py())
+                ids = codes if length == 1 else unpacked(columns["ids"][k].as_py())
+                codes, longer, first, counts = extended(codes, ids, columns["found"][k].values.to_numpy(zero_copy_only=False), length)
+                if not len(first):
+                    continue
+                words = pa.array(columns["words"][k].as_py().split("\n"))
+                lines = pc.binary_join_element_wise(*[words.take(pa.array(codes[first + j])) for j in range(length + 1)], " ")
+                phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
+                kept = None, None, None
+                if not last:
                     used = np.unique(codes[codes >= 0])
                     number = np.full(len(words) + 1, -1, np.int64)
                     number[used] = np.arange(len(used))
-                    codes, words, langs = number[codes], words.take(pa.array(used)), langs.take(pa.array(used))
-                yield chunk_row(codes, words, langs, longer, phrases, phrase_langs, counts, columns["chunk"][k].as_py())
+                    kept = packed(number[codes]), "\n".join(words.take(pa.array(used)).to_pylist()), packed(longer)
+                yield chunk_row(columns["lang"][k].as_py(), *kept, phrases, counts, columns["chunk"][k].as_py())
 
     back = frequent.groupBy("chunk").agg(F.collect_list("id").alias("found"))  # one chunk's phrases
-    joined = relation.select("chunk", "codes", "words", "langs", "ids").join(back, "chunk")
-    return joined.mapInArrow(turned, RELATION_DDL + ", chunk long")
+    joined = relation.select("chunk", "lang", "codes", "words", "ids").join(back, "chunk")
+    return joined.mapInArrow(turned, RELATION_DDL)
 
 
 def counted(relation: DataFrame) -> DataFrame:
     """(chunk, id, lang, phrase, n) of a stored relation: the counts of each chunk."""
-    found = relation.select("chunk", F.posexplode(F.arrays_zip("phrase_langs", "phrases", "counts")).alias("id", "p"))
-    return found.select("chunk", "id", F.col("p.phrase_langs").alias("lang"), F.col("p.phrases").alias("phrase"), F.col("p.counts").alias("n"))
+    lines = F.split(F.coalesce("phrases", "words"), "\n")
+    found = relation.select("chunk", "lang", F.posexplode(F.arrays_zip(lines.alias("phrase"), F.col("counts").alias("n"))).alias("id", "p"))
+    return found.select("chunk", "id", "lang", F.col("p.phrase").alias("phrase"), F.col("p.n").cast("long").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, support: int, longest: int, chunk_bytes: int, text_column: str, lang_column: str) -> tuple[DataFrame, DataFrame]:
