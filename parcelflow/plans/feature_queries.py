@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from parcelflow.functions import periods
 from parcelflow.operators import features, lineage
 from parcelflow.operators.features import FeatureSpec
 from parcelflow.plans import bindings as b
-from parcelflow.plans import feature_panel
+from parcelflow.plans import feature_panel, panel_versions
 from parcelflow.plans.registry import query
+from parcelflow.plans.stream_queries import scratch
 from parcelflow.session import checkpointed
 
 SPECS = (
@@ -204,3 +207,54 @@ def frequency_conversion(spark, sf_dir):
         F.min(periods.quarter_index("label")).alias("period_index"), F.min(periods.period_end("label", F.lit("quarterly"))).alias("period_end"),
         F.count(F.lit(1)).alias("rows"),
     )
+
+
+def published(spark, sf_dir, name, geography="county"):
+    """A store with the panel of the given tables: published, published again without a change, then with other growth."""
+    root = scratch(spark, name)
+    crosswalk = regions(spark, sf_dir) if geography == "cbsa" else None
+    rows = checkpointed(facts(spark, sf_dir))
+    put = lambda specs: panel_versions.publish(rows, root, geography=geography, frequency="quarterly", specs=specs, crosswalk=crosswalk)
+    first, again = put(SPECS), put(SPECS)
+    changed = tuple(replace(s, unit="percent_of_one") if s.name == "revenue_growth_yoy" else s for s in SPECS)
+    return root, first, again, put(changed)
+
+
+@query("published_feature_panel", "with " + SQL_VALUES + """
+select geography_id, period_start, round(max(value) filter (where feature_name = 'revenue'), 2) as revenue, max(available_at) filter (where feature_name = 'revenue') as revenue__available_at,
+  round(max(value) filter (where feature_name = 'revenue_growth_yoy'), 6) as revenue_growth_yoy, round(max(value) filter (where feature_name = 'order_value_mean'), 4) as order_value_mean,
+  round(max(value) filter (where feature_name = 'revenue_cagr_3y'), 6) as revenue_cagr_3y
+from vals group by geography_id, period_start""")
+def published_feature_panel(spark, sf_dir):
+    """The wide panel of the pinned first version, read back and verified after a later version was published."""
+    root, first, _, _ = published(spark, sf_dir, "panel")
+    panel = panel_versions.open_version(spark, root, geography="county", frequency="quarterly", version=first["version"]).panel
+    return panel.select(
+        "geography_id", "period_start", F.round("revenue", 2).alias("revenue"), "revenue__available_at", F.round("revenue_growth_yoy", 6).alias("revenue_growth_yoy"),
+        F.round("order_value_mean", 4).alias("order_value_mean"), F.round("revenue_cagr_3y", 6).alias("revenue_cagr_3y"),
+    )
+
+
+@query("feature_rebuild", "with " + SQL_VALUES + """
+select feature_name, count(*) as rows, feature_name like 'revenue_growth_yoy%' as rebuilt, round(sum(value), 2) as total from vals group by feature_name""")
+def feature_rebuild(spark, sf_dir):
+    """The newest version after one spec changed: which features were rewritten, and their values as read back."""
+    root, _, again, third = published(spark, sf_dir, "rebuild")
+    if again["outcome"] != "unchanged":
+        raise ValueError("a rebuild without a change published a version")
+    values = panel_versions.open_version(spark, root, geography="county", frequency="quarterly").values
+    nodes = panel_versions.manifest(spark, root).filter((F.col("version") == third["version"]) & F.col("role").isin("base", "local", "derived"))
+    flags = nodes.groupBy("feature_name").agg(F.max("rebuilt").alias("rebuilt"))
+    counts = values.filter("geography_type = 'county'").groupBy("feature_name").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+    return counts.join(flags, "feature_name").select("feature_name", "rows", "rebuilt", "total")
+
+
+@query("feature_versions", """
+select * from (values ('county', 'quarterly', 1, 11, 11, false), ('county', 'quarterly', 2, 11, 2, true)) as t(geography, frequency, place, nodes, rebuilt, active)
+where exists (select 1 from lineitem)""")
+def feature_versions(spark, sf_dir):
+    """The published versions in order, with how many of their nodes each wrote anew."""
+    root, first, _, _ = published(spark, sf_dir, "versions")
+    rows = panel_versions.versions(spark, root)
+    place = F.when(F.col("version") == first["version"], 1).otherwise(2)
+    return rows.select("geography", "frequency", place.alias("place"), "nodes", "rebuilt", "active")
