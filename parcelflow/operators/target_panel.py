@@ -196,6 +196,28 @@ def join_features(targets: DataFrame, cbsa_panel: DataFrame, county_panel: DataF
     return joined.withColumn("problem", F.when(F.col("__found").isNull(), "missing_feature_period")).drop("__found")
 
 
+def feature_edges(rows: DataFrame, values: DataFrame, components: DataFrame, features: list[str], id_column: str = "target_id") -> DataFrame:
+    """JN-10, TGT-04: (lineage_id, parent_id, parent_kind, weight) from target rows to the feature values behind them.
+
+    ``rows`` are what ``join_features`` returns.  A row by area or county has one value per feature, of weight one;
+    a row by weighted counties has one per county of its definition, with the county's weight.  Edges are rows, so
+    neither a market of many counties nor a row of many features becomes a long list.
+    """
+    kept = rows.filter("problem IS NULL").select(F.col(id_column).alias("lineage_id"), "feature_geography_type", "feature_geography_id", "period")
+    known = values.filter(F.col("feature_name").isin(features)).select(
+        F.col("geography_type").alias("__type"), F.col("geography_id").alias("__place"), periods.quarter_label("period_start").alias("__period"), F.col("lineage_id").alias("parent_id")
+    )
+    shares = components.select(F.col("definition_id").alias("__definition"), "county_fips", F.col("weight").cast("double").alias("weight"))
+    by_county = F.col("feature_geography_type") == "market_weighted_counties"
+    direct = kept.filter(~by_county).select("lineage_id", F.col("feature_geography_type").alias("type"), F.col("feature_geography_id").alias("place"), "period", F.lit(1.0).alias("weight"))
+    weighted = kept.filter(by_county).join(shares, F.col("feature_geography_id") == F.col("__definition")).select(
+        "lineage_id", F.lit("county").alias("type"), F.col("county_fips").alias("place"), "period", "weight"
+    )
+    asked = direct.unionByName(weighted)
+    met = (F.col("type") == F.col("__type")) & (F.col("place") == F.col("__place")) & (F.col("period") == F.col("__period"))
+    return asked.join(known, met).select("lineage_id", "parent_id", F.lit("feature").alias("parent_kind"), "weight")
+
+
 def horizon_pairs(df: DataFrame, horizon: int, *, target: str = "target") -> DataFrame:
     """TGT-06, JN-11: each origin row with the target exactly ``horizon`` quarters later."""
     if horizon not in (1, 2, 4):

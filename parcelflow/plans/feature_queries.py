@@ -7,12 +7,13 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from parcelflow.functions import periods
-from parcelflow.operators import features, lineage
+from parcelflow.operators import features, lineage, target_panel
 from parcelflow.operators.features import FeatureSpec
 from parcelflow.plans import bindings as b
-from parcelflow.plans import feature_panel, panel_versions
+from parcelflow.plans import feature_panel, panel_queries, panel_versions
 from parcelflow.plans.registry import query
 from parcelflow.plans.stream_queries import scratch
+from parcelflow.sources import store
 from parcelflow.session import checkpointed
 
 SPECS = (
@@ -258,3 +259,54 @@ def feature_versions(spark, sf_dir):
     rows = panel_versions.versions(spark, root)
     place = F.when(F.col("version") == first["version"], 1).otherwise(2)
     return rows.select("geography", "frequency", place.alias("place"), "nodes", "rebuilt", "active")
+
+
+SQL_TARGET_LINEAGE = b.SQL_OBSERVATIONS + ", " + panel_queries.SQL_WEIGHTS + """,
+yearly as (select geography_id, year(o_date) as y, cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) as double) as revenue from lines group by all),
+areas as (select lpad(cast(n_regionkey as varchar), 5, '0') as area, y, sum(revenue) as revenue, count(*) as n from yearly join nation on lpad(cast(n_nationkey as varchar), 5, '0') = geography_id group by all),
+z as (select market_id, count(*) as counties from weights group by 1),
+mk as (select w.market_id, y, sum(revenue * weight) as revenue, count(*) as n, sum(weight) as total from weights w join yearly s on s.geography_id = w.county_fips join z on z.market_id = w.market_id
+  group by w.market_id, y, counties having count(*) = counties),
+tg as (select *, cast(geography_id as integer) % 3 as k from obs where metric = 'vacancy_rate')
+select tg.geography_id as market_id, tg.property_type, observation_date as period_start, round(coalesce(a.revenue, c.revenue, m.revenue), 2) as revenue,
+  coalesce(case when a.n > 0 then 1 end, case when c.y > 0 then 1 end, m.n) as parents, round(coalesce(case when c.y > 0 or a.n > 0 then 1.0::double end, m.total), 9) as weight,
+  coalesce(2 * a.n, case when c.y > 0 then 1 end, m.n) as observations
+from tg join nation on lpad(cast(n_nationkey as varchar), 5, '0') = tg.geography_id
+left join areas a on k = 0 and a.area = lpad(cast(n_regionkey as varchar), 5, '0') and a.y = year(observation_date)
+left join yearly c on k = 1 and c.geography_id = tg.geography_id and c.y = year(observation_date)
+left join mk m on k = 2 and m.market_id = tg.property_type and m.y = year(observation_date)
+where coalesce(a.y, c.y, m.y) is not null"""
+
+
+@query("target_panel_lineage", "with " + SQL_TARGET_LINEAGE)
+def target_panel_lineage(spark, sf_dir):
+    """A published target panel read back: every row with the feature values and, traced on, the observations behind it."""
+    rows = checkpointed(facts(spark, sf_dir))
+    put = lambda geography, crosswalk: feature_panel.build(
+        rows, geography=geography, frequency="quarterly", specs=SPECS, crosswalk=crosswalk, only=["revenue"], stage=checkpointed, check=False
+    )
+    county, area = put("county", None), put("cbsa", regions(spark, sf_dir))
+    values = checkpointed(county.values.unionByName(area.values.filter("geography_type = 'cbsa'")))
+    feature = county.edges.unionByName(area.edges).distinct()
+    nations = b.table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("geography_id"), F.lpad(F.col("n_regionkey").cast("string"), 5, "0").alias("area"))
+    key = F.col("geography_id").cast("int") % 3
+    targets = b.market_observations(spark, sf_dir).filter("metric = 'vacancy_rate'").join(nations, "geography_id").withColumns({
+        "cbsa": F.when(key == 0, F.col("area")), "county_fips": F.when(key == 1, F.col("geography_id")), "definition_id": F.when(key == 2, F.col("property_type")),
+        "period": periods.quarter_label("observation_date"), "target_id": F.sha2(F.concat_ws("|", F.lit("target"), "geography_id", "property_type", "observation_date"), 256),
+    })
+    wide = lambda kind, name: values.filter((F.col("geography_type") == kind) & (F.col("feature_name") == "revenue")).select(
+        F.col("geography_id").alias(name), periods.quarter_label("period_start").alias("period"), F.col("value").alias("revenue"), F.col("available_at").alias("revenue__available_at"))
+    weights = target_panel.county_weights(panel_queries.inventory(spark, sf_dir)).withColumnRenamed("market_id", "definition_id").drop("basis")
+    market = target_panel.weighted_features(weights, values.filter("geography_type = 'county'"), spark.createDataFrame(panel_queries.RULES[:1], "feature_name string, rule string")).filter(
+        "value IS NOT NULL").select("definition_id", periods.quarter_label("period_start").alias("period"), F.col("value").alias("revenue"), F.col("available_at").alias("revenue__available_at"))
+    panel = checkpointed(target_panel.join_features(targets, wide("cbsa", "geography_id"), wide("county", "geography_id"), market, ["revenue"]).filter("problem IS NULL"))
+    edges = target_panel.feature_edges(panel, values, weights, ["revenue"])
+    sent = store.publish_tables({"panel": panel, "edges": edges}, scratch(spark, "targets"), {"target": "vacancy_rate", "features": ["revenue"]})
+    tables = store.open_tables(spark, sent["path"])
+    every = tables["edges"].select(*features.EDGE_COLUMNS).unionByName(feature)
+    reached = lineage.trace(every, tables["panel"].select(F.col("target_id").alias("lineage_id")))
+    direct = tables["edges"].groupBy("lineage_id").agg(F.count(F.lit(1)).alias("parents"), F.round(F.sum("weight"), 9).alias("weight"))
+    ends = reached.filter("node_kind = 'observation'").groupBy(F.col("root_id").alias("lineage_id")).agg(F.count(F.lit(1)).alias("observations"))
+    return tables["panel"].withColumnRenamed("target_id", "lineage_id").join(direct, "lineage_id").join(ends, "lineage_id").select(
+        F.col("geography_id").alias("market_id"), "property_type", F.col("observation_date").alias("period_start"), F.round("revenue", 2).alias("revenue"), "parents", "weight", "observations"
+    )

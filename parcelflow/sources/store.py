@@ -190,6 +190,19 @@ def publish_tables(tables: dict[str, DataFrame], root: str, identity: dict) -> d
     return {"version": version, "outcome": "published", "path": base}
 
 
+def open_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """VAL-07: the tables of one version of ``publish_tables``, after a recount of each against the manifest."""
+    if not _exists(spark, f"{path}/manifest"):
+        raise StoreError("the version has no manifest: it was not published")
+    tables = {}
+    for r in spark.read.parquet(f"{path}/manifest").collect():  # one row per table
+        tables[r["table"]] = spark.read.parquet(f"{path}/{r['table']}")
+        found = hashing.dataset_hash(tables[r["table"]]).first()
+        if found is None or (found["rows"], found["content_hash"]) != (r["rows"], r["content_hash"]):
+            raise StoreError(f"table {r['table']} differs from the manifest")
+    return tables
+
+
 def snapshot_raw(files: DataFrame, root: str) -> DataFrame:
     """SNK-05: content-addressed copies of (path, content); known digests are skipped, a changed id is reported."""
     spark = files.sparkSession
