@@ -12,9 +12,10 @@ earlier start), judged on the input.  Sorting by range splits a gram that a thir
 many tasks; a gram with very many neighbourhoods is settled window by window, with partial minima.
 
 Cases: a null or empty text, and any text shorter than a window, keeps all its bytes; null ids come after
-all others, in the order of a hash of their text; rows that repeat an id are read as one document,
-so none of them is earlier than the other; an empty table gives an empty result; very long texts are
-cut into overlapping pieces for hashing alone.
+all others, in the order of a hash of their text; rows that share an id are parts of one document, in the
+order of a hash of their texts, and equal ones are one part, so none of these is earlier than the other; an
+empty table gives an empty result; very long texts are cut into overlapping pieces for hashing alone;
+further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import suffixes as core
 from .common import shared_folder, stored
 
-#: Batches of a bulk run, and neighbourhoods of one gram that a task compares with one another.
-BATCHES = 2
+#: Least number of batches of a bulk run, and rows from which every fourfold adds one.
+BATCHES, BATCH_ROWS = 3, 1 << 18
+#: Neighbourhoods of one gram that a task compares with one another.
 CROWD = 4_000
+#: Bits of a position inside a text; the bits above number the parts of a document.
+INSIDE = 31
+PARTS = 1 << (63 - 16 - INSIDE)
 #: Neighbourhoods that a task combines before it hands them on.
 TOGETHER = 250_000
 PLACE = 16  # bits of a place below the position: eight for the width, eight for the offset of the anchor
@@ -54,17 +59,42 @@ def document_key(doc_id: Column, text: Column) -> Column:
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(document_key(F.col(id_column), text).alias("doc"), text.alias("text"), F.col(id_column).cast("long").alias("doc_id"))
+    rows = docs.select(document_key(F.col(id_column), text).alias("doc"), text.alias("text"), F.col(id_column).cast("long").alias("doc_id"))
+    return rows.withColumn("part", F.lit(0).cast("long"))
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with different texts of one ``doc`` numbered as its parts, and their count.  Usually there are none."""
+    own = F.xxhash64("text")
+    per = rows.select("doc", own.alias("h")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    total, shared = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("low") != F.col("high"))).first()
+    if not shared:
+        return rows, total
+    ids = per.filter("low <> high").select("doc")
+    several = rows.join(ids, "doc", "left_semi").select("doc", own.alias("h")).distinct()
+    numbered = several.withColumn("__part", F.row_number().over(Window.partitionBy("doc").orderBy("h")).cast("long") - 1).withColumnRenamed("doc", "__doc")
+    most = numbered.agg(F.max("__part")).first()[0]
+    if most >= PARTS:
+        raise ValueError(f"one id has over {PARTS} different texts")
+    joined = rows.join(numbered, (F.col("doc") == F.col("__doc")) & (own == F.col("h")), "left")
+    return joined.select("doc", "text", "doc_id", F.coalesce("__part", F.lit(0)).alias("part")), total
+
+
+def own_spans(spans: np.ndarray, part: int) -> np.ndarray:
+    """Spans (start, end) of one part of a document, as positions in its text."""
+    return spans[spans[:, 0] >> INSIDE == part] - (part << INSIDE) if len(spans) else spans
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbourhoods of (doc, text) rows.  Of equal ones in a task, those after the first are spans already."""
+    """Neighbourhoods of (doc, text, part) rows.  Of equal ones in a task, those after the first are spans already."""
     held, count = [], 0
     for batch in batches:
         for part in _parts(batch, 512):
-            rows = list(zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True))
-            for block in core.pieces(rows):
+            docs, parts = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            for block in core.pieces(list(enumerate(part.column(1).cast(pa.binary()).to_pylist()))):
                 found = core.neighbourhoods(block)
+                row = found["doc"]
+                found["doc"], found["pos"] = docs[row], found["pos"] + (parts[row] << INSIDE)
                 held.append(found)
                 count += len(found["gram"])
                 if count > TOGETHER:
@@ -177,8 +207,8 @@ class Family:
         self.batches = 0
 
     def add(self, rows: DataFrame, keep: bool = True) -> None:
-        """Scan a batch of (doc, text) rows against all levels.  ``keep=False`` for a last batch: no array is written."""
-        fresh = rows.select("doc", "text").mapInArrow(_sampled, ROW_DDL)
+        """Scan a batch of (doc, text, part) rows against all levels.  ``keep=False`` for a last batch: no array is written."""
+        fresh = rows.select("doc", "text", "part").mapInArrow(_sampled, ROW_DDL)
         height = 0
         while height < len(self.levels) and self.levels[height] is not None:
             height += 1
@@ -216,11 +246,11 @@ class Family:
 
 LISTED = pa.schema([
     ("final", pa.bool_()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-    ("packed", pa.binary()), ("gram", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("crowded", pa.bool_()),
+    ("packed", pa.binary()), ("gram", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary()), ("crowded", pa.bool_()), ("part", pa.int64()),
 ])
 LISTED_DDL = (
     "final boolean, doc long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-    "packed binary, gram long, place long, bytes binary, crowded boolean"
+    "packed binary, gram long, place long, bytes binary, crowded boolean, part long"
 )
 
 
@@ -252,15 +282,16 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         spans, wanted = _pairs(at["spans"], 2), _pairs(at["requests"], 3)
         out: list[tuple] = []
-        for doc, doc_id, packed, mine, asked in zip(at["doc"].to_pylist(), at["doc_id"].to_pylist(), at["packed"].to_pylist(), spans, wanted, strict=True):
-            text = unpack.decompress(packed)
+        for doc, doc_id, part, packed, mine, asked in zip(*(at[c].to_pylist() for c in ("doc", "doc_id", "part", "packed")), spans, wanted, strict=True):
+            text, mine = unpack.decompress(packed), own_spans(mine, part)
+            asked = asked[asked[:, 1] >> PLACE + INSIDE == part]
             if not len(asked):
-                out.append((True, doc, doc_id, *cut(text, mine)[:4], None, None, None, None, None))
+                out.append((True, doc, doc_id, *cut(text, mine)[:4], None, None, None, None, None, part))
             else:
-                out.append((False, doc, doc_id, len(mine), None, None, None, pack.compress(mine.tobytes() + text), None, None, None, None))
+                out.append((False, doc, doc_id, len(mine), None, None, None, pack.compress(mine.tobytes() + text), None, None, None, None, part))
                 for gram, place, crowded in asked.tolist():
-                    pos, width = place >> PLACE, place >> 8 & 255
-                    out.append((None, doc, None, None, None, None, None, None, gram, place, text[pos : pos + width - 1 + core.LENGTH], bool(crowded)))
+                    pos, width = (place >> PLACE) - (part << INSIDE), place >> 8 & 255
+                    out.append((None, doc, None, None, None, None, None, None, gram, place, text[pos : pos + width - 1 + core.LENGTH], bool(crowded), None))
             if len(out) >= 1000:
                 yield _batch_of(out, LISTED)
                 out = []
@@ -326,12 +357,12 @@ def _finished(with_text: bool):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in (part for whole in batches for part in _parts(whole, 512)):
-            more = _pairs(batch.column(3), 2)
+            more = _pairs(batch.column(4), 2)
             out = []
-            for doc_id, n, packed, late in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), more, strict=True):
+            for doc_id, n, packed, part, late in zip(*(batch.column(k).to_pylist() for k in range(4)), more, strict=True):
                 whole = unpack.decompress(packed)
                 mine, text = np.frombuffer(whole[: 16 * n], np.int64).reshape(-1, 2), whole[16 * n :]
-                *row, kept = cut(text, np.concatenate((mine, late)))
+                *row, kept = cut(text, np.concatenate((mine, own_spans(late, part))))
                 out.append((doc_id, *row, kept if with_text else None))
             if out:
                 yield _batch_of(out, FINISHED)
@@ -343,7 +374,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor()
     for batch in (part for whole in batches for part in _parts(whole, 512)):
         texts = [pack.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc", "packed", "doc_id"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2), batch.column(3)], names=["doc", "packed", "doc_id", "part"])
 
 
 def in_batches(rows: DataFrame, batches: int) -> list[DataFrame]:
@@ -359,13 +390,19 @@ def in_batches(rows: DataFrame, batches: int) -> list[DataFrame]:
     return out
 
 
+def batches_for(rows: int) -> int:
+    """Batches of a bulk run: enough that levels merge, and more as the input grows."""
+    return BATCHES + max(0, (max(1, rows // BATCH_ROWS).bit_length() - 1) // 2)
+
+
 def dedup(
-    docs: DataFrame, batches: int = BATCHES, crowd: int = CROWD, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False
+    docs: DataFrame, batches: int | None = None, crowd: int = CROWD, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row, and ``kept`` (the remaining bytes) if asked for."""
     spark = docs.sparkSession
-    rows, family = keyed(docs, id_column, text_column), Family(spark)
-    parts = in_batches(rows, batches)
+    family = Family(spark)
+    rows, total = parted(keyed(docs, id_column, text_column))
+    parts = in_batches(rows, batches_for(total) if batches is None else batches)
     for k, part in enumerate(parts):
         family.add(part, keep=k + 1 < len(parts))
     spans = family.rows(SPAN).groupBy("doc").agg(F.collect_list(F.struct(F.col("place").alias("start"), F.col("whole").alias("end"))).alias("spans"))
@@ -373,13 +410,13 @@ def dedup(
     crowds = asked.groupBy("gram").agg((F.count(F.lit(1)) > crowd).alias("crowded")).filter("crowded")
     asked = asked.join(crowds, "gram", "left").select("doc", F.struct("gram", "place", F.coalesce("crowded", F.lit(False)).cast("long").alias("crowded")).alias("r"))
     requests = asked.groupBy("doc").agg(F.collect_list("r").alias("requests"))  # at most a few per hundred bytes of the document
-    texts = rows.mapInArrow(_packed, "doc long, packed binary, doc_id long")
+    texts = rows.mapInArrow(_packed, "doc long, packed binary, doc_id long, part long")
     joined = texts.join(spans, "doc", "left").join(requests, "doc", "left").select(
-        "doc", "doc_id", "packed", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
+        "doc", "doc_id", "part", "packed", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
         F.coalesce("requests", F.array().cast("array<struct<gram:long,place:long,crowded:long>>")).alias("requests"),
     )
     if with_text:
-        joined = joined.withColumn("requests", F.when(F.size("requests") > 0, F.col("requests")).otherwise(F.array(F.struct(F.lit(0).alias("gram"), F.lit(0).alias("place"), F.lit(0).alias("crowded")).cast("struct<gram:long,place:long,crowded:long>"))))
+        joined = joined.withColumn("requests", F.when(F.size("requests") > 0, F.col("requests")).otherwise(F.array(F.struct(F.lit(0).alias("gram"), F.shiftleft(F.col("part"), INSIDE + PLACE).alias("place"), F.lit(0).alias("crowded")).cast("struct<gram:long,place:long,crowded:long>"))))
     folder = shared_folder(spark)
     listed = stored(joined.mapInArrow(_listed, LISTED_DDL), folder, "listed")
     wanted = listed.filter("final IS NULL").select("gram", "doc", "place", "bytes", "crowded").distinct()
@@ -391,8 +428,8 @@ def dedup(
     least = single.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("least"))
     crowded = single.join(least, "window").filter(F.struct("doc", "start") > F.col("least")).select("doc", "start", (F.col("start") + core.LENGTH).alias("end"))
     late = settled.unionByName(crowded).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("late"))
-    pending = listed.filter("NOT final").select("doc", "doc_id", "n_bytes", "packed").join(late, "doc", "left").select(
-        "doc_id", "n_bytes", "packed", F.coalesce("late", F.array().cast("array<struct<start:long,end:long>>")).alias("late")
+    pending = listed.filter("NOT final").select("doc", "doc_id", "n_bytes", "packed", "part").join(late, "doc", "left").select(
+        "doc_id", "n_bytes", "packed", "part", F.coalesce("late", F.array().cast("array<struct<start:long,end:long>>")).alias("late")
     )
     finished = pending.mapInArrow(_finished(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     done = listed.filter("final").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(None).cast("binary").alias("kept"))

@@ -102,3 +102,35 @@ def test_kept_text(spark):
     docs = spark.createDataFrame([(1, "start " + part), (2, "other " + part + "end")], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in suffix_dedup.dedup(docs, with_text=True).collect()}
     assert got[1] == "start " + part and got[2] in ("otherend", "other" + "end")
+
+
+def test_one_id_with_several_texts(spark):
+    """Bytes go only where an earlier string covers them, whichever text of the id stands first."""
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    a, b, shared = some(300), some(400), some(200)
+    rows = [(1, a), (5, a[:250] + some(80)), (5, b), (5, b), (7, "x" + b[100:380]), (None, shared + some(30)), (None, some(40) + shared), (9, shared + "q")]
+    docs = spark.createDataFrame([(*r, 0, 1, b"") for r in rows], "doc_id long, text string, doc long, part int, packed binary").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect())
+    assert got == Counter([
+        (1, 300, 0, 0), (5, 330, 250, 1), (5, 400, 0, 0), (5, 400, 0, 0), (7, 281, 280, 1), (None, 230, 200, 1), (None, 240, 200, 1), (9, 201, 0, 0),
+    ])
+
+
+def test_parts_of_one_document_are_in_order(spark):
+    """A passage that two texts of one id share stays in the one whose hash is less."""
+    draw = random.Random(6)
+    passage = "".join(draw.choice("abcdefghij ") for _ in range(150))
+    docs = spark.createDataFrame([(3, "one " + passage), (3, "another " + passage)], "doc_id long, text string")
+    got = suffix_dedup.dedup(docs, with_text=True).collect()
+    assert sorted(r.n_removed > 0 for r in got) == [False, True] and all(r.n_removed in (0, 150, 151) for r in got)
+    assert sorted(len(r.kept) for r in got)[0] < 10
+
+
+def test_levels_merge_in_a_bulk_run(spark, tiny, monkeypatch):
+    seen = []
+    add = suffix_dedup.Family.add
+    monkeypatch.setattr(suffix_dedup.Family, "add", lambda self, *a, **k: (add(self, *a, **k), seen.append([x is not None for x in self.levels])))
+    suffix_dedup.dedup(tiny).count()
+    assert seen[-1] == [False, True]
+    assert [suffix_dedup.batches_for(n) for n in (0, 1 << 18, 1 << 20, 1 << 22)] == [3, 3, 4, 5]
