@@ -289,10 +289,11 @@ def walk_forward(
     enforce_features: bool = False, entity_effects: bool = True,
 ) -> DataFrame:
     """REG-07/08: model and six baseline predictions for every test row of every origin, long form."""
-    rows = df if group else df.withColumn("__model", F.lit(1))
+    # Both are read by every branch below.  A model column that is stored is no constant, so joins on it stay joins on keys.
+    rows = checkpointed(df if group else df.withColumn("__model", F.lit(1)))
     group = list(group or ["__model"])
     p = len(features)
-    states = origin_states(rows, target, features, group=group, minimum_training=minimum_training, frequency=frequency, enforce_features=enforce_features)
+    states = checkpointed(origin_states(rows, target, features, group=group, minimum_training=minimum_training, frequency=frequency, enforce_features=enforce_features))
     at = [*group, "origin"]
     within = lambda total, a, b: total - (a * b / F.col("__n") if entity_effects else F.lit(0.0))
     sx = [F.col(f"__sx{i}") for i in range(p)]
@@ -311,7 +312,7 @@ def walk_forward(
         gram.alias("gram"), right.alias("right"), F.sum("__n").alias("train_n"), F.sum("__sy").alias("train_sy"), F.array(*[F.sum(s) for s in sx]).alias("train_sx"),
         *[F.sum(pair[n]).alias(f"ar_{n}") for n in ("n", "x", "y", "xx", "xy")],
     )
-    solved = solve(per_origin, k)
+    solved = checkpointed(solve(per_origin, k))
     medians = _origin_medians(rows, states, target, group)
     peers = _peer_medians(states, at)
     state = states.select(*at, "entity", "__n", "__sy", *[f"__sx{i}" for i in range(p)], "history")
@@ -424,6 +425,26 @@ def sign_stability(windows: DataFrame) -> DataFrame:
     )
 
 
+def performance(predictions: DataFrame, windows: list[tuple[str, str | None, str | None]], *, period: str = "label") -> DataFrame:
+    """REG-11: prediction metrics by market and by named period range, in one pass: (kind, name, and the metrics).
+
+    A range may be open at either end; a row counts in every range that holds it, so ranges may overlap.
+    """
+    held = [
+        F.when((F.lit(start is None) | (F.col(period) >= F.lit(start or ""))) & (F.lit(end is None) | (F.col(period) <= F.lit(end or ""))), F.struct(F.lit("era").alias("kind"), F.lit(name).alias("name")))
+        for name, start, end in windows
+    ]
+    market = F.struct(F.lit("market").alias("kind"), F.col("entity").cast("string").alias("name"))
+    parts = F.filter(F.array(market, *held), lambda x: x.isNotNull() & x["name"].isNotNull())
+    return prediction_metrics(predictions.select("actual", "prediction", "prior_actual", F.inline(parts)), ["kind", "name"])
+
+
+def availability_rate(df: DataFrame, features: list[str]) -> DataFrame:
+    """REG-11: share of rows whose feature states when it became available, per feature."""
+    row = df.agg(*[F.avg(F.col(f"{f}__available_at").isNotNull().cast("double")).alias(f) for f in features])
+    return row.unpivot([], features, "feature", "availability_rate")
+
+
 def cross_source(df: DataFrame, target: str, features: list[str], source: str = "source_company") -> DataFrame:
     """REG-12: train on one source, test on each other source; one fit per source."""
     fits = fit_ols(df.withColumn("train_source", F.col(source)), target, features, group=["train_source"])

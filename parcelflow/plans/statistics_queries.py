@@ -172,7 +172,31 @@ def lag_search(spark, sf_dir):
     return rows.groupBy("lag").agg(F.round(stats.numbers.safe_corr("lagged", "target"), 6).alias("correlation"), F.count(F.lit(1)).alias("observations"))
 
 
-@query("lag_search_ranked")
+SQL_LAGGED = SQL_PANEL + """,
+lp as (select k.lag, p.entity, p.idx, p.label, p.target, p.target_available_at, p.period_start, q.rent as x from panel p, (select unnest([0, 1, 2]) as lag) k join panel q on q.entity = p.entity and q.idx = p.idx - k.lag),
+grid as (select lag, idx as origin, min(period_start) as origin_start from lp group by lag, idx),
+origins as (select * from grid qualify row_number() over (partition by lag order by origin) > 4),
+train as (select o.origin, p.* from origins o join lp p on p.lag = o.lag and p.idx < o.origin and p.target_available_at <= o.origin_start),
+tw as (select lag, origin, entity, target - avg(target) over w as yd, x - avg(x) over w as xd from train window w as (partition by lag, origin, entity)),
+beta as (select lag, origin, sum(xd * yd) / sum(xd * xd) as b from tw group by lag, origin),
+hist as (select lag, origin, entity, avg(target) as ym, avg(x) as xm, max_by(target, idx) as last, list(target order by idx) as h from train group by all),
+med as (select lag, origin, median(target) as med from train group by lag, origin),
+pairs as (select lag, origin, entity, target as y, lag(target) over (partition by lag, origin, entity order by idx) as z from train),
+ar as (select lag, origin, case when count(z) >= 3 then coalesce(regr_slope(y, z), 0) else 1 end as slope, case when count(z) >= 3 then avg(y) filter (where z is not null) - coalesce(regr_slope(y, z), 0) * avg(z) else 0 end as icept from pairs group by lag, origin),
+peer as (select a.lag, a.origin, a.entity, median(b.last) as peer from hist a join hist b on a.lag = b.lag and a.origin = b.origin and a.entity <> b.entity group by all),
+tests as (
+  select p.lag, p.target as actual, ym + b * (p.x - xm) as model, last as last_observation, ym as entity_mean, med as historical_median, list_avg(h[greatest(len(h) - 11, 1):len(h)]) as recent_3_year_mean,
+    coalesce(peer, med) as peer_market_median, icept + slope * last as simple_autoregressive
+  from lp p join hist t on t.lag = p.lag and t.origin = p.idx and t.entity = p.entity join beta b on b.lag = p.lag and b.origin = p.idx
+    join med m on m.lag = p.lag and m.origin = p.idx join ar r on r.lag = p.lag and r.origin = p.idx
+  left join peer on peer.lag = p.lag and peer.origin = p.idx and peer.entity = p.entity),
+errors as (select lag, method, avg(abs(actual - prediction)) as mae, count(*) as n from (from tests unpivot (prediction for method in (model, last_observation, entity_mean, historical_median, recent_3_year_mean, peer_market_median, simple_autoregressive))) group by all)"""
+
+
+@query("lag_search_ranked", "with " + SQL_LAGGED + """
+select cast(e.lag as integer) as lag, round(max(mae) filter (where method = 'model'), 6) as model_mae, round(min(mae) filter (where method <> 'model'), 6) as best_baseline_mae,
+  max(n) filter (where method = 'model') as sample_size, round(any_value(c), 6) as correlation, max(mae) filter (where method = 'model') < min(mae) filter (where method <> 'model') as beats_baseline
+from errors e join (select lag, corr(x, target) as c from lp group by lag) k on k.lag = e.lag group by e.lag""")
 def lag_search_ranked(spark, sf_dir):
     out = stats.lag_search(panel(spark, sf_dir), "target", "rent", [0, 1, 2])
     return out.withColumns({c: F.round(c, 6) for c in ("model_mae", "best_baseline_mae", "correlation")})
@@ -259,3 +283,28 @@ def ols_two_way(spark, sf_dir):
     """Entity and time effects together; the closed form of the text holds for a balanced panel."""
     fit = stats.fit_ols(panel(spark, sf_dir), "target", ["rent"], entity_effects=True, time_effects=True, covariance="classical")
     return fit.filter("term = 'rent'").select(F.round("coefficient", 6).alias("coefficient"), "n", "parameters")
+
+
+@query("stability_performance", "with " + SQL_FORWARD + """,
+parts as (
+  select 'market' as kind, entity as name, actual, prediction, prior_actual from long where method = 'model'
+  union all select 'era', 'early', actual, prediction, prior_actual from long where method = 'model' and label <= '1995-Q4'
+  union all select 'era', 'middle', actual, prediction, prior_actual from long where method = 'model' and label between '1995-Q1' and '1996-Q4'
+  union all select 'era', 'late', actual, prediction, prior_actual from long where method = 'model' and label >= '1997-Q1')
+select kind, name, count(*) as sample_size, round(avg(abs(actual - prediction)), 6) as mae, round(sqrt(avg(pow(actual - prediction, 2))), 6) as rmse, round(avg(actual - prediction), 6) as bias,
+  round(avg(case when (prediction - prior_actual) * (actual - prior_actual) > 0 then 1.0::double else 0.0::double end), 6) as directional_accuracy from parts group by all""")
+def stability_performance(spark, sf_dir):
+    """The model's walk-forward errors by market and by overlapping eras."""
+    rows = forward(spark, sf_dir).filter("method = 'model'")
+    out = stats.performance(rows, [("early", None, "1995-Q4"), ("middle", "1995-Q1", "1996-Q4"), ("late", "1997-Q1", None)])
+    return out.select("kind", "name", "sample_size", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "bias", "directional_accuracy")])
+
+
+@query("feature_availability", "with " + SQL_PANEL + """
+select 'rent' as feature, round(avg(case when cast(entity as integer) % 4 > 0 then 1.0::double else 0.0::double end), 6) as availability_rate from panel
+union all select 'tax', 1.0::double from panel having count(*) > 0""")
+def feature_availability(spark, sf_dir):
+    rows = panel(spark, sf_dir).withColumns({
+        "rent__available_at": F.when(F.col("entity").cast("int") % 4 > 0, F.col("target_available_at")), "tax__available_at": F.coalesce("target_available_at", F.current_date()),
+    })
+    return stats.availability_rate(rows, FEATURES).select("feature", F.round("availability_rate", 6).alias("availability_rate"))

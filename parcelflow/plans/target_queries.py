@@ -530,3 +530,17 @@ select source_name, metric, observation_id, cast(row_number() over w as integer)
 window w as (partition by source_name, metric order by sha256('dataset-1' || observation_id), observation_id) qualify row_number() over w <= 20""")
 def spot_check(spark, sf_dir):
     return scorecards.spot_check(records(spark, sf_dir), "dataset-1", ["source_name", "metric"]).select("source_name", "metric", "observation_id", "rank")
+
+
+@query("review_sample", "with " + SQL_SCORED + """,
+clean as (select * from governed where observation_id not in (select observation_id from found where code = 'sudden_jump')),
+placed as (select property_type, period, row_number() over (partition by property_type order by period) - 1 as pos, count(*) over (partition by property_type) as n from (select distinct property_type, period from clean)),
+thirds as (select property_type, period, case when pos < greatest(1, n // 3) then 1 when pos < greatest(2, 2 * n // 3) then 2 else 3 end as third from placed),
+digests as (select c.property_type, third, observation_id, geography_id, metric, sha256('dataset-1|' || observation_id) as digest from clean c join thirds t on t.property_type = c.property_type and t.period = c.period),
+marked as (select *, digest = min(digest) over (partition by property_type, third, geography_id) or digest = min(digest) over (partition by property_type, third, metric) as brings_new from digests)
+select property_type, third, cast(row_number() over w as integer) as rank, observation_id, brings_new from marked
+window w as (partition by property_type, third order by brings_new desc, digest, observation_id) qualify row_number() over w <= 40""")
+def review_sample(spark, sf_dir):
+    """Of each property type, 40 rows of every third of its periods that show no sudden jump."""
+    rows, findings = checked(spark, sf_dir)
+    return scorecards.review_sample(rows, findings.filter("code = 'sudden_jump'"), "dataset-1", ["property_type"], sample_size=120)
