@@ -5,12 +5,13 @@ and position, a chunk of documents at a time, and stored between levels.  One le
 
 1. merge-join: two frequent occurrences at adjacent positions of a piece make one of k + 1 words; in sorted
    order these are neighbours.
-2. group-count: each chunk counts its own phrases, and Spark adds up these counts per language and phrase.
-3. semi-join: the phrases that reach the support go back to their chunks, and occurrences of others leave
+2. group-count: each chunk counts its own phrases, and Spark adds up these counts per 64-bit key of language and words.
+3. semi-join: the phrases whose key reaches the support go back to their chunks, and occurrences of others leave
    the relation before it is extended.
 
-So only distinct phrases of a chunk are shuffled for counting, and only occurrences inside frequent phrases
-are carried on.  A phrase can only be frequent where both phrases of one word less are, so nothing is lost.
+So only keys of the distinct phrases of a chunk are shuffled for counting, and only occurrences inside frequent
+phrases are carried on.  A phrase can only be frequent where both phrases of one word less are, so nothing is
+lost.  Phrases that share a key can only let each other pass: what passes is counted again by its text.
 
 Cases: a null text has no pieces; a null language is ``und``; pieces of one word count towards words alone;
 ties go by count, then by phrase in the order of its bytes; repeated rows count each for themselves; an empty
@@ -28,6 +29,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +44,28 @@ CHUNK_BYTES = 12_000_000
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 #: A chunk of a relation, of one language: words by number (-1 between pieces) and the phrase that starts at each
-#: position (-1 for none; null for single words), both packed; the words and the chunk's phrases (null for single
-#: words), one per line; and the counts of the phrases.
+#: position (-1 for none; null for single words), both packed; the words, one per line; key and count of each of the
+#: chunk's phrases; and the phrases of one word less that passed, one per line, with their counts.
 RELATION = pa.schema([
-    ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.string()), ("ids", pa.binary()), ("phrases", pa.string()), ("counts", pa.list_(pa.int32())), ("chunk", pa.int64()),
+    ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.string()), ("ids", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
+    ("passed", pa.string()), ("passed_counts", pa.list_(pa.int32())), ("chunk", pa.int64()),
 ])
-RELATION_DDL = "lang string, codes binary, words string, ids binary, phrases string, counts array<int>, chunk long"
+RELATION_DDL = "lang string, codes binary, words string, ids binary, keys array<long>, counts array<int>, passed string, passed_counts array<int>, chunk long"
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_keys(lang: str, words: list[str]) -> np.ndarray:
+    head = lang.encode() + b"\n"
+    return np.fromiter((xxhash.xxh64_intdigest(head + w.encode()) for w in words), np.uint64, len(words))
+
+
+def phrase_keys(keys: np.ndarray, codes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the phrases of ``length`` words that start at some positions."""
+    out = np.zeros(len(first), np.uint64)
+    for j in range(length):
+        out = (out ^ keys[codes[first + j]]) * _STEP
+        out = (out ^ (out >> np.uint64(32))) * _MIX
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -74,8 +92,9 @@ def words_relation(docs: DataFrame, chunk_bytes: int, text_column: str, lang_col
         def all_chunks() -> Iterator[pa.RecordBatch]:
             for lang, own in codes.items():
                 found = np.frombuffer(own, np.int32)
-                words = b"\n".join(place[lang]).decode("utf-8", "replace")
-                yield chunk_row(lang, packed(found), words, None, None, np.bincount(found[found >= 0]), 0)
+                words = [w.decode("utf-8", "replace") for w in place[lang]]
+                keys = phrase_keys(word_keys(lang, words), np.arange(len(words)), np.arange(len(words)), 1)
+                yield chunk_row(lang, packed(found), "\n".join(words), None, keys, np.bincount(found[found >= 0]), None, None, 0)
 
         codes, size, place = fresh()
         for batch in batches:
@@ -121,54 +140,56 @@ def extended(codes: np.ndarray, ids: np.ndarray, frequent: np.ndarray, length: i
 
 
 def next_relation(relation: DataFrame, frequent: DataFrame, length: int, last: bool) -> DataFrame:
-    """The relation of phrases of ``length + 1`` words from that of ``length`` and its frequent phrases (chunk, id)."""
+    """The relation of phrases of ``length + 1`` words from that of ``length`` and what passed of it (chunk, id), with the
+    texts of these; the ``last`` one holds the texts alone."""
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for k in range(batch.num_rows):
+                lang, words = columns["lang"][k].as_py(), columns["words"][k].as_py().split("\n")
                 codes = unpacked(columns["codes"][k].as_py())
                 ids = codes if length == 1 else unpacked(columns["ids"][k].as_py())
-                codes, longer, first, counts = extended(codes, ids, columns["found"][k].values.to_numpy(zero_copy_only=False), length)
-                if not len(first):
-                    continue
-                words = pa.array(columns["words"][k].as_py().split("\n"))
-                lines = pc.binary_join_element_wise(*[words.take(pa.array(codes[first + j])) for j in range(length + 1)], " ")
-                phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
-                kept = None, None, None
+                found = columns["found"][k].values.to_numpy(zero_copy_only=False)
+                counts = columns["counts"][k].values.to_numpy(zero_copy_only=False)
+                first = np.zeros(len(counts), np.int64)
+                at = np.flatnonzero(ids >= 0)[::-1]
+                first[ids[at]] = at  # written last, the first position of a phrase stays
+                texts = pa.array(words)
+                lines = pc.binary_join_element_wise(*[texts.take(pa.array(codes[first[found] + j])) for j in range(length)], " ")
+                passed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
+                more = None, None, None, None, None
                 if not last:
+                    codes, longer, begin, sizes = extended(codes, ids, found, length)
                     used = np.unique(codes[codes >= 0])
                     number = np.full(len(words) + 1, -1, np.int64)
                     number[used] = np.arange(len(used))
-                    kept = packed(number[codes]), "\n".join(words.take(pa.array(used)).to_pylist()), packed(longer)
-                yield chunk_row(columns["lang"][k].as_py(), *kept, phrases, counts, columns["chunk"][k].as_py())
+                    codes, words = number[codes], [words[i] for i in used.tolist()]
+                    keys = phrase_keys(word_keys(lang, words), codes, begin, length + 1)
+                    more = packed(codes), "\n".join(words), packed(longer), keys, sizes
+                yield chunk_row(lang, *more, passed, counts[found], columns["chunk"][k].as_py())
 
     back = frequent.groupBy("chunk").agg(F.collect_list("id").alias("found"))  # one chunk's phrases
-    joined = relation.select("chunk", "lang", "codes", "words", "ids").join(back, "chunk")
+    joined = relation.select("chunk", "lang", "codes", "words", "ids", "counts").join(back, "chunk")
     return joined.mapInArrow(turned, RELATION_DDL)
 
 
-def counted(relation: DataFrame) -> DataFrame:
-    """(chunk, id, lang, phrase, n) of a stored relation: the counts of each chunk."""
-    lines = F.split(F.coalesce("phrases", "words"), "\n")
-    found = relation.select("chunk", "lang", F.posexplode(F.arrays_zip(lines.alias("phrase"), F.col("counts").alias("n"))).alias("id", "p"))
-    return found.select("chunk", "id", "lang", F.col("p.phrase").alias("phrase"), F.col("p.n").cast("long").alias("n"))
-
-
 def frequent_phrases(docs: DataFrame, support: int, longest: int, chunk_bytes: int, text_column: str, lang_column: str) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words that reach the support; and (lang, n)."""
     folder, found = shared_folder(docs.sparkSession), None
     relation = stored(words_relation(docs, chunk_bytes, text_column, lang_column), folder, "level-1")
-    totals = stored(counted(relation).groupBy("lang").agg(F.sum("n").alias("n")), folder, "totals")
+    whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = stored(relation.groupBy("lang").agg(F.sum(whole).alias("n")), folder, "totals")
     for length in range(1, longest + 1):
-        same = Window.partitionBy("lang", "phrase")
-        frequent = counted(relation).withColumn("f", F.sum("n").over(same)).filter(F.col("f") >= support)
-        frequent = stored(frequent.select("chunk", "id", "lang", "phrase", "f"), folder, f"frequent-{length}")
-        once = frequent.groupBy("lang", "phrase").agg(F.max("f").alias("f")).select("lang", "phrase", F.lit(length).alias("k"), "f")
-        found = once if found is None else found.unionByName(once)
-        if length < longest:
-            relation = stored(next_relation(relation, frequent.select("chunk", "id"), length, length + 1 == longest), folder, f"level-{length + 1}")
-    return stored(found, folder, "frequent"), totals
+        rows = relation.select("chunk", F.posexplode(F.arrays_zip("keys", "counts")).alias("id", "p")).select("chunk", "id", F.col("p.keys").alias("key"), F.col("p.counts").alias("n"))
+        passed = rows.withColumn("f", F.sum("n").over(Window.partitionBy("key"))).filter(F.col("f") >= support).select("chunk", "id")
+        relation = stored(next_relation(relation, passed, length, length == longest), folder, f"level-{length + 1}")
+        lines = F.arrays_zip(F.split("passed", "\n").alias("phrase"), F.col("passed_counts").alias("n"))
+        texts = relation.select("lang", F.inline(lines))
+        exact = texts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support).select("lang", "phrase", F.lit(length).alias("k"), "f")
+        exact = stored(exact, folder, f"frequent-{length}")
+        found = exact if found is None else found.unionByName(exact)
+    return found, totals
 
 
 def part(start, size):
