@@ -39,14 +39,12 @@ def cells_within(latitude: Column, longitude: Column, degrees: float | Column, s
     rows = F.sequence(cell(latitude - reach, size), cell(latitude + reach, size))
     span = longitude_reach(latitude, reach)
     lows, highs = longitude - span, longitude + span
-    wrap = int(round(360 / size))
-    first = int(math.floor(-180 / size))
-    columns = F.array_distinct(
-        F.transform(
-            F.sequence(cell(lows, size), cell(highs, size)),
-            lambda c: (F.pmod(c - F.lit(first), F.lit(wrap)) + F.lit(first)).cast("int"),
-        )
-    )
+    # What reaches over the date line is taken up on its other side, in the cells of the longitudes there.
+    none = F.array().cast("array<int>")
+    inner = F.sequence(cell(F.greatest(lows, F.lit(-180.0)), size), cell(F.least(highs, F.lit(180.0)), size))
+    east = F.when(highs > 180, F.sequence(cell(F.lit(-180.0), size), cell(F.least(highs - 360, F.lit(180.0)), size))).otherwise(none)
+    west = F.when(lows < -180, F.sequence(cell(F.greatest(lows + 360, F.lit(-180.0)), size), cell(F.lit(180.0), size))).otherwise(none)
+    columns = F.array_distinct(F.concat(inner, east, west))
     return F.flatten(
         F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("lat_cell"), c.alias("lon_cell"))))
     )

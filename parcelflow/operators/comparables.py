@@ -170,6 +170,79 @@ def rejection_counts(subjects: DataFrame, comps: DataFrame, *, kind: str = "rent
     return out.select("subject_id", (F.col("all_comps") - F.col("of_type")).alias("property_type_mismatch"), "future_evidence", "stale_evidence", "invalid")
 
 
+#: Grid cells per radius when rows within a radius are counted.
+COVER = 16
+
+
+def within_counts(subjects: DataFrame, rows: DataFrame, counts: dict[str, Column], radius_miles: float, cover: int = COVER) -> DataFrame:
+    """Per subject, sums of ``counts`` over the rows of its type within the radius, exact.
+
+    A cell that lies wholly within the radius adds its sums, which are formed once for all subjects; only rows of
+    cells that the circle crosses are met one by one.  A finer cover leaves fewer of these.
+    """
+    size = radius_miles / geo.MILES_PER_DEGREE / cover
+    bucket = ["property_type", "lat_cell", "lon_cell"]
+    placed = rows.withColumns({"lat_cell": geo.cell(F.col("latitude"), size), "lon_cell": geo.cell(F.col("longitude"), size), **counts})
+    cells = placed.groupBy(*bucket).agg(
+        *[F.sum(c).alias(c) for c in counts], *[f(c).alias(f"{c}_{n}") for c in ("latitude", "longitude") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    )
+    asked = subjects.filter(geo.valid_coordinate(F.col("latitude"), F.col("longitude"))).select(
+        "subject_id", F.lower(F.trim("property_type")).alias("property_type"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon")
+    )
+    reach = asked.withColumn("c", F.explode(geo.cells_within(F.col("s_lat"), F.col("s_lon"), size * cover, size))).select("*", "c.lat_cell", "c.lon_cell").drop("c")
+    nearest, farthest = _reach(F.col("s_lat"), F.col("s_lon"))
+    met = reach.join(cells, bucket).withColumns({"__near": nearest, "__far": farthest}).filter(F.col("__near") <= radius_miles)
+    whole = met.filter(F.col("__far") <= radius_miles).select("subject_id", *counts)
+    crossed = met.filter(F.col("__far") > radius_miles).select("subject_id", "s_lat", "s_lon", *bucket).join(placed.select(*bucket, "latitude", "longitude", *counts), bucket)
+    inside = crossed.filter(geo.haversine_miles(F.col("s_lat"), F.col("s_lon"), F.col("latitude"), F.col("longitude")) <= radius_miles).select("subject_id", *counts)
+    return whole.unionByName(inside).groupBy("subject_id").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def _reach(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Bounds of the distance from a point to the box of (latitude_lo, latitude_hi, longitude_lo, longitude_hi).
+
+    The farthest point of a box is a corner unless the box crosses the meridian opposite the point, where
+    its diagonal is added."""
+    near_lat = F.least(F.greatest(lat, F.col("latitude_lo")), F.col("latitude_hi"))
+    lon_gap = F.greatest(F.lit(0.0), F.col("longitude_lo") - lon, lon - F.col("longitude_hi"))
+    lon_gap = F.least(lon_gap, F.greatest(F.lit(0.0), 360 - F.greatest(F.abs(lon - F.col("longitude_lo")), F.abs(lon - F.col("longitude_hi")))))
+    steepest = F.least(F.cos(F.radians(F.col("latitude_lo"))), F.cos(F.radians(F.col("latitude_hi"))))
+    across = F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.cos(F.radians(lat)) * steepest)) * F.sin(F.radians(F.least(lon_gap, F.lit(180.0)) / 2)))) * 2 * geo.EARTH_RADIUS_MILES
+    corners = [geo.haversine_miles(lat, lon, F.col(f"latitude_{a}"), F.col(f"longitude_{b}")) for a in ("lo", "hi") for b in ("lo", "hi")]
+    diagonal = geo.haversine_miles(F.col("latitude_lo"), F.col("longitude_lo"), F.col("latitude_hi"), F.col("longitude_hi"))
+    opposite = F.greatest(F.abs(lon - F.col("longitude_lo")), F.abs(lon - F.col("longitude_hi"))) > 90
+    nearest = F.greatest(F.abs(lat - near_lat) * geo.MILES_PER_DEGREE, across) * 0.999999
+    return nearest, (reduce(F.greatest, corners) + F.when(opposite, 2 * diagonal).otherwise(0.0)) * 1.000001
+
+
+def located_rejections(
+    subjects: DataFrame, comps: DataFrame, *, kind: str = "rent", as_of: str = "9999-12-31", radius_miles: float = 15.0, maximum_age: int = 730
+) -> DataFrame:
+    """OPP-02/03: every rejection counter per subject, in the order of the checks.
+
+    A row of another type is a mismatch.  A sale is then refused for its date, and a row beyond the radius is
+    outside; what is left and has no usable value, unit, date or coordinate is invalid.
+    """
+    judged = usable_comps(comps, kind, as_of, maximum_age).withColumn("__placed", geo.valid_coordinate(F.col("latitude"), F.col("longitude")))
+    dated = F.col("refused").isin("future_evidence", "stale_evidence")
+    undated = F.col("observed_date").isNull() if kind == "sale" else F.lit(False)
+    located = judged.filter(F.col("__placed") & ~F.coalesce(dated, F.lit(False)) & ~undated)
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    by_type = judged.groupBy("property_type").agg(
+        F.count(F.lit(1)).alias("of_type"), F.sum(number(F.col("refused") == "future_evidence")).alias("future_evidence"), F.sum(number(F.col("refused") == "stale_evidence")).alias("stale_evidence"),
+        F.sum(number(F.col("__placed") & ~F.coalesce(dated, F.lit(False)) & ~undated)).alias("__located"),
+    )
+    total = by_type.agg(F.sum("of_type").alias("all_comps")).withColumn("__one", F.lit(1))
+    inside = within_counts(subjects, located, {"__in": F.lit(1).cast("long"), "__bad": number(F.col("refused") == "invalid")}, radius_miles)
+    asked = subjects.filter(geo.valid_coordinate(F.col("latitude"), F.col("longitude"))).select("subject_id", F.lower(F.trim("property_type")).alias("property_type"))
+    out = asked.join(by_type, "property_type", "left").withColumn("__one", F.lit(1)).join(total, "__one").join(inside, "subject_id", "left").fillna(0)
+    unplaced = F.col("of_type") - F.col("future_evidence") - F.col("stale_evidence") - F.col("__located")
+    return out.select(
+        "subject_id", (F.col("all_comps") - F.col("of_type")).alias("property_type_mismatch"), "future_evidence", "stale_evidence",
+        (F.col("__located") - F.col("__in")).alias("outside_radius"), (unplaced + F.col("__bad")).alias("invalid"),
+    )
+
+
 def benchmark(ranked: DataFrame) -> DataFrame:
     """AGG-31: minimum, median, maximum of the selected (at most 50) rows when their unit is uniform."""
     value = F.col("value").cast("double")

@@ -93,6 +93,22 @@ def comp_rejections(spark, sf_dir):
     return c.rejection_counts(subjects(spark, sf_dir), comps(spark, sf_dir), kind="sale", as_of=AS_OF)
 
 
+def _located(name, kind, age):
+    where = "age between 0 and 730" if age else "true"
+
+    def run(spark, sf_dir):
+        return c.located_rejections(subjects(spark, sf_dir), comps(spark, sf_dir), kind=kind, as_of=AS_OF, radius_miles=RADIUS)
+
+    query(name, "with " + SQL_COMPS.replace("where value > 0)", ")") + f""",
+t as (select property_type, count(*) as n, count(*) filter (where {age} and date '1998-06-30' < observed_date) as fut, count(*) filter (where {age} and date '1998-06-30' - observed_date > 730) as stale from comp group by 1),
+d as (select subject_id, property_type, count(*) filter (where {where} and d > 60) as outside, count(*) filter (where {where} and d <= 60 and (not value > 0 or ({age} and unit <> 'USD/unit'))) as bad from near group by all)
+select d.subject_id, (select count(*) from comp) - n as property_type_mismatch, fut as future_evidence, stale as stale_evidence, outside as outside_radius, bad as invalid from d join t using (property_type)""")(run)
+
+
+_located("rent_comp_rejections", "rent", False)
+_located("sale_comp_rejections", "sale", True)
+
+
 @query("comp_benchmark", "with " + SQL_RENT + """
 select subject_id, count(*) as count, min(unit) as unit, round(min(value), 2) as minimum, round(median(value), 2) as median, round(max(value), 2) as maximum from ranked group by 1 having min(unit) = max(unit)""")
 def comp_benchmark(spark, sf_dir):
