@@ -30,11 +30,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import packed, shared_folder, stored, unpacked
 
 SUPPORT, LONGEST, TOP = 30, 4, 2_000
 #: A candidate goes when a longer one that holds it occurs at least this often per hundred of its occurrences.
@@ -68,14 +67,6 @@ def phrase_keys(keys: np.ndarray, codes: np.ndarray, first: np.ndarray, length:
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype(np.int32).tobytes(), 1)
-
-
-def unpacked(content: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(content), np.int32)
-
-
 def chunk_row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, RELATION, strict=True)], schema=RELATION)
 

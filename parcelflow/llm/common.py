@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ def unit_hash(*columns: str | Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed."""
+    return zstandard.compress(numbers.astype(np.int32).tobytes(), 1)
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(content), np.int32)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, UTF-8 bytes) of each row of (doc_id, text) batches."""
     for batch in batches:

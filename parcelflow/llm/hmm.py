@@ -7,7 +7,7 @@ last three bytes, and then drawn within the class by its count over the whole co
 words and of one unseen word per class add up to one.
 
 Work is done on chunks of documents, bounded by bytes.  A chunk holds its distinct words once and its texts
-as numbers of these, so what is shuffled is distinct words per chunk and not tokens: their training
+as packed numbers of these, so what is shuffled is distinct words per chunk and not tokens: their training
 counts are summed over all chunks, brought back to each chunk, and turned into symbols and base scores there.
 
 Baum-Welch: every sweep runs over all training documents.  A task adds up the expected counts of its chunks,
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import packed, shared_folder, stored, unpacked
 
 STATES, HOT, CLASSES, TAIL = 8, 65_536, 512, 3
 SWEEPS, WARM_SWEEPS, WARM_TOKENS = 3, 25, 300_000
@@ -43,10 +43,10 @@ EMIT_PRIOR, MOVE_PRIOR = 10.0, 0.1
 UNIT = 1 << 20
 END = b""
 CODED = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())),
+    ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()),
     ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
 ])
-CODED_DDL = "doc_ids array<long>, train array<boolean>, lengths array<long>, codes array<int>, words array<binary>, counts array<long>"
+CODED_DDL = "doc_ids array<long>, train array<boolean>, lengths array<long>, codes binary, words array<binary>, counts array<long>"
 
 
 def training(id_column: str = "doc_id") -> Column:
@@ -66,7 +66,7 @@ def coded(docs: DataFrame, trains: Column, chunk_bytes: int, id_column: str, tex
             codes = np.concatenate(parts)
             lengths = np.array([len(p) for p in parts], np.int64)
             counts = np.bincount(codes[np.repeat(np.array(flags, bool), lengths)], minlength=len(place))
-            values = (ids, flags, lengths, codes, list(place), counts)
+            values = (ids, flags, lengths, packed(codes), list(place), counts)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CODED, strict=True)], schema=CODED)
 
         for batch in batches:
@@ -130,10 +130,10 @@ def counted(chunks: DataFrame, folder: str) -> tuple[DataFrame, Corpus]:
 
 
 SYMBOLS_DDL = (
-    "doc_ids array<long>, train array<boolean>, lengths array<long>, symbols array<int>, known array<long>, base array<double>, rare array<double>"
+    "doc_ids array<long>, train array<boolean>, lengths array<long>, symbols binary, known array<long>, base array<double>, rare array<double>"
 )
 SYMBOLS = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("symbols", pa.list_(pa.int32())),
+    ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("symbols", pa.binary()),
     ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())),
 ])
 
@@ -168,14 +168,15 @@ def symbolised(chunks: DataFrame, words: DataFrame, corpus: Corpus) -> DataFrame
                     symbol[at] = number[words_of[at].as_py()]
                 base = np.log10((c + 0.5) / (own.tokens + 0.5 * (own.distinct + 1)))
                 within = np.where(kind >= 0, np.log10((c + 0.5) / (own.class_tokens[kind] + 0.5 * (own.class_words[kind] + 1))), 0.0)
-                codes, lengths = flat(columns["codes"], k), flat(columns["lengths"], k)
+                codes, lengths = unpacked(columns["codes"][k].as_py()), flat(columns["lengths"], k)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 values = (
-                    columns["doc_ids"][k].values, columns["train"][k].values, lengths, symbol[codes].astype(np.int32),
+                    columns["doc_ids"][k].values, columns["train"][k].values, lengths, packed(symbol[codes]),
                     np.add.reduceat((c > 0)[codes].astype(np.int64), starts), np.add.reduceat(base[codes], starts), np.add.reduceat(within[codes], starts),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type)) for v, f in zip(values, SYMBOLS, strict=True)], schema=SYMBOLS
+                    [pa.array([v], f.type) if isinstance(v, bytes) else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type)) for v, f in zip(values, SYMBOLS, strict=True)],
+                    schema=SYMBOLS,
                 )
 
     joined = chunks.select("chunk", "doc_ids", "train", "lengths", "codes", "words").join(back, "chunk")
@@ -328,7 +329,7 @@ def sweep(chunks: DataFrame, model: Model) -> Expected:
         for batch in batches:
             train, lengths, symbols = batch.columns
             for k in range(batch.num_rows):
-                for _, sequences in batches_of(flat(symbols, k), flat(lengths, k), flat(train, k)):
+                for _, sequences in batches_of(unpacked(symbols[k].as_py()), flat(lengths, k), flat(train, k)):
                     expect(sequences, own, out)
         table = np.rint(np.concatenate([out.start[None, :], out.moves, out.emits]) * UNIT).astype(np.int64)
         rows = np.flatnonzero(table.any(axis=1))
@@ -352,7 +353,7 @@ def warmed(chunks: DataFrame, model: Model, share: np.ndarray, tokens: int, swee
         for batch in batches:
             ids, train, lengths, symbols = batch.columns
             for k in range(batch.num_rows):
-                long, whole = flat(lengths, k), flat(symbols, k)
+                long, whole = flat(lengths, k), unpacked(symbols[k].as_py())
                 known = np.array([i or 0 for i in ids[k].values.to_pylist()], np.int64).view(np.uint64)
                 key = (known * np.uint64(0x9E3779B97F4A7C15) + long.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
                 starts = np.concatenate(([0], np.cumsum(long)))
@@ -402,7 +403,7 @@ def scored(chunks: DataFrame, model: Model, tokens: int) -> DataFrame:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for k in range(batch.num_rows):
                 lengths, score = flat(columns["lengths"], k), flat(columns["rare"], k).copy()
-                for places, sequences in batches_of(flat(columns["symbols"], k), lengths, np.ones(len(lengths), bool)):
+                for places, sequences in batches_of(unpacked(columns["symbols"][k].as_py()), lengths, np.ones(len(lengths), bool)):
                     score[places] += likelihood(sequences, own)
                 values = (
                     columns["doc_ids"][k].values, ~flat(columns["train"], k).astype(bool), lengths, columns["known"][k].values,
