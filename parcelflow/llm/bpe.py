@@ -13,7 +13,8 @@ space first, which neither of them crosses, so both run once per distinct piece
 
 Cases: a null or empty text has no tokens and decodes to the empty text; very long words are walked
 in linear time; special tokens written in a text get their own id, as the library gives them; null
-ids keep their row; repeated rows give repeated rows; an empty table gives an empty result.
+ids keep their row; repeated rows give repeated rows; an empty table gives an empty result; further columns of
+any name are not read.
 """
 
 from __future__ import annotations

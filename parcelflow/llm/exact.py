@@ -12,7 +12,8 @@ that fills a third of the corpus reaches its owner once per input task.
 
 Cases: null texts count as empty, and all empty texts are copies; a null id comes after all others when
 the row that stays is chosen; rows repeated with one id are copies, all marked kept if their id stays;
-an empty table gives an empty result.
+an empty table gives an empty result; texts of any length are compared whole; ties in the id go to one row
+for all equal rows; further columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ occurs in the text; a template without the word of its family has the longest of
 priority, or of equal priority and greater length, is suppressed.
 
 Cases: a null or empty text has no words and no labels; very long texts are scanned whole; null ids
-keep their row; repeated rows give repeated rows; an empty table gives an empty result.
+keep their row; repeated rows give repeated rows; an empty table gives an empty result; of equal spans the rule
+of higher priority stays, then the label that sorts first; further columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ failed rule; policies are versioned sets of rules, applied to the bits without r
 and ablations (what a policy would keep without one of its rules) are bitwise sums over the ledger.
 
 Cases: a null or empty text has no words and fails ``few_words``; null ids keep their row; repeated
-rows give repeated ledger rows; an empty table gives an empty ledger.
+rows give repeated ledger rows; an empty table gives an empty ledger; very long texts are measured whole;
+no measure depends on the order of rows, so there are no ties; further columns of any name are not read.
 """
 
 from __future__ import annotations

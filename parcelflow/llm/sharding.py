@@ -7,7 +7,9 @@ range-partitioned by them, ranges that hold too much are cut again from a sample
 and shards are consecutive ranges cut at equal shares of the bytes.
 
 Cases: a null or empty text has size 1; null ids sort first within a key; an empty table gives
-an empty result; rows that agree in id and text are interchangeable and lie side by side.
+an empty result; rows that agree in id and text are interchangeable and lie side by side; equal texts under different ids lie
+side by side as well, and a group of them that straddles a cut goes to two shards, however small it is; a
+very long text is one row of its size and may fill a shard alone; further columns of any name are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ components come from alternating stars over the links.
 
 Cases: a text without words has fingerprint zero and is linked like any other; null texts count as
 empty; null ids come last when a component is named; repeated rows share their component; an empty
-table gives an empty result; very long texts are read whole, their hashes counted in blocks.
+table gives an empty result; very long texts are read whole, their hashes counted in blocks; a bit set in
+exactly half of the hashes is 0; further columns of any name are not read.
 """
 
 from __future__ import annotations

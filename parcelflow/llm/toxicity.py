@@ -11,7 +11,8 @@ the regression is fitted in one task on a bounded sample of labelled rows (FIT_R
 
 Cases: null or empty texts have no features and the lowest severity the thresholds allow; null labels
 are left out; without both labels nothing is rejected; repeated rows get equal scores; an empty table
-gives an empty result; very long texts are read whole.
+gives an empty result; very long texts are read whole; a severity that equals the limit is not rejected; further
+columns of any name are not read.
 """
 
 from __future__ import annotations
