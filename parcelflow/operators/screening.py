@@ -68,7 +68,7 @@ def screen(df: DataFrame, policies: DataFrame | None = None) -> DataFrame:
     policies = policy_dim(df.sparkSession) if policies is None else policies
     if "policy_id" not in df.columns:
         df = df.withColumns({"policy_id": F.lit(DEFAULT.policy_id), "policy_version": F.lit(DEFAULT.version)})
-    rows = metrics(df).join(F.broadcast(policies.withColumnRenamed("version", "policy_version")), ["policy_id", "policy_version"])
+    rows = metrics(df).join(policies.withColumnRenamed("version", "policy_version"), ["policy_id", "policy_version"])
     comps = F.coalesce("rent_comp_count", F.lit(0)) + F.coalesce("sale_comp_count", F.lit(0))
     available = {
         "rent": F.col("rent_gap").isNotNull(), "basis": F.col("basis_discount").isNotNull(), "noi": F.col("noi_upside").isNotNull(), "cap_rate": F.col("cap_spread_bps").isNotNull(),
@@ -157,7 +157,7 @@ def timeline(candidates: DataFrame, versions: DataFrame, runs: DataFrame) -> Dat
 def reproduce(stored_inputs: DataFrame, runs: DataFrame) -> DataFrame:
     """OPP-14: rescreen under the recorded policy; report differences and unknown policies."""
     known = policy_dim(runs.sparkSession).select("policy_id", F.col("version").alias("policy_version"), F.lit(True).alias("__known"))
-    judged = runs.join(F.broadcast(known), ["policy_id", "policy_version"], "left")
+    judged = runs.join(known, ["policy_id", "policy_version"], "left")
     inputs = judged.filter("__known").select("run_id", "version_id", "policy_id", "policy_version").join(stored_inputs, "version_id")
     again = screen(inputs).select("run_id", F.col("screening_tier").alias("recomputed_tier"))
     joined = judged.join(again, "run_id", "left")

@@ -131,7 +131,7 @@ def weighted_features(components: DataFrame, values: DataFrame, aggregation: Dat
     grouped = rows.groupBy("definition_id", "feature_name", "period_start").agg(
         F.count("value").alias("present"), F.sum(F.col("value") * F.col("weight").cast("double")).alias("weighted"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.max("available_at").alias("available_at"), F.count("available_at").alias("dated"),
-    ).join(sizes, "definition_id").join(F.broadcast(aggregation), "feature_name")
+    ).join(sizes, "definition_id").join(aggregation, "feature_name")
     whole = F.col("present") == F.col("counties")
     spread = F.col("high") - F.col("low") > 1e-12
     value = F.when(whole & (F.col("rule") == "portfolio_weighted_mean"), F.col("weighted")).when(whole & (F.col("rule") == "broadcast") & ~spread, F.col("low"))

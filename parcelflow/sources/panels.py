@@ -282,7 +282,7 @@ def table_candidates(rows: DataFrame, profile: dict, table_key: list[str], label
     drift = labels.withColumns({"missing_labels": F.array_except(expected, "__labels"), "unexpected_labels": F.array_except("__labels", expected)})
     joined = keyed.null_safe_join(rows, drift.drop("__labels"), table_key)
     dim = rows.sparkSession.createDataFrame([(k, *v) for k, v in profile.items()], "__label string, metric string, unit string, methodology string")
-    mapped = joined.withColumn("__label", F.trim(label)).join(F.broadcast(dim), "__label", "left")
+    mapped = joined.withColumn("__label", F.trim(label)).join(dim, "__label", "left")
     text = F.trim(F.col(value))
     number = F.regexp_replace(text, "[$,%\\s]", "").try_cast("double")
     number = F.when(text.endswith("%") & (F.col("unit") == "decimal_fraction"), number / 100).otherwise(number)
