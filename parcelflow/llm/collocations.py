@@ -5,7 +5,7 @@ and position, a chunk of documents at a time, and stored between levels.  One le
 
 1. merge-join: two frequent occurrences at adjacent positions of a piece make one of k + 1 words; in sorted
    order these are neighbours.
-2. group-count: each chunk counts its own phrases, and Spark adds up these counts per 64-bit key of language and words.
+2. group-count: each chunk counts its own phrases, and Spark adds up these counts per key, a hash of language and words.
 3. semi-join: the phrases whose key reaches the support go back to their chunks, and occurrences of others leave
    the relation before it is extended.
 
@@ -43,13 +43,15 @@ CHUNK_BYTES = 12_000_000
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 
 #: A chunk of a relation, of one language: words by number (-1 between pieces) and the phrase that starts at each
-#: position (-1 for none; null for single words), both packed; the words, one per line; key and count of each of the
-#: chunk's phrases; and the phrases of one word less that passed, one per line, with their counts.
+#: position (-1 for none; null for single words), both packed; the words, one per line; and the phrases of one word
+#: less that passed, one per line, with their counts.
 RELATION = pa.schema([
-    ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.string()), ("ids", pa.binary()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-    ("passed", pa.string()), ("passed_counts", pa.list_(pa.int32())), ("chunk", pa.int64()),
+    ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.string()), ("ids", pa.binary()),
+    ("passed", pa.string()), ("passed_counts", pa.list_(pa.int32())), ("tokens", pa.int64()), ("chunk", pa.int64()),
 ])
-RELATION_DDL = "lang string, codes binary, words string, ids binary, keys array<long>, counts array<int>, passed string, passed_counts array<int>, chunk long"
+RELATION_DDL = "lang string, codes binary, words string, ids binary, passed string, passed_counts array<int>, tokens long, chunk long"
+#: Bits of a key: enough that few phrases share one, few enough to travel light.
+KEY_BITS = 44
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,7 +66,7 @@ def phrase_keys(keys: np.ndarray, codes: np.ndarray, first: np.ndarray, length:
     for j in range(length):
         out = (out ^ keys[codes[first + j]]) * _STEP
         out = (out ^ (out >> np.uint64(32))) * _MIX
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+    return (out >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
 def chunk_row(*values) -> pa.RecordBatch:
@@ -84,8 +86,7 @@ def words_relation(docs: DataFrame, chunk_bytes: int, text_column: str, lang_col
             for lang, own in codes.items():
                 found = np.frombuffer(own, np.int32)
                 words = [w.decode("utf-8", "replace") for w in place[lang]]
-                keys = phrase_keys(word_keys(lang, words), np.arange(len(words)), np.arange(len(words)), 1)
-                yield chunk_row(lang, packed(found), "\n".join(words), None, keys, np.bincount(found[found >= 0]), None, None, 0)
+                yield chunk_row(lang, packed(found), "\n".join(words), None, None, None, int((found >= 0).sum()), 0)
 
         codes, size, place = fresh()
         for batch in batches:
@@ -108,8 +109,8 @@ def words_relation(docs: DataFrame, chunk_bytes: int, text_column: str, lang_col
     return texts.mapInArrow(chunks, RELATION_DDL).withColumn("chunk", F.monotonically_increasing_id())
 
 
-def extended(codes: np.ndarray, ids: np.ndarray, frequent: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One level further on one chunk: (codes, ids, first position and count of each phrase of ``length + 1`` words).
+def extended(codes: np.ndarray, ids: np.ndarray, frequent: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One level further on one chunk: (codes, ids) of phrases of ``length + 1`` words.
 
     Positions that no frequent phrase of ``length`` words covers become breaks, and breaks in a row become one.
     """
@@ -124,10 +125,42 @@ def extended(codes: np.ndarray, ids: np.ndarray, frequent: np.ndarray, length: i
     codes, ids, good = np.where(covered, codes, -1)[kept], np.where(good, ids, -1)[kept].astype(np.int64), good[kept]
     at = np.flatnonzero(good[:-1] & good[1:])
     width = int(ids.max(initial=0)) + 1
-    _, first, inverse, counts = np.unique(ids[at] * width + ids[at + 1], return_index=True, return_inverse=True, return_counts=True)
+    _, inverse = np.unique(ids[at] * width + ids[at + 1], return_inverse=True)
     longer = np.full(len(codes), -1, np.int64)
     longer[at] = inverse
-    return codes, longer, at[first], counts
+    return codes, longer
+
+
+def phrases_of(columns: dict[str, pa.Array], k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, ids, first position and count of each phrase) of a chunk."""
+    codes = unpacked(columns["codes"][k].as_py())
+    ids = codes if length == 1 else unpacked(columns["ids"][k].as_py())
+    at = np.flatnonzero(ids >= 0)
+    counts = np.bincount(ids[at])
+    first = np.zeros(len(counts), np.int64)
+    first[ids[at[::-1]]] = at[::-1]  # written last, the first position of a phrase stays
+    return codes, ids, first, counts
+
+
+def keyed_counts(relation: DataFrame, length: int) -> DataFrame:
+    """(key, chunk, id, n): every phrase of a chunk with its count there."""
+    schema = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("id", pa.int32()), ("n", pa.int32())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for k in range(batch.num_rows):
+                codes, _, first, counts = phrases_of(columns, k, length)
+                keys = phrase_keys(word_keys(columns["lang"][k].as_py(), columns["words"][k].as_py().split("\n")), codes, first, length)
+                for at in range(0, len(keys), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    size = len(keys[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[part]), pa.array(np.full(size, columns["chunk"][k].as_py())), pa.array(np.arange(at, at + size, dtype=np.int32)), pa.array(counts[part].astype(np.int32))],
+                        schema=schema,
+                    )
+
+    return relation.filter("codes IS NOT NULL").select("chunk", "lang", "codes", "words", "ids").mapInArrow(counted, "key long, chunk long, id int, n int")
 
 
 def next_relation(relation: DataFrame, frequent: DataFrame, length: int, last: bool) -> DataFrame:
@@ -139,29 +172,23 @@ def next_relation(relation: DataFrame, frequent: DataFrame, length: int, last: b
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             for k in range(batch.num_rows):
                 lang, words = columns["lang"][k].as_py(), columns["words"][k].as_py().split("\n")
-                codes = unpacked(columns["codes"][k].as_py())
-                ids = codes if length == 1 else unpacked(columns["ids"][k].as_py())
                 found = columns["found"][k].values.to_numpy(zero_copy_only=False)
-                counts = columns["counts"][k].values.to_numpy(zero_copy_only=False)
-                first = np.zeros(len(counts), np.int64)
-                at = np.flatnonzero(ids >= 0)[::-1]
-                first[ids[at]] = at  # written last, the first position of a phrase stays
+                codes, ids, first, counts = phrases_of(columns, k, length)
                 texts = pa.array(words)
                 lines = pc.binary_join_element_wise(*[texts.take(pa.array(codes[first[found] + j])) for j in range(length)], " ")
                 passed = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
-                more = None, None, None, None, None
+                more = None, None, None
                 if not last:
-                    codes, longer, begin, sizes = extended(codes, ids, found, length)
+                    codes, longer = extended(codes, ids, found, length)
                     used = np.unique(codes[codes >= 0])
                     number = np.full(len(words) + 1, -1, np.int64)
                     number[used] = np.arange(len(used))
                     codes, words = number[codes], [words[i] for i in used.tolist()]
-                    keys = phrase_keys(word_keys(lang, words), codes, begin, length + 1)
-                    more = packed(codes), "\n".join(words), packed(longer), keys, sizes
-                yield chunk_row(lang, *more, passed, counts[found], columns["chunk"][k].as_py())
+                    more = packed(codes), "\n".join(words), packed(longer)
+                yield chunk_row(lang, *more, passed, counts[found], None, columns["chunk"][k].as_py())
 
     back = frequent.groupBy("chunk").agg(F.collect_list("id").alias("found"))  # one chunk's phrases
-    joined = relation.select("chunk", "lang", "codes", "words", "ids", "counts").join(back, "chunk")
+    joined = relation.select("chunk", "lang", "codes", "words", "ids").join(back, "chunk")
     return joined.mapInArrow(turned, RELATION_DDL)
 
 
@@ -169,11 +196,9 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, chunk_bytes: i
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words that reach the support; and (lang, n)."""
     folder, found = shared_folder(docs.sparkSession), None
     relation = stored(words_relation(docs, chunk_bytes, text_column, lang_column), folder, "level-1")
-    whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    totals = stored(relation.groupBy("lang").agg(F.sum(whole).alias("n")), folder, "totals")
+    totals = stored(relation.groupBy("lang").agg(F.sum("tokens").alias("n")), folder, "totals")
     for length in range(1, longest + 1):
-        rows = relation.select("chunk", F.posexplode(F.arrays_zip("keys", "counts")).alias("id", "p")).select("chunk", "id", F.col("p.keys").alias("key"), F.col("p.counts").alias("n"))
-        passed = rows.withColumn("f", F.sum("n").over(Window.partitionBy("key"))).filter(F.col("f") >= support).select("chunk", "id")
+        passed = keyed_counts(relation, length).withColumn("f", F.sum("n").over(Window.partitionBy("key"))).filter(F.col("f") >= support).select("chunk", "id")
         relation = stored(next_relation(relation, passed, length, length == longest), folder, f"level-{length + 1}")
         lines = F.arrays_zip(F.split("passed", "\n").alias("phrase"), F.col("passed_counts").alias("n"))
         texts = relation.select("lang", F.inline(lines))
