@@ -79,3 +79,18 @@ def test_null_keys_match(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     out = {(r.k, r.v): r.n for r in keyed.with_group_stats(df, ["k"], F.count(F.lit(1)).alias("n")).collect()}
     assert out == {(None, 1): 2, (None, 2): 2, ("a", 3): 1}
+
+
+@pytest.mark.parametrize("relative", [False, True])
+def test_peer_distance_searched_inside_a_task(spark, monkeypatch, relative):
+    """Groups between the array limit and the rank limit are searched by halving, with equal values and a null key."""
+    draw = random.Random(8)
+    data = [(None if i % 2 else "k", f"s{i % 3}", draw.choice([1.0, 2.0, 1e-10, draw.uniform(0.1, 9)])) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, s string, v double")
+    monkeypatch.setattr(keyed, "SMALL_GROUP", 4)
+    monkeypatch.setattr(keyed, "_peer_distance_by_rank", None)
+    got = {(r.k, r.s, r.v): r.peer_distance for r in keyed.peer_median_distance(df, ["k"], "s", "v", F.lit(relative)).collect()}
+    assert set(got) == set(data)
+    distance = lambda a, b: abs(a - b) / max(abs(a), abs(b), 1e-9) if relative else abs(a - b)
+    for k, s, v in got:
+        assert got[k, s, v] == pytest.approx(statistics.median(distance(v, x) for g, o, x in data if o != s and g == k), abs=1e-12)

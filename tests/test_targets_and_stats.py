@@ -78,6 +78,33 @@ def test_fused_checks_find_what_single_checks_find(spark):
         assert len({w[0] for w in want}) >= 12
 
 
+def test_code_sets_and_totals_hold_what_all_findings_hold(spark, monkeypatch):
+    """The compact forms agree with the rows of all findings, also where periods are split into pieces and ids repeat."""
+    draw = random.Random(9)
+    made = []
+    for k in range(240):
+        row = dict(zip([c.split()[0] for c in COLUMNS.split(", ")], record(f"o{k % 225}", period=f"{draw.choice([2021, 2023])}-Q{draw.randint(1, 4)}", value=draw.choice([0.05, 0.2, 0.9])), strict=True))
+        row |= {
+            "metric": draw.choice(["vacancy_rate", "vacancy_rate", "occupancy_rate"]), "source_name": draw.choice("AB"), "vintage": draw.choice(["original", None, "revision-1"]),
+            "methodology": draw.choice(["m1", "m1", "m2"]), "geography_id": draw.choice(["M1", "M2"]), "retrieved_on": draw.choice([D(2020, 1, 1), D(2024, 5, 1), None]),
+            "target_classification": draw.choice(["institutional_target", "context_proxy", None]), "source_identifier": draw.choice(["x", f"y{k}"]),
+        }
+        made.append(tuple(row.values()))
+    rows = spark.createDataFrame(made, COLUMNS).cache()
+    governed = spark.createDataFrame([("M1",)], "geography_id string")
+    findings = [tuple(r) for r in v.all_findings(rows, evaluated_on="2024-06-30", governed=governed).select("code", "finding_id", "observation_id").collect()]
+    sets, totals = {}, {}
+    for code, finding, observation in findings:
+        sets.setdefault(observation, set()).add(code)
+        totals.setdefault(code, []).append((finding, observation))
+    monkeypatch.setattr(v, "PERIOD_PIECE", 1)
+    got = {r.observation_id: r.verification_findings for r in v.code_sets(rows, evaluated_on="2024-06-30", governed=governed).collect()}
+    assert got == {o: sorted(c) for o, c in sets.items()} and v._pieces(rows.withColumn("__idx", F.lit(1))) > 1
+    counted = {r.code: (r.findings, r.rows, r.observations) for r in v.finding_totals(rows, evaluated_on="2024-06-30", governed=governed).collect()}
+    assert counted == {c: (len({f for f, _ in x}), len(x), len({o for _, o in x})) for c, x in totals.items()}
+    assert len(counted) >= 8
+
+
 def test_eligibility_and_reconciliation(scored):
     rows, _, out = scored
     eligible = {r.observation_id for r in out.filter("model_eligible").collect()}
