@@ -9,7 +9,7 @@ from parcelflow.operators import target_panel as t
 from parcelflow.plans import bindings as b
 from parcelflow.plans import target_queries as tq
 from parcelflow.plans.registry import query
-from parcelflow.session import checkpointed
+from parcelflow.session import stored
 
 SQL_JUDGED = tq.SQL_SCORED + """,
 firsts as (select *, release_date as target_available_at, case when not model_eligible then 'not_model_eligible' end as r1 from scored),
@@ -22,7 +22,7 @@ gated as (
 
 
 def judged(spark, sf_dir):
-    return t.eligibility(checkpointed(tq.judged(spark, sf_dir)))
+    return t.eligibility(stored(tq.judged(spark, sf_dir)))
 
 
 @query("target_exclusions", "with " + SQL_JUDGED + " select property_type, metric, coalesce(reason, 'eligible') as reason, count(*) as rows from gated group by all")

@@ -215,3 +215,13 @@ def test_evidence_roots_follow_chains_circles_and_missing_parents(spark):
     rows = [("m", "derived:gone", "x", "g", "p"), ("n", "peer#1", "x", "g", "p"), ("k", "other", "x", "g", "q")]
     found = v.evidence_roots(spark.createDataFrame(rows, "observation_id string, source_identifier string, source_name string, geography_id string, period string")).collect()
     assert {(r.root_id, r.source_identifier) for r in found} == {("m", "peer"), ("n", "peer"), ("k", "other")}
+
+
+def test_a_check_of_one_code_reports_that_nothing_was_found(spark, monkeypatch):
+    """Its SQL counts without groups, so there is a row of zeros."""
+    from parcelflow.plans import registry, target_queries
+
+    registry.QUERIES or registry.load()
+    monkeypatch.setattr(target_queries, "complement_records", lambda s, d: s.createDataFrame([record("a")], COLUMNS))
+    out = [tuple(r) for r in registry.QUERIES["ver_complements"](spark, "").collect()]
+    assert out == [("occupancy_vacancy_mismatch", "error", 0, 0, 0)]
