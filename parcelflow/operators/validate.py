@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,17 @@ SHA256 = r"^[0-9a-f]{64}$"
 
 
 def errors(checks: dict[str, Column]) -> Column:
-    """Array of the codes whose condition holds; a null condition counts as not holding."""
-    return F.filter(
-        F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in checks.items()]),
-        lambda code: code.isNotNull(),
-    )
+    """Array of the codes whose condition holds; a null condition counts as not holding.
+
+    No lambda: Spark would interpret, not compile, every condition below one.
+    """
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in checks.items()])
+    return F.array_except(found, F.array(F.lit(None).cast("string")))
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """Whether one of the conditions holds; compiled, where ``exists`` is interpreted."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions], F.lit(False))
 
 
 def blank(column: Column) -> Column:
@@ -56,7 +64,7 @@ def observation_errors(df: DataFrame) -> DataFrame:
     count = F.col("sample_count").cast("string")
     retrieved = F.col("retrieved_at").cast("string")
     checks = {
-        "missing_required": F.size(F.filter(F.array(*[F.when(blank(F.col(c)), F.lit(c)) for c in REQUIRED]), lambda c: c.isNotNull())) > 0,
+        "missing_required": any_of([blank(F.col(c)) for c in REQUIRED]),
         "period_invalid": ~period["valid"],
         **geography_checks(),
         "value_not_numeric": ~blank(F.col("value")) & value.isNull(),
@@ -112,13 +120,14 @@ def record_errors(df: DataFrame, dim: DataFrame) -> DataFrame:
     value = F.col("value").try_cast("double")
     period = periods.normalize_period("period", F.col("frequency"))
     source_period = periods.normalize_period("source_period", F.col("frequency"))
-    release = F.try_to_date(F.col("release_date").cast("string"), "yyyy-MM-dd")
+    released = F.col("release_date").cast("string")
+    release = F.when(released.rlike(periods.ISO_DAY), released.try_cast("date")).otherwise(F.try_to_date(released, "yyyy-MM-dd"))
     retrieved = F.try_to_timestamp(F.col("retrieved_at").cast("string"))
     known = F.col("__units").isNotNull()
     count = F.col("sample_count").cast("string")
     checks = {
-        "missing_required": F.size(F.filter(F.array(*[F.when(blank(F.col(c)), F.lit(c)) for c in RECORD_REQUIRED if c in df.columns]), lambda c: c.isNotNull())) > 0,
-        "formula_prohibited": F.exists(F.array(*[F.coalesce(F.ltrim(F.col(c)), F.lit("")) for c in text]), lambda v: v.rlike("^[=+@]")),
+        "missing_required": any_of([blank(F.col(c)) for c in RECORD_REQUIRED if c in df.columns]),
+        "formula_prohibited": any_of([F.substring(F.ltrim(F.col(c)), 1, 1).isin("=", "+", "@") for c in text]),
         "property_type_unsupported": ~F.coalesce(F.col("property_type").isin(*CORE_PROPERTY_TYPES), F.lit(False)),
         "metric_not_governed": ~known,
         "unit_invalid": known & ~F.array_contains("__units", F.col("unit")),
