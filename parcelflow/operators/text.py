@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelflow.session import spread_rows
+
 # Phrases that score a document category, in tie-break order.
 CATEGORIES = {
     "offering_memorandum": ("offering memorandum", "investment offering", "executive summary", "om"),
@@ -189,22 +191,22 @@ def normalize(text: Column, kind: str, unit: str | None, parsed: Column | None =
 def extract_fields(df: DataFrame, text: str, category: str | None = "category", fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """TXT-02: first match of every applicable field as long rows with excerpt and confidence.
 
-    Matching is map-only; only matched fields become rows, and values are normalised there by
-    kind and unit, once per match.
+    Only matched fields become rows, and values are normalised there by kind and unit, once per match.  Patterns are
+    constants, so each is compiled once; small tables are spread first, as the work per document is large.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    keys = [c for c in df.columns if c != text]
+    body = F.coalesce(F.col(text), F.lit("")).alias("__body")
+    kind_of = F.coalesce(F.col(category), F.lit("unknown")) if category else F.lit("unknown")
+    spread = spread_rows(df).select(*keys, body, kind_of.alias("__category"))
+    slots = []
+    for at, f in enumerate(fields):
+        wanted = F.col("__category").isin("unknown", *f.categories) & F.col("__body").rlike(f.pattern)
+        slots.append(F.when(wanted, F.struct(F.lit(at).alias("__at"), F.regexp_extract("__body", f.pattern, 0).alias("__whole"), F.regexp_extract("__body", f.pattern, 1).alias("__raw"))))
     table = F.array(*[
-        F.struct(
-            F.lit(f.name).alias("field_name"), F.lit(f.pattern).alias("__pattern"), F.lit(f.kind).alias("__kind"), F.lit(f.unit).cast("string").alias("unit"), F.lit(f.confidence).alias("__confidence"),
-            F.array(*[F.lit(c) for c in f.categories]).alias("__categories"),
-        ) for f in fields
+        F.struct(F.lit(f.name).alias("field_name"), F.lit(f.kind).alias("kind"), F.lit(f.unit).cast("string").alias("unit"), F.lit(f.confidence).alias("confidence")) for f in fields
     ])
-    kind_of = F.coalesce(F.col(category), F.lit("unknown")) if category else F.lit("unknown")
-    wanted = F.filter(table, lambda f: ((kind_of == "unknown") | F.array_contains(f["__categories"], kind_of)) & F.regexp_like(body, f["__pattern"]))
-    keys = [c for c in df.columns if c != text]
-    found = df.select(*keys, body.alias("__body"), F.inline(wanted)).withColumns({
-        "__whole": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(0)), "__raw": F.call_function("regexp_extract", F.col("__body"), F.col("__pattern"), F.lit(1)),
-    })
+    found = spread.select(*keys, "__body", F.inline(F.array(*slots))).filter("__at IS NOT NULL").withColumn("__field", F.element_at(table, F.col("__at") + 1))
+    found = found.withColumns({"field_name": F.col("__field.field_name"), "__kind": F.col("__field.kind"), "unit": F.col("__field.unit"), "__confidence": F.col("__field.confidence")})
     found = found.withColumn("raw_value", F.trim("__raw"))
     numeric = F.col("__kind").isin("decimal", "integer", "rate", "signed_rate")
     found = found.withColumn("__number", F.when(numeric, number(F.col("raw_value")))).withColumn("__day", F.when(F.col("__kind") == "date", day(F.col("raw_value"))["value"]))

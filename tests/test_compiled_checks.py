@@ -20,3 +20,9 @@ def test_record_checks_hold_no_lambda(spark):
 def test_errors_keep_order_and_skip_null_conditions(spark):
     row = spark.range(1).select(validate.errors({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(False), "d": F.lit(True)}).alias("e")).first()
     assert row["e"] == ["a", "d"]
+
+
+def test_documents_are_spread_before_matching(spark):
+    registry.load()
+    found = registry.QUERIES["extract_fields"](spark, SF)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
