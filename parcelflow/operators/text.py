@@ -275,7 +275,8 @@ ENTITIES = {
 def derive_entities(cells: DataFrame) -> DataFrame:
     """TXT-05: cells (document_id, category, page_number, cell_id, field_name, value) to typed records.
 
-    A table row has as many cells as columns, so the maps built per row are bounded.
+    A table row has as many cells as columns, so the maps built per row are bounded, and
+    cells move once, to their row.
     """
     dim = cells.sparkSession.createDataFrame([(c, kind, header, target) for c, (kind, aliases) in ENTITIES.items() for header, target in aliases.items()], "category string, entity_type string, header string, target string")
     kinds = F.create_map(*[F.lit(v) for c, (kind, _) in ENTITIES.items() for v in (c, kind)])
@@ -287,12 +288,18 @@ def derive_entities(cells: DataFrame) -> DataFrame:
     account = F.col("entity_type") == "operating_account_period"
     used = mapped.filter(F.col("target").isNotNull() | account)
     key = ["document_id", "category", "entity_type", "source_page", "source_row"]
-    named = used.filter("target IS NOT NULL").groupBy(*key, "target").agg(F.max_by("value", "cell_id").alias("value")).groupBy(*key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "value")))).alias("data"))
-    periods = used.filter("target IS NULL").groupBy(*key, "header").agg(F.max_by("value", "cell_id").alias("value")).groupBy(*key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("period_values"))
-    ids = used.groupBy(*key).agg(F.array_sort(F.collect_set("cell_id")).alias("source_value_ids"))
-    joined = ids.join(named, key, "left").join(periods, key, "left").filter(F.col("data").isNotNull() | F.col("period_values").isNotNull())
+    cell = F.struct("cell_id", "target", F.when(F.col("target").isNull(), F.col("header")).alias("header"), "value")
+    rows = used.groupBy(*key).agg(F.array_sort(F.collect_list(cell)).alias("__cells"))
+
+    def last(name: str) -> Column:
+        """The value of the greatest cell id per name, as a map in the order of names; null without any."""
+        later = lambda x, i: F.exists(F.slice("__cells", i + 2, F.size("__cells")), lambda y: y[name].eqNullSafe(x[name]))
+        kept = F.filter("__cells", lambda x, i: x[name].isNotNull() & ~later(x, i))
+        entries = F.transform(kept, lambda x: F.struct(x[name], F.when(x["cell_id"].isNotNull(), x["value"])))
+        return F.when(F.size(kept) > 0, F.map_from_entries(F.array_sort(entries)))
+
+    ids = F.array_distinct(F.filter(F.transform("__cells", lambda x: x["cell_id"]), lambda c: c.isNotNull()))
+    joined = rows.select(*key, ids.alias("source_value_ids"), last("target").alias("data"), last("header").alias("period_values")).filter("data IS NOT NULL OR period_values IS NOT NULL")
     complete = joined.filter((F.col("entity_type") != "operating_account_period") | F.coalesce(F.map_contains_key("data", F.lit("account_label")), F.lit(False)))
     return complete.withColumn("data_sha256", F.sha2(F.to_json(F.struct("data", "period_values")), 256))
 

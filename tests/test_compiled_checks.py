@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parcelflow.operators import validate
+from parcelflow.operators import text, validate
 from parcelflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,14 @@ def test_documents_are_spread_before_matching(spark):
     registry.load()
     found = registry.QUERIES["extract_fields"](spark, SF)
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_entities_move_once_and_the_last_cell_wins(spark):
+    cells = spark.createDataFrame([
+        ("d", "t12_operating_statement", 1, "c1", "row.1.account_name", "Rent"), ("d", "t12_operating_statement", 1, "c3", "row.1.jan", "5"), ("d", "t12_operating_statement", 1, "c2", "row.1.jan", "4"),
+        ("d", "t12_operating_statement", 1, "c2", "row.1.feb", None), ("d", "t12_operating_statement", 1, "c9", "row.2.jan", "7"),
+    ], "document_id string, category string, page_number int, cell_id string, field_name string, value string")
+    out = text.derive_entities(cells)
+    rows = out.collect()
+    assert len(rows) == 1 and rows[0]["data"] == {"account_label": "Rent"} and rows[0]["period_values"] == {"feb": None, "jan": "5"} and rows[0]["source_value_ids"] == ["c1", "c2", "c3"]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") <= 1 and plan(out).count("Aggregate [") == 1
