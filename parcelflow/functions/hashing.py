@@ -12,14 +12,16 @@ def row_digest(columns: list[str]) -> Column:
 
 
 def order_free_digest(digest: Column) -> Column:
-    """Aggregate of row digests in bounded memory: count plus the sums of four 48-bit parts."""
-    parts = [
-        F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)") for start in (1, 13, 25, 37)
-    ]
-    return F.sha2(
-        F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts]),
-        256,
-    )
+    """Aggregate of row digests in bounded memory: count plus the sums of four 48-bit parts, each added up as two halves
+    that fit a long."""
+
+    def total(start: int) -> Column:
+        part = F.conv(F.substring(digest, start, 12), 16, 10).cast("long")
+        high, low = F.sum(F.shiftright(part, 24)), F.sum(part.bitwiseAND((1 << 24) - 1))
+        whole = lambda s: F.coalesce(s, F.lit(0)).cast("decimal(20,0)")
+        return whole(high) * F.lit(1 << 24).cast("decimal(8,0)") + whole(low)
+
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[total(start).cast("string") for start in (1, 13, 25, 37)]), 256)
 
 
 def dataset_hash(df: DataFrame, keys: list[str] | None = None, out: str = "content_hash") -> DataFrame:
