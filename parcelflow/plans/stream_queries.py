@@ -54,17 +54,18 @@ def stream_deduplicated(spark, sf_dir):
 @query("stream_refresh", """
 select event_type as metric, count(*) as observations, min(cast(ts as date)) as earliest, max(cast(ts as date)) as latest from events group by 1""")
 def stream_refresh(spark, sf_dir):
-    """Raw events in several files, one micro-batch each, published as batches of one version, replayed, then read back."""
+    """Raw events in three micro-batches of several files, published as batches of one version, replayed, then read back."""
     root = scratch(spark, "refresh")
     events = b.table(spark, sf_dir, "events")
-    events.repartition(3, "event_id").write.parquet(f"{root}/raw")
+    files = spark.sparkContext.defaultParallelism
+    events.repartition(3 * files, "event_id").write.parquet(f"{root}/raw")
 
     def normalize(batch):
         return batch.select(
             F.col("event_id").cast("string").alias("observation_id"), F.to_date("ts").alias("observation_date"), F.col("event_type").alias("metric"), F.col("value").cast("decimal(38,12)").alias("value"))
 
     for attempt in ("first", "replay"):
-        stream = refresh.file_stream(spark, f"{root}/raw", events.schema, max_files=1)
+        stream = refresh.file_stream(spark, f"{root}/raw", events.schema, max_files=files)
         refresh.incremental_refresh(stream, normalize, f"{root}/store", f"{root}/checkpoint-{attempt}", source_id="events", dataset_id="daily").awaitTermination()
     facts = store.scan_versions(spark, f"{root}/store")
     return facts.groupBy("metric").agg(F.count(F.lit(1)).alias("observations"), F.min("observation_date").alias("earliest"), F.max("observation_date").alias("latest"))

@@ -1,9 +1,11 @@
 """Steps whose work sat in few tasks: the digest's sums, files of a stream, rows that cite nothing."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from parcelflow.functions import hashing
-from parcelflow.plans import registry
+from parcelflow.plans import registry, stream_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +23,10 @@ def test_content_is_spread_beyond_seven_tasks(spark):
     registry.load()
     plan = registry.QUERIES["content_hashes"](spark, SF)._jdf.queryExecution().logical().toString()
     assert "l_partkey" in plan and "], 7" not in plan
+
+
+def test_a_micro_batch_holds_several_files(spark, tmp_path, monkeypatch):
+    registry.load()
+    monkeypatch.setattr(stream_queries, "scratch", lambda spark, name: str(tmp_path / name))
+    assert registry.QUERIES["stream_refresh"](spark, SF).agg(F.sum("observations")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert len(glob.glob(str(tmp_path / "refresh/raw/*.parquet"))) > 3 and len(glob.glob(str(tmp_path / "refresh/checkpoint-first/offsets/[0-9]*"))) == 3
