@@ -5,6 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from parcelflow.functions import hashing
+from parcelflow.operators import verification as v
 from parcelflow.plans import registry, stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,12 @@ def test_a_micro_batch_holds_several_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stream_queries, "scratch", lambda spark, name: str(tmp_path / name))
     assert registry.QUERIES["stream_refresh"](spark, SF).agg(F.sum("observations")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
     assert len(glob.glob(str(tmp_path / "refresh/raw/*.parquet"))) > 3 and len(glob.glob(str(tmp_path / "refresh/checkpoint-first/offsets/[0-9]*"))) == 3
+
+
+def test_rows_that_cite_nothing_stay_out_of_the_join(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(v, "checkpointed", lambda df: seen.append(df) or df.localCheckpoint())
+    rows = spark.createDataFrame([("a", "doc#1"), ("b", "derived:a"), ("c", "derived:x")], "observation_id string, source_identifier string")
+    got = {tuple(r) for r in v.evidence_roots(rows).collect()}
+    assert got == {("a", "doc", 0), ("b", "doc", 1), ("c", "derived:x", 0)}
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
