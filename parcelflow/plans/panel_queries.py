@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelflow.functions import periods
-from parcelflow.operators import target_panel as t
+from parcelflow.operators import target_panel as t, verification as v
 from parcelflow.plans import bindings as b
 from parcelflow.plans import target_queries as tq
 from parcelflow.plans.registry import query
@@ -41,7 +41,10 @@ select property_type, metric, observations, verified, eligible, periods, earlies
   case when coalesce(markets, 0) >= 5 and periods >= 2 and coalesce(deep_markets, 0) >= 5 and eligible >= 10 then 'ready' else 'not_ready' end as status
 from x left join dd using (property_type, metric)""")
 def target_readiness(spark, sf_dir):
-    out = t.target_readiness(judged(spark, sf_dir), markets=5, periods_minimum=2, observations=10)
+    available = F.coalesce(F.col("release_date"), F.col("retrieved_on"))
+    by = ["codes", "model_eligible", "verification_status", available.isNull().alias("undated")]
+    rows = tq.counted(spark, sf_dir, by, F.max(available).alias("target_available_at")).withColumn("verification_findings", v.code_names(F.col("codes")))
+    out = t.target_readiness(t.eligibility(stored(rows)), markets=5, periods_minimum=2, observations=10)
     return out.withColumn("missingness", F.round("missingness", 6)).drop("reasons")
 
 
