@@ -217,7 +217,7 @@ def filing_rows(text: DataFrame, heading: str, until: str | None = None) -> Data
     market = F.trim(F.regexp_extract("line", r"^\s*([A-Z][A-Za-z .,/'&-]+?)\s+[\d(]", 1))
     values = F.transform(F.regexp_extract_all("line", F.lit(r"(\(?-?\$?\d[\d,]*\.?\d*%?\)?)"), 1), lambda v: _amount(v))
     rows = lines.select("file", market.alias("market"), values.alias("v")).filter((F.size("v") >= 13) & (F.col("market") != "") & ~F.col("market").rlike("^(Total|Other|Units )"))
-    at = lambda i: F.element_at("v", i + 1)
+    at = lambda i: F.try_element_at("v", F.lit(i + 1))
     growth_off = [F.coalesce(F.abs(F.try_divide(at(3 * i + 1), at(3 * i + 2)) - 1 - at(3 * i + 3) / 100) > 0.0015, F.lit(True)) for i in range(4)]
     identity_off = (at(1) - at(4) != at(7)) | (at(2) - at(5) != at(8))
     return rows.withColumn("errors", errors({"growth_cross_check": growth_off[0] | growth_off[1] | growth_off[2] | growth_off[3], "noi_identity": identity_off}))
@@ -225,7 +225,7 @@ def filing_rows(text: DataFrame, heading: str, until: str | None = None) -> Data
 
 def filing_metrics(rows: DataFrame) -> DataFrame:
     """SRC-22/23: accepted filing rows to nine metrics each."""
-    at = lambda i: F.element_at("v", i + 1)
+    at = lambda i: F.try_element_at("v", F.lit(i + 1))
     entries = [F.struct(F.lit("inventory").alias("metric"), at(0).alias("value"), F.lit("units").alias("unit"))]
     for i, (level, growth, unit) in enumerate(FILING_MEASURES):
         entries.append(F.struct(F.lit(level).alias("metric"), at(3 * i + 1).alias("value"), F.lit(unit).alias("unit")))
